@@ -315,7 +315,7 @@ def grid_search(
     folded = assign_folds(train_rows, key, folds, seed, target if classes is not None else None)
     folded = _labelled(folded, target, classes)
     # each candidate is a whole last stage, so one pipeline parameter carries the grid
-    pipeline = Pipeline()
+    pipeline = Pipeline(stages=[])
     maps = [{pipeline.stages: [*before, c]} for c in candidates]
     search = CrossValidator(
         estimator=pipeline,

@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from millrace.functions.columns import without_nan
 
 EXPORTS = ("csv", "parquet", "json")
+# the text formats keep milliseconds only unless told otherwise
+FULL_TIME = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -32,8 +37,8 @@ def export(df: DataFrame, path: str, form: str = "csv") -> None:
         raise ValueError(f"format must be one of {', '.join(EXPORTS)}")
     writer = df.write.mode("errorifexists")
     if form == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **FULL_TIME).csv(path)
     elif form == "parquet":
         writer.parquet(path)
     else:
-        writer.option("ignoreNullFields", False).json(path)
+        writer.options(ignoreNullFields=False, **FULL_TIME).json(path)

@@ -22,12 +22,11 @@ def datasets(versions: DataFrame) -> DataFrame:
 
 
 def listing(versions: DataFrame, dataset: str | None = None) -> DataFrame:
-    """``(dataset, version, position)`` in order of creation."""
-    from pyspark.sql import Window
-
+    """``(dataset, version, created_at)`` in order of creation within each dataset."""
     rows = versions if dataset is None else versions.where(F.col("dataset") == dataset)
-    order = Window.partitionBy("dataset").orderBy(F.col("created_at").asc_nulls_first(), "version")
-    return rows.select("dataset", "version", F.row_number().over(order).cast("long").alias("position"))
+    return rows.select("dataset", "version", "created_at").orderBy(
+        "dataset", F.col("created_at").asc_nulls_first(), "version"
+    )
 
 
 def metadata(versions: DataFrame, dataset: str, version: str) -> dict:

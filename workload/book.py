@@ -67,6 +67,7 @@ VIEWS = {
                     ELSE concat('V', CAST(CAST(floor((floor(o_orderkey / 50) - 1) / 2) AS bigint) * 50 + o_orderkey % 50 AS string))
                END AS parent,
                CASE WHEN o_orderkey < 50 THEN 'import' ELSE lower(o_orderpriority) END AS operation,
+               concat('key=', CAST(o_orderkey AS string)) AS config,
                CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END AS created_at
         FROM orders""",
     "experiments_flat": """

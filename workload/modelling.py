@@ -1,0 +1,302 @@
+"""Scored-table metrics, training, grid search and clustering."""
+
+from pyspark.sql import functions as F
+
+from millrace.operators import metrics, models
+from workload.book import hash_sql, query, r, round_columns
+
+
+def _report_sql(view: str) -> str:
+    return f"""(SELECT c AS class, sum(support) support, sum(predicted) predicted, sum(hits) hits,
+        CASE WHEN sum(predicted) > 0 THEN sum(hits) / sum(predicted)::DOUBLE ELSE 0 END AS precision,
+        CASE WHEN sum(support) > 0 THEN sum(hits) / sum(support)::DOUBLE ELSE 0 END AS recall FROM
+        (SELECT label c, 1 support, 0 predicted, CASE WHEN label = prediction THEN 1 ELSE 0 END hits FROM {{{view}}}
+         UNION ALL SELECT prediction, 0, 1, 0 FROM {{{view}}}) GROUP BY c)"""
+
+
+F1 = "CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END"
+
+
+def _metrics_sql(view: str) -> str:
+    return f"""SELECT {r("sum(hits) / sum(support)::DOUBLE")} AS accuracy, {r("sum(precision * support) / sum(support)")} AS precision,
+        {r("sum(recall * support) / sum(support)")} AS recall, {r(f"sum({F1} * support) / sum(support)")} AS f1_score,
+        {r("avg(recall) FILTER (support > 0)")} AS balanced_accuracy FROM {_report_sql(view)}"""
+
+
+QUALITY = ["accuracy", "precision", "recall", "f1_score", "balanced_accuracy"]
+
+
+@query("classification_metrics", _metrics_sql("scored_multi"))
+def classification_metrics(t):
+    return round_columns(metrics.classification_metrics(t.view("scored_multi")), QUALITY)
+
+
+@query("classification_metrics_binary", _metrics_sql("scored_binary"))
+def classification_metrics_binary(t):
+    return round_columns(metrics.classification_metrics(t.view("scored_binary")), QUALITY)
+
+
+@query(
+    "class_report",
+    f"""SELECT class, support::BIGINT AS support, predicted::BIGINT AS predicted, hits::BIGINT AS hits, {r("precision")} AS precision,
+        {r("recall")} AS recall, {r(F1)} AS f1 FROM {_report_sql("scored_multi")}""",
+)
+def class_report(t):
+    return round_columns(metrics.class_report(t.view("scored_multi")), ["precision", "recall", "f1"])
+
+
+def _steps_sql(view: str, label: str, score: str) -> str:
+    return f"""(SELECT *, sum(pos) OVER (ORDER BY score DESC) cp, sum(neg) OVER (ORDER BY score DESC) cn, sum(pos) OVER () p, sum(neg) OVER () n
+        FROM (SELECT {score} AS score, count_if(label = {label}) pos, count_if(label <> {label}) neg FROM {{{view}}} GROUP BY {score}))"""
+
+
+def _auc_sql(view: str, label: str, score: str) -> str:
+    return f"(SELECT sum(neg * (2.0::DOUBLE * cp - pos)) / (2.0::DOUBLE * max(p) * max(n)) AS auc FROM {_steps_sql(view, label, score)})"
+
+
+BINARY_AUC = _auc_sql("scored_binary", "1", "score")
+MULTI = {0: "s0", 1: "s1", 2: "s2"}
+
+
+@query("roc_auc", f"SELECT {r('auc')} AS roc_auc FROM {BINARY_AUC}")
+def roc_auc(t):
+    return round_columns(metrics.roc_auc(t.view("scored_binary"), {1: "score"}), ["roc_auc"])
+
+
+@query(
+    "roc_auc_multi",
+    f"SELECT {r('avg(auc)')} AS roc_auc FROM ({' UNION ALL '.join(f'SELECT auc FROM {_auc_sql("scored_multi", str(c), s)}' for c, s in MULTI.items())})",
+)
+def roc_auc_multi(t):
+    return round_columns(metrics.roc_auc(t.view("scored_multi"), MULTI), ["roc_auc"])
+
+
+def _curve_sql(view: str, label: str, score: str) -> str:
+    return f"""SELECT '{label}' AS class, score AS threshold, {r("cn / n::DOUBLE")} AS fpr, {r("cp / p::DOUBLE")} AS tpr FROM {_steps_sql(view, label, score)}
+        UNION ALL SELECT '{label}', NULL, 0, 0"""
+
+
+@query("roc_curve", _curve_sql("scored_binary", "1", "score"))
+def roc_curve(t):
+    return round_columns(metrics.roc_curve(t.view("scored_binary"), {1: "score"}), ["fpr", "tpr"])
+
+
+@query("roc_curve_multi", " UNION ALL ".join(_curve_sql("scored_multi", str(c), s) for c, s in MULTI.items()))
+def roc_curve_multi(t):
+    return round_columns(metrics.roc_curve(t.view("scored_multi"), MULTI), ["fpr", "tpr"])
+
+
+REGRESSION = """(SELECT avg(power(label - prediction, 2)) mse, avg(abs(label - prediction)) mae, var_pop(label) spread FROM {scored_regression})"""
+
+
+@query(
+    "regression_metrics",
+    f"SELECT {r('mse', 2)} AS mse, {r('sqrt(mse)', 4)} AS rmse, {r('mae', 4)} AS mae, {r('1 - mse / spread')} AS r2 FROM {REGRESSION}",
+)
+def regression_metrics(t):
+    out = metrics.regression_metrics(t.view("scored_regression"))
+    return round_columns(round_columns(round_columns(out, ["mse"], 2), ["rmse", "mae"], 4), ["r2"])
+
+
+def _silhouette_sql(points: str, distance: str) -> str:
+    """Brute force over weighted points ``(cluster, x, y, w)``."""
+    return f"""WITH p AS (SELECT *, row_number() OVER () id FROM ({points})),
+        sizes AS (SELECT cluster c, sum(w) n FROM p GROUP BY cluster),
+        d AS (SELECT a.id, a.cluster own, a.w, b.cluster c, sum({distance} * b.w) s FROM p a, p b GROUP BY a.id, a.cluster, a.w, b.cluster),
+        m AS (SELECT id, own, any_value(d.w) w, max(CASE WHEN own = d.c THEN s / nullif(n - 1, 0) END) a, min(CASE WHEN own <> d.c THEN s / n END) b,
+              max(CASE WHEN own = d.c THEN n END) own_n FROM d JOIN sizes ON sizes.c = d.c GROUP BY id, own)
+        SELECT {r("sum(w * CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) / sum(w)")} AS silhouette_score FROM m"""
+
+
+@query(
+    "silhouette",
+    _silhouette_sql("SELECT cluster, x, y, 1 AS w FROM {customers_clustered} v", "(power(a.x - b.x, 2) + power(a.y - b.y, 2))"),
+)
+def silhouette(t):
+    return round_columns(metrics.silhouette(t.view("customers_clustered"), ["x", "y", "cluster"]), ["silhouette_score"])
+
+
+ITEM_POINTS = "CASE WHEN l_quantity < 17 THEN 0 WHEN l_quantity < 34 THEN 1 ELSE 2 END"
+
+
+@query(
+    "silhouette_euclidean",
+    _silhouette_sql(
+        f"SELECT {ITEM_POINTS} AS cluster, l_quantity AS x, l_tax * 100 AS y, count(*) AS w FROM lineitem GROUP BY 1, 2, 3",
+        "sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))",
+    ),
+)
+def silhouette_euclidean(t):
+    items = t.table("lineitem").selectExpr(f"{ITEM_POINTS} AS cluster", "l_quantity AS x", "l_tax * 100 AS y")
+    return round_columns(metrics.silhouette(items, ["x", "y"], metric="euclidean"), ["silhouette_score"])
+
+
+@query(
+    "confusion_matrix",
+    """SELECT a AS label, b AS prediction, coalesce(n, 0) AS n FROM (SELECT unnest([0, 1, 2]) a), (SELECT unnest([0, 1, 2]) b)
+       LEFT JOIN (SELECT label, prediction, count(*) n FROM {scored_multi} GROUP BY ALL) c ON c.label = a AND c.prediction = b""",
+)
+def confusion_matrix(t):
+    scored = t.view("scored_multi").selectExpr("CAST(label AS int) AS label", "CAST(prediction AS int) AS prediction")
+    return metrics.confusion_matrix(scored)
+
+
+BINARY_REPORT = _report_sql("scored_binary")
+
+
+@query(
+    "scorers",
+    f"""SELECT 'accuracy' AS scorer, {r("sum(hits) / sum(support)::DOUBLE")} AS value FROM {BINARY_REPORT}
+        UNION ALL SELECT 'balanced_accuracy', {r("avg(recall)")} FROM {BINARY_REPORT}
+        UNION ALL SELECT 'precision', {r("precision")} FROM {BINARY_REPORT} WHERE class = 1
+        UNION ALL SELECT 'recall', {r("recall")} FROM {BINARY_REPORT} WHERE class = 1
+        UNION ALL SELECT 'f1', {r(F1)} FROM {BINARY_REPORT} WHERE class = 1
+        UNION ALL SELECT 'roc_auc', {r("auc")} FROM {BINARY_AUC}
+        UNION ALL SELECT 'r2', {r("1 - mse / spread")} FROM {REGRESSION}
+        UNION ALL SELECT 'neg_mean_squared_error', {r("-mse", 2)} FROM {REGRESSION}
+        UNION ALL SELECT 'neg_mean_absolute_error', {r("-mae", 2)} FROM {REGRESSION}
+        UNION ALL SELECT 'neg_root_mean_squared_error', {r("-sqrt(mse)", 2)} FROM {REGRESSION}""",
+)
+def scorers(t):
+    binary = t.view("scored_binary").selectExpr(
+        "CAST(label AS double) AS label", "CAST(prediction AS double) AS prediction", "array(1 - score, score) AS scores"
+    )
+    regression = t.view("scored_regression")
+    rows = [(s, models.scorer_value(binary, s, 2)) for s in models.SCORERS["classification"]]
+    rows += [(s, models.scorer_value(regression, s, 0)) for s in models.SCORERS["regression"]]
+    digits = F.when(F.col("scorer").startswith("neg_"), F.round("value", 2)).otherwise(F.round("value", 6))
+    return t.spark.createDataFrame(rows, "scorer string, value double").withColumn("value", digits)
+
+
+# ---- training ---------------------------------------------------------------------------
+
+EVENT_FEATURES = ["user_id", "value"]
+
+
+def _scored(trained, key: str):
+    target, classes = trained.config["target_column"], trained.classes
+    out = models.score(trained.model, trained.test, target, classes)
+    keep = [key, F.col(target).cast("string").alias("target"), "prediction"]
+    return out.select(*keep, *(["predicted_class"] if classes else []))
+
+
+def _labelled_orders(t):
+    """Orders with a target their price explains: dear or cheap, and three price bands."""
+    return t.table("orders").selectExpr(
+        "o_orderkey", "o_totalprice / 1000 AS price", "o_custkey % 100 AS customer",
+        "CASE WHEN o_totalprice > 250000 THEN 'dear' ELSE 'cheap' END AS level",
+        "CASE WHEN o_totalprice > 350000 THEN 'high' WHEN o_totalprice > 150000 THEN 'middle' ELSE 'low' END AS band",
+    )
+
+
+@query("train_logistic_regression")
+def train_logistic_regression(t):
+    trained = models.train(
+        _labelled_orders(t), "level", "classification", "logistic_regression", ["o_orderkey"], ["price", "customer"], max_iter=50
+    )
+    return _scored(trained, "o_orderkey")
+
+
+TRAIN_LINE = f"""(SELECT regr_slope(o_totalprice, o_custkey) b, regr_intercept(o_totalprice, o_custkey) a FROM
+    (SELECT *, row_number() OVER (ORDER BY {hash_sql("o_orderkey")}, o_orderkey) rn, ceil(count(*) OVER () * 0.2) k FROM orders) WHERE rn > k)"""
+TEST_ROWS = f"""(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql("o_orderkey")}, o_orderkey) rn, ceil(count(*) OVER () * 0.2) k FROM orders) WHERE rn <= k)"""
+
+
+@query(
+    "train_linear_regression",
+    f"SELECT o_orderkey, {r('a + b * o_custkey', 3)} AS prediction FROM {TEST_ROWS}, {TRAIN_LINE}",
+)
+def train_linear_regression(t):
+    trained = models.train(t.table("orders"), "o_totalprice", "regression", "linear_regression", ["o_orderkey"], ["o_custkey"])
+    return round_columns(_scored(trained, "o_orderkey").drop("target"), ["prediction"], 3)
+
+
+@query(
+    "evaluate_linear_regression",
+    f"""SELECT {r("avg(power(o_totalprice - a - b * o_custkey, 2))", 1)} AS mse, {r("avg(abs(o_totalprice - a - b * o_custkey))", 3)} AS mae,
+        {r("1 - avg(power(o_totalprice - a - b * o_custkey, 2)) / var_pop(o_totalprice)")} AS r2 FROM {TEST_ROWS}, {TRAIN_LINE}""",
+)
+def evaluate_linear_regression(t):
+    trained = models.train(t.table("orders"), "o_totalprice", "regression", "linear_regression", ["o_orderkey"], ["o_custkey"])
+    found = models.evaluate(trained)
+    out = t.spark.createDataFrame([(found["mse"], found["mae"], found["r2"])], "mse double, mae double, r2 double")
+    return round_columns(round_columns(round_columns(out, ["mse"], 1), ["mae"], 3), ["r2"])
+
+
+@query("train_random_forest_classifier")
+def train_random_forest_classifier(t):
+    trained = models.train(
+        _labelled_orders(t), "band", "classification", "random_forest", ["o_orderkey"], ["price", "customer"],
+        n_estimators=10, max_depth=5,
+    )
+    return _scored(trained, "o_orderkey")
+
+
+@query("train_random_forest_regressor")
+def train_random_forest_regressor(t):
+    trained = models.train(
+        t.table("events"), "value", "regression", "random_forest", ["event_id"], ["user_id"], n_estimators=10, max_depth=5
+    )
+    return _scored(trained, "event_id")
+
+
+@query("train_boosted_classifier")
+def train_boosted_classifier(t):
+    trained = models.train(
+        _labelled_orders(t), "band", "classification", "xgboost", ["o_orderkey"], ["price", "customer"],
+        n_estimators=3, max_depth=3,
+    )
+    return _scored(trained, "o_orderkey")
+
+
+@query("train_boosted_regressor")
+def train_boosted_regressor(t):
+    trained = models.train(
+        t.table("events"), "value", "regression", "xgboost", ["event_id"], ["user_id"], n_estimators=5, max_depth=3, subsample=0.8
+    )
+    return _scored(trained, "event_id")
+
+
+@query("train_linear_svm")
+def train_linear_svm(t):
+    trained = models.train(
+        _labelled_orders(t), "level", "classification", "svm", ["o_orderkey"], ["price", "customer"], max_iter=30
+    )
+    return _scored(trained, "o_orderkey")
+
+
+@query("evaluate_classifier")
+def evaluate_classifier(t):
+    trained = models.train(
+        _labelled_orders(t), "band", "classification", "logistic_regression", ["o_orderkey"], ["price", "customer"], max_iter=20
+    )
+    return t.spark.createDataFrame(list(models.evaluate(trained).items()), "metric string, value double")
+
+
+@query("grid_search")
+def grid_search(t):
+    found = models.grid_search(
+        _labelled_orders(t), "level", "classification", "logistic_regression",
+        {"C": [0.1, 1.0], "max_iter": [10]}, ["o_orderkey"], ["price", "customer"], folds=3,
+    )
+    scores = found.config["grid_search_results"]
+    rows = zip(map(str, scores["params"]), scores["mean_test_score"], scores["std_test_score"])
+    return t.spark.createDataFrame([tuple(x) for x in rows], "params string, mean_score double, std_score double")
+
+
+@query("batch_scoring")
+def batch_scoring(t):
+    trained = models.train(
+        _labelled_orders(t), "level", "classification", "logistic_regression", ["o_orderkey"], ["price", "customer"], max_iter=20
+    )
+    return models.score(trained.model, _labelled_orders(t)).select("o_orderkey", "predicted_class", F.col("scores")[1].alias("p_dear"))
+
+
+@query("kmeans")
+def kmeans(t):
+    return models.cluster(t.table("customer"), ["c_acctbal", "c_nationkey"], "kmeans", n_clusters=3)[0]
+
+
+@query("gaussian_mixture")
+def gaussian_mixture(t):
+    return models.cluster(t.table("customer"), ["c_acctbal", "c_nationkey"], "gmm", n_clusters=2, max_iter=20)[0]
