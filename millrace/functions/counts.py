@@ -4,37 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.columns import as_double, col, is_boolean, is_number
+from millrace.functions.columns import FRACTIONAL, col, is_number
+
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, value, sort_value, n)`` for every non-null value of every column.
 
-    Values travel as text; ``sort_value`` orders numbers as numbers. Counting combines on
-    the map side, so a value held by a third of all rows costs one row per task.
+    Whole numbers and doubles are grouped as such, everything else as text; ``value`` is
+    the text form and ``sort_value`` orders numbers as numbers. Counting combines on the
+    map side, so a value held by a third of all rows costs one row per task.
     """
-    entries = []
-    for name in columns:
+    entries, numeric_text = [], []
+    for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
+        whole, number = isinstance(dtype, WHOLE), isinstance(dtype, T.DoubleType)
+        if is_number(dtype) and not (whole or number):
+            numeric_text.append(i)
         entries.append(
             F.struct(
-                F.lit(name).alias("column"),
-                _present(df, name).cast("string").alias("value"),
-                (as_double(df, name) if is_number(dtype) else F.lit(None).cast("double")).alias("sort_value"),
+                F.lit(i).alias("at"),
+                (col(name) if whole else F.lit(None)).cast("long").alias("whole"),
+                (_present(df, name) if number else F.lit(None)).cast("double").alias("number"),
+                (F.lit(None) if whole or number else _present(df, name)).cast("string").alias("text"),
             )
         )
-    return (
+    counts = (
         df.select(F.inline(F.array(*entries)))
-        .where("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.first("sort_value").alias("sort_value"), F.count("*").alias("n"))
+        .where("whole IS NOT NULL OR number IS NOT NULL OR text IS NOT NULL")
+        .groupBy("at", "whole", "number", "text")
+        .agg(F.count("*").alias("n"))
+    )
+    order = F.coalesce("number", F.col("whole").cast("double"))
+    if numeric_text:
+        order = F.coalesce(order, F.when(F.col("at").isin(numeric_text), F.col("text").cast("double")))
+    return counts.select(
+        F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at") + 1).alias("column"),
+        F.coalesce("text", F.col("whole").cast("string"), F.col("number").cast("string")).alias("value"),
+        order.alias("sort_value"),
+        "n",
     )
 
 
 def _present(df: DataFrame, name: str) -> Column:
     value = col(name)
-    if df.schema[name].dataType.simpleString() in ("float", "double"):
+    if isinstance(df.schema[name].dataType, FRACTIONAL):
         return F.when(~F.isnan(value), value)
     return value
 
@@ -88,6 +105,3 @@ def categories(df: DataFrame, name: str, limit: int) -> list:
         for r in df.where(col(name).isNotNull()).select(col(name)).distinct().orderBy(col(name)).limit(limit + 1).collect()
     ]
 
-
-def is_flag(df: DataFrame, name: str) -> bool:
-    return is_boolean(df.schema[name].dataType)

@@ -59,6 +59,9 @@ def quantiles(
     """
     if not items:
         return {}
+    # evaluate each item once per row, however often a pass refers to it
+    df = df.select(*[value.cast("double").alias(f"v{i}") for i, value in enumerate(items.values())])
+    items = {name: F.col(f"v{i}") for i, name in enumerate(items)}
     if accuracy is not None:
         row = df.agg(
             *[
@@ -213,25 +216,19 @@ def _count_regions(df: DataFrame, items: dict[str, Column], spans: list[_Span]):
 
     A cut value is a region of its own, so rows piled up on one value settle at once.
     """
-    entries = []
+    columns, entries = [], []
     for i, span in enumerate(spans):
         value = span.inside(items[span.item].cast("double"))
-        region = F.lit(0)
-        for cut in span.cuts:
-            region = region + (value >= cut).cast("int") + (value > cut).cast("int")
-        keep = F.lit(False)
-        for low, high in span.gather:
-            keep = keep | (F.lit(True) if low is None else value.between(low, high))
+        columns += [value.alias(f"x{i}"), _region(value, span.cuts).alias(f"r{i}")]
+        x, region = F.col(f"x{i}"), F.col(f"r{i}")
+        gathered = _gathered_regions(span)
+        keep = F.lit(True) if gathered is None else region.isin(gathered) if gathered else F.lit(False)
         entries.append(
-            F.struct(
-                F.lit(i).alias("span"),
-                region.alias("region"),
-                F.when(keep, value).alias("exact"),
-                value.alias("value"),
-            )
+            F.struct(F.lit(i).alias("span"), region.alias("region"), F.when(keep, x).alias("exact"), x.alias("value"))
         )
     rows = (
-        df.select(F.inline(F.array(*entries)))
+        df.select(*columns)
+        .select(F.inline(F.array(*entries)))
         .where("value IS NOT NULL")
         .groupBy("span", "region", "exact")
         .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
@@ -243,3 +240,24 @@ def _count_regions(df: DataFrame, items: dict[str, Column], spans: list[_Span]):
     for g in groups:
         g.sort()
     return groups
+
+
+def _region(value: Column, cuts: list[float]) -> Column:
+    """2i for values between cuts i-1 and i, 2i+1 for values equal to cut i."""
+    if not cuts:
+        return F.lit(0)
+    region = F.when(value < cuts[0], 0).when(value == cuts[0], 1)
+    for i, cut in enumerate(cuts[1:], 1):
+        region = region.when(value < cut, 2 * i).when(value == cut, 2 * i + 1)
+    return region.otherwise(2 * len(cuts))
+
+
+def _gathered_regions(span: _Span) -> list[int] | None:
+    """The open regions inside a bracket; None if the whole span is gathered."""
+    if any(low is None for low, _ in span.gather):
+        return None
+    return [
+        2 * i
+        for i in range(1, len(span.cuts))
+        if any(low <= span.cuts[i - 1] and span.cuts[i] <= high for low, high in span.gather)
+    ]

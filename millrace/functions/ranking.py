@@ -53,12 +53,13 @@ def first_rows(
     hashed = seeded_hash(seed, *keys)
     cuts: dict[str, list[Cut]] = {}
     labels = list(groups)
+    hashes = df.withColumn("_hash", hashed.cast("double"))
     for start in range(0, len(labels), CLASSES_PER_PASS):
         part = labels[start : start + CLASSES_PER_PASS]
-        items = {g: F.when(groups[g][0], hashed).cast("double") for g in part}
+        items = {g: F.when(groups[g][0], F.col("_hash")) for g in part}
         sizes = {g: groups[g][1] for g in part}
         ranks = {g: [min(m, sizes[g]) - 1 for m in groups[g][2] if m > 0 and sizes[g]] for g in part}
-        found = uniform_ranks(df, items, sizes, ranks, HASH_TOP)
+        found = uniform_ranks(hashes, items, sizes, ranks, HASH_TOP)
         for g in part:
             cuts[g] = [
                 _cut(df, keys, hashed, groups[g][0], found[g][min(m, sizes[g]) - 1], min(m, sizes[g]))
