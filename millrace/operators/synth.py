@@ -109,14 +109,19 @@ def fit_copula(df: DataFrame) -> Copula:
     numbers = [c for c in df.columns if roles[c] in ("numerical", "datetime")]
     labels = [c for c in df.columns if roles[c] == "categorical"]
     probs = [float(p) for p in np.linspace(0, 1, GRID + 1)]
+    # each number is worked out once per row, below the aggregates that share it
+    flat = df.select(
+        *[as_number(df, c).alias(f"x{i}") for i, c in enumerate(numbers)],
+        *[col(c).isNotNull().alias(f"p{i}") for i, c in enumerate(df.columns)],
+    )
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
-        aggs.append(F.count(col(c)).alias(f"n{i}"))
+        aggs.append(F.count_if(f"p{i}").alias(f"n{i}"))
     for i, c in enumerate(numbers):
-        x = as_number(df, c)
+        x = F.col(f"x{i}")
         aggs += [F.percentile_approx(x, probs, 10 * GRID).alias(f"q{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
         aggs += [F.count_if(x != F.round(x, d)).alias(f"d{i}_{d}") for d in range(MAX_DECIMALS + 1)]
-    row = df.agg(*aggs).first()
+    row = flat.agg(*aggs).first()
     rows = row["rows"]
     if rows < 2:
         raise ValueError("learning a distribution needs at least two rows")

@@ -48,6 +48,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later jobs neither recompute nor lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Fix ``df`` as a table in the shared folder, so later jobs neither recompute nor lose it.
+
+    A table rather than a checkpoint: it is columnar, and its size is known when the
+    optimizer picks joins.
+    """
+    path = shared_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

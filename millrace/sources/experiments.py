@@ -173,55 +173,75 @@ def better_side(metric: Column, first: Column, second: Column) -> Column:
     return F.when(falls, down).otherwise(up)
 
 
-def _entries(experiments: DataFrame) -> DataFrame:
-    """``(experiment_id, section, name, text, value)``: everything a comparison shows."""
-    fields = {
-        "experiment_id": F.col("experiment_id"),
-        "experiment_name": F.col("experiment_name"),
-        "timestamp": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
-        "dataset": F.col("dataset.name"),
-        "dataset_version": F.col("dataset.version"),
-        "target_column": F.col("target_column"),
-        "feature_columns": F.array_join("feature_columns", ", "),
-        "model": F.col("model.type"),
-    }
-
-    def entry(section: str, name: Column, text: Column, value: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), name.alias("name"), text.alias("text"), value.cast("double").alias("value"))
-
-    plain = F.array(*[entry("field", F.lit(k), v, F.lit(None)) for k, v in fields.items()])
-    params = F.transform(F.map_entries("model.hyperparameters"), lambda e: entry("hyperparameter", e.key, e.value, F.lit(None)))
-    scores = F.transform(F.map_entries("metrics"), lambda e: entry("metric", e.key, F.format_string("%.4f", e.value), e.value))
-    empty = F.array().cast("array<struct<section:string,name:string,text:string,value:double>>")
-    every = F.concat(plain, F.coalesce(params, empty), F.coalesce(scores, empty))
-    return experiments.select(F.col("experiment_id").alias("id"), F.inline(every))
+_FIELDS = (
+    "experiment_id", "experiment_name", "timestamp", "dataset", "dataset_version", "target_column", "feature_columns", "model",
+)
+
+
+def _side(experiments: DataFrame, n: int) -> DataFrame:
+    """One row per experiment: ``id{n}``, its plain fields as ``f{n}``, settings ``h{n}`` and metrics ``m{n}``."""
+    texts = [
+        F.col("experiment_id"),
+        F.col("experiment_name"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.col("dataset.name"),
+        F.col("dataset.version"),
+        F.col("target_column"),
+        F.array_join("feature_columns", ", "),
+        F.col("model.type"),
+    ]
+    return experiments.select(
+        F.col("experiment_id").alias(f"id{n}"),
+        F.array(*texts).alias(f"f{n}"),
+        F.coalesce("model.hyperparameters", F.create_map().cast("map<string,string>")).alias(f"h{n}"),
+        F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias(f"m{n}"),
+    )
 
 
 def compare(experiments: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(first_id, second_id, section, name, value1, value2, differs, better)`` per entry.
 
-    ``pairs`` holds ``first_id, second_id``. The entries of each pair are lined up by one
-    aggregate over ``(pair, section, name)``: the union of both key sets, "N/A" where a
-    side lacks the key.
+    ``pairs`` holds ``first_id, second_id``. Both experiments are joined to their pair
+    whole, one row each; lining up the union of their keys ("N/A" where a side lacks one)
+    then happens inside the row and shuffles nothing.
     """
-    entries = _entries(experiments)
-    sides = pairs.select(
-        "first_id", "second_id",
-        F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("first_id").alias("id")),
-                          F.struct(F.lit(2).alias("side"), F.col("second_id").alias("id")))).alias("s"),
-    ).select("first_id", "second_id", F.col("s.side").alias("side"), F.col("s.id").alias("id"))
-    rows = sides.join(entries, "id").groupBy("first_id", "second_id", "section", "name")
-
-    def pick(c: str, side: int) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(c)))
-
-    lined = rows.agg(
-        pick("text", 1).alias("t1"), pick("text", 2).alias("t2"), pick("value", 1).alias("v1"), pick("value", 2).alias("v2")
+    joined = pairs.join(_side(experiments, 1), F.col("first_id") == F.col("id1")).join(
+        _side(experiments, 2), F.col("second_id") == F.col("id2")
+    )
+
+    def entry(section: str, name: Column, t1: Column, t2: Column, v1: Column, v2: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), name.alias("name"), t1.alias("value1"), t2.alias("value2"),
+            v1.cast("double").alias("v1"), v2.cast("double").alias("v2"),
+        )
+
+    nothing, no_number = F.lit("N/A"), F.lit(None)
+
+    def keys(a: str, b: str) -> Column:
+        return F.array_union(F.map_keys(a), F.map_keys(b))
+
+    def shown(value: Column) -> Column:
+        return F.coalesce(F.format_string("%.4f", value), nothing)
+
+    def metric(k: Column) -> Column:
+        v1, v2 = F.try_element_at("m1", k), F.try_element_at("m2", k)
+        return entry("metric", k, F.when(v1.isNotNull(), shown(v1)).otherwise(nothing), F.when(v2.isNotNull(), shown(v2)).otherwise(nothing), v1, v2)
+
+    blank = F.lit("")
+    fields = F.array(
+        *[
+            entry("field", F.lit(name), F.coalesce(F.col("f1")[i], blank), F.coalesce(F.col("f2")[i], blank), no_number, no_number)
+            for i, name in enumerate(_FIELDS)
+        ]
+    )
+    settings = F.transform(
+        keys("h1", "h2"),
+        lambda k: entry(
+            "hyperparameter", k, F.coalesce(F.try_element_at("h1", k), nothing), F.coalesce(F.try_element_at("h2", k), nothing), no_number, no_number
+        ),
     )
-    missing = F.when(F.col("section") == "field", "").otherwise("N/A")
-    one, two = F.coalesce("t1", missing), F.coalesce("t2", missing)
-    shown = lined.withColumn("value1", one).withColumn("value2", two)
-    return shown.select(
+    rows = joined.select("first_id", "second_id", F.inline(F.concat(fields, settings, F.transform(keys("m1", "m2"), metric))))
+    return rows.select(
         "first_id", "second_id", "section", "name", "value1", "value2",
         ((F.col("value1") != F.col("value2")) & (F.col("value1") != "") & (F.col("value2") != "")).alias("differs"),
         F.when(F.col("section") == "metric", better_side(F.col("name"), F.col("v1"), F.col("v2"))).alias("better"),
