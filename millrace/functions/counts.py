@@ -76,6 +76,8 @@ def typed_literal(df: DataFrame, name: str, text: str) -> Column:
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    if not columns:
+        return {}
     rows = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n")).collect()
     found = {r["column"]: r["n"] for r in rows}
     return {c: found.get(c, 0) for c in columns}

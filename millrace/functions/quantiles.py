@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 BRACKET = 2.5 / SKETCH_ACCURACY
 GATHER_ROWS = 200_000
+ITEMS_PER_PASS = 40
 SMALL_SPAN = 16_000  # below this a bracket is only a handful of rows wide
 
 
@@ -53,12 +54,21 @@ class _Span:
 def quantiles(
     df: DataFrame, items: dict[str, Column], probs: list[float], accuracy: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of every item, in one set of passes.
+    """Linearly interpolated quantiles of every item; ``ITEMS_PER_PASS`` items share their passes.
 
     ``accuracy`` switches to one approximate pass.
     """
-    if not items:
-        return {}
+    names = list(items)
+    found: dict[str, list[float | None]] = {}
+    for start in range(0, len(names), ITEMS_PER_PASS):
+        part = {name: items[name] for name in names[start : start + ITEMS_PER_PASS]}
+        found |= _quantiles(df, part, probs, accuracy)
+    return found
+
+
+def _quantiles(
+    df: DataFrame, items: dict[str, Column], probs: list[float], accuracy: int | None
+) -> dict[str, list[float | None]]:
     # evaluate each item once per row, however often a pass refers to it
     df = df.select(*[value.cast("double").alias(f"v{i}") for i, value in enumerate(items.values())])
     items = {name: F.col(f"v{i}") for i, name in enumerate(items)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col, existing, number_columns, replaced, without_nan
 from millrace.functions.counts import modes, typed_literal
+from millrace.functions.moments import moments
 from millrace.functions.quantiles import quantiles
 from millrace.operators.base import Fitted, transform_of
 
@@ -40,19 +41,17 @@ def fit_missing(
 
     watched = df.columns if strategy == "drop_columns" else existing(df, columns)
     numbers = number_columns(df, watched)
-    aggs = [F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(watched)]
-    if strategy == "mean":
-        aggs += [F.avg(as_double(df, c)).alias(f"a{i}") for i, c in enumerate(numbers)]
-    if not aggs:
+    if not watched:
         return Fitted(config | {"fills": {}})
-    row = df.agg(*aggs).first()
+    row = df.agg(*[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(watched)]).first()
     gaps = {c for i, c in enumerate(watched) if row[f"m{i}"]}
 
     if strategy == "drop_columns":
         return Fitted(config | {"dropped_columns": [c for c in watched if c in gaps]})
     fills: dict[str, object] = {}
     if strategy == "mean":
-        fills = {c: row[f"a{i}"] for i, c in enumerate(numbers) if c in gaps and row[f"a{i}"] is not None}
+        means = moments(df, {c: as_double(df, c) for c in numbers if c in gaps})
+        fills = {c: m["mean"] for c, m in means.items() if m["mean"] is not None}
     elif strategy == "median":
         items = {c: as_double(df, c) for c in numbers if c in gaps}
         medians = quantiles(df, items, [0.5], accuracy)
@@ -104,13 +103,9 @@ def fit_outliers(
         for c, (q1, q3) in quantiles(df, items, [0.25, 0.75], accuracy).items():
             bands[c] = [None, None] if q1 is None else [q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1)]
     elif checked:
-        aggs = [F.count("*").alias("rows")]
-        for i, x in enumerate(items.values()):
-            aggs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), F.count(x).alias(f"n{i}")]
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(checked):
-            spread = (row[f"v{i}"] or 0.0) * row[f"n{i}"] / max(row["rows"], 1)
-            bands[c] = [row[f"m{i}"], spread**0.5 if spread > 0 else None]
+        for c, m in moments(df, items).items():
+            spread = (m["var_pop"] or 0.0) * m["count"] / max(m["rows"], 1)
+            bands[c] = [m["mean"], spread**0.5 if spread > 0 else None]
     config = {
         "operation": "drop_outliers",
         "method": method,
@@ -156,26 +151,32 @@ def _drop(df: DataFrame, config: dict) -> DataFrame:
 def correlation(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
     """Pearson r of every pair (earlier, later) over rows where both are present.
 
-    All pairs share one aggregate pass (several for very wide frames); a side that does
-    not vary gives None.
+    The pairs of a row are laid out and grouped, so one pass (several for very wide frames)
+    serves them all and shuffles one row per pair and task; a side that does not vary gives
+    None.
     """
     names = number_columns(df) if columns is None else number_columns(df, columns)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    flat = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(names)])
+    at = {c: f"x{i}" for i, c in enumerate(names)}
     found: dict[tuple[str, str], float | None] = {}
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            x, y = as_double(df, a), as_double(df, b)
-            aggs += [
-                F.covar_pop(x, y).alias(f"c{i}"),
-                F.var_pop(F.when(y.isNotNull(), x)).alias(f"x{i}"),
-                F.var_pop(F.when(x.isNotNull(), y)).alias(f"y{i}"),
-            ]
-        row = df.agg(*aggs).first()
-        for i, pair in enumerate(part):
-            c, x, y = row[f"c{i}"], row[f"x{i}"], row[f"y{i}"]
-            found[pair] = c / (x**0.5 * y**0.5) if x and y else None
+        entries = [
+            F.struct(F.lit(i).alias("pair"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y"))
+            for i, (a, b) in enumerate(part)
+        ]
+        rows = (
+            flat.select(F.inline(F.array(*entries)))
+            .where("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("pair")
+            .agg(F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+            .collect()
+        )
+        found |= {pair: None for pair in part}
+        for r in rows:
+            if r["vx"] and r["vy"]:
+                found[part[r["pair"]]] = r["c"] / (r["vx"] ** 0.5 * r["vy"] ** 0.5)
     return found
 
 

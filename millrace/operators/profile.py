@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col, column_kinds
 from millrace.functions.counts import distinct_counts, top_values, value_counts
+from millrace.functions.moments import moments
 from millrace.functions.quantiles import quantiles
 
 TOP = 10
@@ -40,24 +41,21 @@ def numeric_summary(
 ) -> DataFrame:
     """One row per number column: gaps, moments, quartiles and distinct values."""
     names = _of_kind(df, "numeric", columns)
-    value = lambda c: as_double(df, c)
-    extra = {
-        "m": lambda c: F.avg(value(c)),
-        "s": lambda c: F.stddev_samp(value(c)),
-        "l": lambda c: F.min(value(c)),
-        "h": lambda c: F.max(value(c)),
-    }
+    items = {c: as_double(df, c) for c in names}
+    found = moments(df, items)
     if approx_distinct:
-        extra["u"] = lambda c: F.approx_count_distinct(value(c))
-    row = _sizes(df, names, extra)
-    unique = {c: row[f"u{i}"] for i, c in enumerate(names)} if approx_distinct else distinct_counts(df, names)
-    quarters = quantiles(df, {c: value(c) for c in names}, [0.25, 0.5, 0.75], accuracy)
+        row = df.agg(*[F.approx_count_distinct(x).alias(f"u{i}") for i, x in enumerate(items.values())]).first()
+        unique = {c: row[f"u{i}"] for i, c in enumerate(names)}
+    else:
+        unique = distinct_counts(df, names)
+    quarters = quantiles(df, items, [0.25, 0.5, 0.75], accuracy)
     dtypes = dict(df.dtypes)
     out = []
-    for i, c in enumerate(names):
+    for c in names:
+        m = found[c]
         out.append(
-            (c, dtypes[c], row[f"n{i}"], *_gap(row["rows"], row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"], row[f"l{i}"])
-            + (*quarters[c], row[f"h{i}"], unique[c])
+            (c, dtypes[c], m["count"], *_gap(m["rows"], m["count"]), m["mean"], m["std"], m["min"])
+            + (*quarters[c], m["max"], unique[c])
         )
     return df.sparkSession.createDataFrame(out, NUMERIC_SCHEMA)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, number_columns, replaced
+from millrace.functions.moments import moments
 from millrace.functions.quantiles import quantiles
 from millrace.operators.base import Fitted, transform_of
 
@@ -34,24 +35,15 @@ def _fitted(operation: str, stats: dict[str, tuple]) -> Fitted:
 def fit_standard(df: DataFrame, columns: list[str]) -> Fitted:
     """Zero mean, unit population deviation."""
     names = _scaled_columns(df, columns)
-    aggs = []
-    for i, c in enumerate(names):
-        aggs += [F.avg(as_double(df, c)).alias(f"c{i}"), F.stddev_pop(as_double(df, c)).alias(f"w{i}")]
-    row = df.agg(*aggs).first()
-    return _fitted("standard_scale", {c: (row[f"c{i}"], row[f"w{i}"]) for i, c in enumerate(names)})
+    found = moments(df, {c: as_double(df, c) for c in names})
+    return _fitted("standard_scale", {c: (m["mean"], (m["var_pop"] or 0.0) ** 0.5) for c, m in found.items()})
 
 
 def fit_minmax(df: DataFrame, columns: list[str]) -> Fitted:
     """Range [0, 1]; a constant column becomes 0."""
     names = _scaled_columns(df, columns)
-    aggs = []
-    for i, c in enumerate(names):
-        aggs += [F.min(as_double(df, c)).alias(f"l{i}"), F.max(as_double(df, c)).alias(f"h{i}")]
-    row = df.agg(*aggs).first()
-    stats = {}
-    for i, c in enumerate(names):
-        low, high = row[f"l{i}"], row[f"h{i}"]
-        stats[c] = (low, None if low is None else high - low)
+    found = moments(df, {c: as_double(df, c) for c in names})
+    stats = {c: (m["min"], None if m["min"] is None else m["max"] - m["min"]) for c, m in found.items()}
     return _fitted("minmax_scale", stats)
 
 

@@ -7,7 +7,7 @@ any size works: everything is a filter, a join on ``(dataset, version)`` or an a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import cut_lineage
@@ -56,7 +56,7 @@ def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
         further = paths.join(hop, ["dataset", "ancestor"]).select(
             "dataset", "version", F.col("up").alias("ancestor"), (F.col("distance") + length).alias("distance")
         )
-        paths = cut_lineage(paths.unionByName(further))
+        paths = paths.unionByName(cut_lineage(further))
         next_links = links.withColumnRenamed("up", "mid").join(
             links.select("dataset", F.col("version").alias("mid"), "up"), ["dataset", "mid"]
         )
@@ -80,10 +80,8 @@ def lineage(versions: DataFrame, dataset: str | None = None, version: str | None
         if of.isEmpty():
             raise ValueError(f"version {version!r} does not exist")
     paths = ancestors(versions, of)
-    depth = paths.groupBy("dataset", "version").agg(F.max("distance").alias("depth"))
-    return paths.join(depth, ["dataset", "version"]).select(
-        "dataset", "version", (F.col("depth") - F.col("distance")).alias("step"), F.col("ancestor").alias("member")
-    )
+    depth = F.max("distance").over(Window.partitionBy("dataset", "version"))
+    return paths.select("dataset", "version", (depth - F.col("distance")).alias("step"), F.col("ancestor").alias("member"))
 
 
 def removable(versions: DataFrame) -> DataFrame:
