@@ -7,6 +7,7 @@ import uuid
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +38,16 @@ class Catalog:
         self.spark.createDataFrame([entry], _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
 
     def _entries(self) -> DataFrame:
-        if not self._exists(self.log_path):
+        try:
+            log = self.spark.read.schema(_LOG_SCHEMA).parquet(self.log_path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _LOG_SCHEMA)
-        log = self.spark.read.schema(_LOG_SCHEMA).parquet(self.log_path)
         latest = Window.partitionBy("dataset", "version").orderBy(F.col("logged_at").desc())
         current = log.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
         return current.where("NOT dropped")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
     def versions(self, dataset: str | None = None) -> DataFrame:
         """The table the functions in :mod:`millrace.sources.lineage` work on."""
         rows = self._entries().drop("data_path", "dropped", "logged_at")

@@ -121,7 +121,7 @@ def test_silhouettes_match_brute_force(frame, monkeypatch, block):
 
 
 def _points(spark, n=300):
-    return spark.range(n).select(
+    return spark.range(0, n, 1, 2).select(
         "id",
         (F.col("id") % 17).alias("x"),
         (F.col("id") % 5 * 1.0).alias("z"),
@@ -131,7 +131,7 @@ def _points(spark, n=300):
 
 
 def test_training_learns_and_scores(spark):
-    trained = models.train(_points(spark), "side", "classification", "logistic_regression", ["id"], ["x", "z"], C=100.0)
+    trained = models.train(_points(spark), "side", "classification", "logistic_regression", ["id"], ["x", "z"], C=100.0, max_iter=20)
     found = models.evaluate(trained)
     assert found["accuracy"] > 0.95 and found["roc_auc"] > 0.99
     scored = models.score(trained.model, _points(spark).drop("side"))
@@ -143,7 +143,7 @@ def test_training_learns_and_scores(spark):
 @pytest.mark.parametrize("model", ["random_forest", "svm", "xgboost"])
 def test_three_class_models(spark, model):
     df = _points(spark).withColumn("band", F.floor(F.col("x") / 6))
-    params = {"random_forest": {"n_estimators": 5}, "svm": {"C": 10.0}, "xgboost": {"n_estimators": 3, "max_depth": 2}}[model]
+    params = {"random_forest": {"n_estimators": 5}, "svm": {"C": 10.0, "max_iter": 5}, "xgboost": {"n_estimators": 3, "max_depth": 2}}[model]
     trained = models.train(df, "band", "classification", model, ["id"], ["x", "z"], **params)
     found = models.evaluate(trained)
     assert 0 <= found["accuracy"] <= 1 and 0.5 < found["roc_auc"] <= 1
