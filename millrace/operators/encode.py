@@ -12,6 +12,7 @@ from millrace.operators.base import Fitted, transform_of
 
 MAX_INDICATORS = 2_000
 MAX_LITERAL_CLASSES = 10_000
+MAP_CLASSES = 200  # a map literal is searched from the start, so larger mappings are joined
 
 
 def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) -> Fitted:
@@ -48,7 +49,7 @@ def _one_hot(df: DataFrame, config: dict) -> DataFrame:
 
 
 def fit_classes(df: DataFrame, column: str) -> Fitted:
-    """Map sorted categories to 0..k-1, as a literal map.
+    """Map sorted categories to 0..k-1, with the mapping in the config.
 
     Above ``MAX_LITERAL_CLASSES`` use :func:`encode_many_classes`, which needs no map on
     the driver.
@@ -69,6 +70,12 @@ def _encode(df: DataFrame, config: dict) -> DataFrame:
     if not config["mapping"]:
         return replaced(df, {c: F.lit(None).cast("int")})
     dtype = df.schema[c].dataType
+    if len(config["mapping"]) > MAP_CLASSES:
+        table = df.sparkSession.createDataFrame(
+            [(v, i) for v, i in config["mapping"]], f"_value {dtype.simpleString()}, _code int"
+        )
+        joined = without_nan(df).join(F.broadcast(table), col(c) == F.col("_value"), "left")
+        return joined.select(*[F.col("_code").alias(n) if n == c else col(n) for n in df.columns])
     flat = [part for value, code in config["mapping"] for part in (F.lit(value).cast(dtype), F.lit(code))]
     return replaced(without_nan(df), {c: F.try_element_at(F.create_map(*flat), col(c))})
 
@@ -89,7 +96,7 @@ def encode_many_classes(df: DataFrame, column: str) -> tuple[DataFrame, DataFram
 
 
 def encode_classes(df: DataFrame, column: str) -> DataFrame:
-    """Encode by literal map while the classes are few, by join otherwise."""
+    """Encode from a stored mapping of at most ``MAX_LITERAL_CLASSES``, by a distributed one beyond."""
     if column not in df.columns:
         raise ValueError(f"column {column!r} does not exist")
     if len(categories(without_nan(df), column, MAX_LITERAL_CLASSES)) > MAX_LITERAL_CLASSES:

@@ -104,6 +104,8 @@ def test_encode_classes_sorts_by_type(frame):
 def test_encoding_is_the_same_by_join(frame, monkeypatch):
     df = frame([(i, f"v{i % 7}") for i in range(50)] + [(99, None)], "id int, s string")
     few = encode.encode_classes(df, "s").orderBy("id").collect()
+    monkeypatch.setattr(encode, "MAP_CLASSES", 3)
+    assert encode.encode_classes(df, "s").orderBy("id").collect() == few
     monkeypatch.setattr(encode, "MAX_LITERAL_CLASSES", 3)
     many = encode.encode_classes(df, "s").orderBy("id").collect()
     assert [(r["id"], r["s"]) for r in few] == [(r["id"], r["s"]) for r in many]
@@ -133,6 +135,25 @@ def test_oversample_keeps_originals_and_null_class(frame):
     assert out.where("id < 40 and c <> 'x' or id >= 45 and c <> 'y'").count() == 0
 
 
+def test_draws_do_not_depend_on_chunks(frame, monkeypatch):
+    df = frame([(1, "a")], "id int, c string")
+    counts, extra = {"a": 7, "b": 11}, {"a": 5, "b": 23}
+    whole = sorted(balance.draws(df, "c", counts, extra, 1).collect())
+    monkeypatch.setattr(balance, "CHUNK", 4)
+    assert sorted(balance.draws(df, "c", counts, extra, 1).collect()) == whole and len(whole) == 28
+
+
+def test_wide_frames_use_the_grouped_layout(spark):
+    """More columns than fit one aggregate give the same statistics."""
+    wide = spark.range(50).selectExpr("id", *[f"CASE WHEN id % {i + 2} = 0 THEN NULL ELSE id * {i + 1}.0D END AS c{i}" for i in range(12)])
+    names = [f"c{i}" for i in range(12)]
+    together = scale.fit_standard(wide, names).config["stats"]
+    for c in names:
+        assert together[c] == pytest.approx(scale.fit_standard(wide, [c]).config["stats"][c])
+    filled = clean.fit_missing(wide, "mean", names).config["fills"]
+    assert filled == pytest.approx({c: v[0] for c, v in together.items()})
+
+
 def test_oversample_errors(frame):
     df = frame([(1, "a"), (2, "a")], "id int, c string")
     for args in (("c", {"a": 1}), ("nope", {"a": 1})):
