@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import workload  # noqa: E402
-from millrace.session import local_session  # noqa: E402
+from millrace.session import drop_stages, local_session  # noqa: E402
 
 HEADLINE = [
     "impute_mean", "impute_median", "impute_mode", "drop_outliers_iqr", "drop_outliers_zscore", "correlation_matrix",
@@ -29,7 +30,7 @@ HEADLINE = [
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench", tempfile.mkdtemp(prefix="bench-"))
     chosen = sys.argv[1:] or HEADLINE
     seconds: dict[str, float] = {}
     for name in chosen:
@@ -48,6 +49,7 @@ def main() -> None:
             }
         )
     )
+    drop_stages(spark)
     spark.stop()
 
 
