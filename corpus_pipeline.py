@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import language, superminhash
 from millrace.session import cut_lineage
@@ -15,7 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that are near no learned language."""
-    found = language.identify(docs.select(COLUMNS).withColumn("_kept", F.col("text")), language.fit(docs), keep=[*COLUMNS])
+    found = language.identify(docs, language.fit(docs), keep=COLUMNS)
     return found.where("NOT rejected").select(COLUMNS)
 
 

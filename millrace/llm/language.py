@@ -3,7 +3,8 @@
 A text becomes a vector of hashed character 2- and 3-grams with weight ``(1 + ln count) * idf``, scaled to length 1.
 Each language has several centroids, found by spherical k-means over a bounded sample of its labelled rows. A text gets
 the language of the centroid with the largest cosine. It is rejected if its distance ``1 - cosine`` is larger than the
-centroid's radius, which is set by the distances of the labelled rows around it.
+centroid's radius. Short texts lie further from any centroid than long ones, so there is a radius for each class of length: the largest
+distance of the sample's texts, and of pieces of them of that length, times a slack.
 
 Defined results: a null text and one without a letter are ``und`` with score 0 and rejected. Rows without a label are not
 learned from; with nothing to learn from, every text is ``und``. Equal cosines go to the language that sorts first.
@@ -24,6 +25,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 UNKNOWN = "und"
 ROWS = 128  # texts whose vectors are held at once
+LENGTHS = np.array([16, 64, 256, 1024])  # upper ends of the classes of length, in characters; longer texts are the last
+FARTHEST = 0.999  # what shares next to nothing with a language is rejected at any length
 SCORED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
 
 
@@ -33,7 +36,7 @@ class LanguageModel:
 
     langs: list[str]
     centroids: np.ndarray
-    radius: np.ndarray
+    radius: np.ndarray  # by centroid and class of length
     idf: np.ndarray
     buckets: int
 
@@ -76,8 +79,8 @@ def vectors(texts: list[str | None], idf: np.ndarray, buckets: int) -> np.ndarra
     return unit_rows(x)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means with farthest-first starts; returns centroids and the members' places."""
+def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means with farthest-first starts; returns the centroids."""
     chosen = [0]
     best = x @ x[0]
     while len(chosen) < min(k, len(x)):
@@ -90,7 +93,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.nda
         sums = np.zeros_like(centres)
         np.add.at(sums, at, x)
         centres = np.where((sums != 0).any(axis=1)[:, None], unit_rows(sums), centres)
-    return centres, np.argmax(x @ centres.T, axis=1)
+    return centres
 
 
 def fit(
@@ -116,7 +119,7 @@ def fit(
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return LanguageModel([], np.zeros((0, buckets), np.float32), np.zeros(0), np.ones(buckets, np.float32), buckets)
+        return LanguageModel([], np.zeros((0, buckets), np.float32), np.zeros((0, 5)), np.ones(buckets, np.float32), buckets)
     top = 1 << 30
     limits = F.create_map(*[F.lit(v) for g in langs for v in (g, int(top * min(1.0, sample_per_language / sizes[g])))])
     draw = F.pmod(F.xxhash64(F.lit(17), F.col("key").cast("string")), F.lit(top))
@@ -129,13 +132,20 @@ def fit(
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        x = vectors(sorted(group["text"]), idf, buckets)
-        centres, at = cluster(x, centroids)
-        away = 1 - np.einsum("ij,ij->i", x, centres[at])
-        radius = [min(1.0, slack * away[at == i].max()) if (at == i).any() else 0.0 for i in range(len(centres))]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "radius": radius})
-
-    learned = taken.groupBy("lang").applyInPandas(learn, "lang string, centre binary, radius double").collect()
+        texts = sorted(group["text"])
+        x = vectors(texts, idf, buckets)
+        centres = cluster(x, centroids)
+        radius = [1 - (x @ centres.T).max(axis=1).min()] * (len(LENGTHS) + 1)
+        random = np.random.default_rng(17)
+        for at, (low, high) in enumerate(zip([0, *LENGTHS], LENGTHS)):
+            spans = [(t, int(random.integers(low + 1, high + 1))) for t in texts for _ in range(2)]
+            parts = [t[(start := int(random.integers(max(1, len(t) - n)))) : start + n] for t, n in spans]
+            y = vectors([p for p in parts if has_letter(p)], idf, buckets)
+            radius[at] = max(radius[at], 1 - (y @ centres.T).max(axis=1).min()) if len(y) else FARTHEST
+        radius = np.minimum(FARTHEST, slack * np.array(radius))
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "radius": [radius] * len(centres)})
+
+    learned = taken.groupBy("lang").applyInPandas(learn, "lang string, centre binary, radius array<double>").collect()
     learned = sorted(learned, key=lambda r: (r["lang"], bytes(r["centre"])))
     return LanguageModel(
         [r["lang"] for r in learned],
@@ -180,7 +190,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
                     near = vectors(part, m.idf, m.buckets) @ m.centroids.T
                     best = np.argmax(near, axis=1)
                     cosine = np.clip(near[np.arange(len(part)), best].astype(float), 0, 1)
-                    far = 1 - cosine > m.radius[best]
+                    far = 1 - cosine > m.radius[best, [np.searchsorted(LENGTHS, len(t or "")) for t in part]]
                 else:
                     best, cosine, far = np.zeros(len(part), int), np.zeros(len(part)), np.ones(len(part), bool)
                 preds += [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, known)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, superminhash
+from millrace.llm import language, packing, superminhash, tokencount
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -21,3 +21,13 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_superminhash_dedup")
 def op3_superminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, folder, "documents"))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
