@@ -112,7 +112,7 @@ def _rows(sets: list[np.ndarray], bands: int, rows: int, size: int) -> tuple[lis
     if not sets:
         return [], [], []
     marks = signatures(sets, size).reshape(len(sets), bands, rows)
-    keys = np.full((len(sets), bands), 7, np.uint64)
+    keys = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))  # so that bands don't share keys
     for r in range(rows):
         keys = mix(keys * _STEP + marks[:, :, r])
     n = [len(s) for s in sets]
@@ -141,9 +141,9 @@ def near_duplicates(
     marks = cut_lineage(sketch(df, text, key, width, bands, rows))
     classes = marks.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    centres = banded.groupBy("band", "bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    ties = banded.join(centres, ["band", "bucket"]).where("rep <> centre").select("rep", "centre").distinct()
+    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    centres = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).where("m > 1")
+    ties = banded.join(centres, "bucket").where("rep <> centre").select("rep", "centre").distinct()
     families = cut_lineage(components(cut_lineage(ties), "rep", "centre").withColumnRenamed("label", "family"))
     links = _verified(df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")), classes, families, width, percent, block)
     found = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("label").alias("component"))
@@ -232,6 +232,7 @@ def _verified(texts: DataFrame, classes: DataFrame, families: DataFrame, width:
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     members = members.join(blocks, "family")
     members = cut_lineage(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    texts = texts.hint("merge")  # one plan at every size: texts are dealt by id, never sent to all
     meets = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     dealt = members.select("rep", F.col("rep").alias("label"), "family", F.explode(meets).alias("with"))
     dealt = dealt.select("rep", "label", F.struct("family", F.lit(0).alias("of"), "with").alias("task"))
