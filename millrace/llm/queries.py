@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, packing, superminhash, tokencount
+from millrace.llm import language, mixing, packing, permutation, pivotdistance, superminhash, tokencount, warc
+from millrace.session import shared_path
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -31,3 +32,65 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op2_permutation_index")
+def op2_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation.neighbours(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+OP7_SQL = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op7_pivot_distance", OP7_SQL)
+def op7_pivot_distance(spark: SparkSession, folder: str) -> DataFrame:
+    return pivotdistance.top_products(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op8_source_mix")
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+OP10_SQL = """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+    ), d AS (
+        SELECT page_id, n,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+                   (CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS g
+        FROM p
+    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY g, n) AS first FROM d)
+    SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    captures = warc.assemble(warc.payload_sha1(warc.read_warc(spark, path)))
+    answer, facts = F.col("response"), F.col("metadata.fields")
+    revisit = answer["type"] == "revisit"
+    return captures.select(
+        facts["capture"].cast("long").alias("page_id"),
+        F.when(revisit, facts["payload-bytes"].cast("long")).otherwise(answer["payload_bytes"]).alias("payload_bytes"),
+        F.when(revisit, F.substring(answer["payload_digest"], 6, 32)).otherwise(answer["payload_sha1"]).alias("payload_digest"),
+        answer["type"].alias("record_type"),
+        F.regexp_extract(answer["refers_to"], "^<urn:capture:(.*):response>$", 1).cast("long").alias("refers_to"),
+    )
