@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, packing, permutation, pivotdistance, superminhash, tokencount, warc
+from millrace.llm import language, mixing, packing, permutation, pivotdistance, secrets, superminhash, tokencount, warc
 from millrace.session import shared_path
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -94,3 +94,19 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         answer["type"].alias("record_type"),
         F.regexp_extract(answer["refers_to"], "^<urn:capture:(.*):response>$", 1).cast("long").alias("refers_to"),
     )
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.scan(docs, secrets.learn(docs))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
