@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, packing, permutation, pivotdistance, secrets, superminhash, tokencount, warc
+from millrace.llm import language, mixing, packing, permutation, pivotdistance, secrets, substrings, superminhash, tokencount, warc
 from millrace.session import shared_path
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -110,3 +110,8 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "format")
     counts = [count(kind) for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents")).drop("kept")
