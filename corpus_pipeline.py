@@ -1,38 +1,75 @@
-"""The corpus pipeline: from raw documents to packed sequences, one table per stage."""
+"""The corpus pipeline: from raw documents to packed sequences, one table per stage.
+
+Every stage works on all that the one before kept, and handles nulls in any column, empty and very long texts, repeated rows, empty tables and further
+columns as its operator says. All but the last return the columns of ``documents``; the last returns one row per piece.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import language, superminhash
+from millrace.llm import language, mixing, packing, secrets, superminhash
 from millrace.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that are near no learned language."""
-    found = language.identify(docs, language.fit(docs), keep=COLUMNS)
-    return found.where("NOT rejected").select(COLUMNS)
+    """Drop the documents that are near no learned language: also those with a null text or without a letter."""
+    docs = docs.select(COLUMNS)
+    return language.identify(docs, language.fit(docs), keep=COLUMNS).where("NOT rejected").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Of rows with the same id one stays, the one with the smallest text. Rows without an id go, as no group can name them.
+    """
     kept = superminhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(COLUMNS)
+    one = docs.select("doc_id", F.struct(*COLUMNS[1:]).alias("row")).join(kept.hint("merge"), "doc_id")
+    return one.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret in the texts; no document is dropped."""
+    docs = docs.select(COLUMNS)
+    masked = secrets.redact(docs, secrets.learn(docs))
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes of it, rounded: none, one or two.
+
+    What is taken of rows with the same id is shared evenly among them.
+    """
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = mixing.mix(docs).select("doc_id", times.alias("times")).groupBy("doc_id")
+    taken = taken.agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return docs.join(taken.hint("merge"), "doc_id").withColumn("_copy", copies).select(COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all that is left into sequences of 2048 tokens."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("best_fit_packing", sequences),
 ]
 
-ORACLE_SQL: str | None = None  # trained models and signatures have no SQL form; tests compare with brute force
+ORACLE_SQL: str | None = None  # trained models and token ids have no SQL form; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage is written as Parquet to shared storage and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
