@@ -4,7 +4,7 @@ A capture is written as three records: the request, the response (or a revisit,
 record. Request and metadata name the response in ``WARC-Concurrent-To``. Reading gives one row per record; assembly joins
 the records of a transaction through those identifiers into one nested row per capture.
 
-Archives are plain WARC/1.1 files that any reader understands. Records are text, so Spark's text writer makes the files:
+Archives are gzipped WARC/1.1 files. Records are text, so Spark's text writer makes the files:
 a record is one row, and the line separator is the blank lines that end it. They are read whole, one bounded file at a time, through Spark's
 own file access, and cut by ``Content-Length``, never by what a payload holds.
 
@@ -15,8 +15,7 @@ in no capture; a response without partners has null ones.
 
 from __future__ import annotations
 
-import base64
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,7 +86,17 @@ def write_warc(df: DataFrame, path: str, url: str = "url", payload: str = "html"
     facts = F.concat(F.lit("capture: "), F.col("key"), F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", name("metadata", F.col("key")), [target, concurrent], "application/warc-fields", facts)
     records = rows.select(F.explode(F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _plain(data: bytes) -> bytes:
+    """The bytes of an archive, whether compressed as one member, as one per record, or not at all."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out) or data
 
 
 def _parse(data: bytes) -> Iterator[tuple]:
@@ -120,7 +129,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                columns = list(zip(*_parse(data.as_py())))
+                columns = list(zip(*_parse(_plain(data.as_py()))))
                 if columns:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
