@@ -50,7 +50,7 @@ def neighbours(
     rows = usable(df, key, vector, zero=False)
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots).collect()
     width = max((len(r["vector"]) for r in drawn), default=0)
-    centre = np.array([r["vector"] for r in drawn if len(r["vector"]) == width], float).reshape(-1, width)
+    centre = np.array([r["vector"] for r in drawn if len(r["vector"]) == width], float).reshape(-1, max(1, width))
     prefix = min(prefix, len(centre))
 
     def build(ids: np.ndarray, x: np.ndarray) -> dict[str, bytes]:
