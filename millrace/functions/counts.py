@@ -100,10 +100,7 @@ def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     )
 
 
-def categories(df: DataFrame, name: str, limit: int) -> list:
-    """Sorted distinct non-null values, at most ``limit + 1`` of them."""
-    return [
-        r[0]
-        for r in df.where(col(name).isNotNull()).select(col(name)).distinct().orderBy(col(name)).limit(limit + 1).collect()
-    ]
-
+def categories(df: DataFrame, name: str, limit: int | None = None) -> list:
+    """Sorted distinct non-null values; with ``limit``, at most one more than that."""
+    values = df.where(col(name).isNotNull()).select(col(name)).distinct().orderBy(col(name))
+    return [r[0] for r in (values if limit is None else values.limit(limit + 1)).collect()]

@@ -82,7 +82,6 @@ def fit_outliers(
     method: str = "iqr",
     threshold: float | None = None,
     accuracy: int | None = None,
-    count_removed: bool = False,
 ) -> Fitted:
     """Learn the band every checked column must lie in, from the unfiltered rows.
 
@@ -92,7 +91,7 @@ def fit_outliers(
     if method not in ("iqr", "zscore"):
         raise ValueError("method must be 'iqr' or 'zscore'")
     if threshold is None:
-        threshold = 1.5 if method == "iqr" else 3.0
+        threshold = 1.5
     checked = number_columns(df) if columns is None else [c for c in columns if c in df.columns]
     textual = [c for c in checked if c not in number_columns(df)]
     if textual:
@@ -113,10 +112,8 @@ def fit_outliers(
         "columns": checked,
         "bands": bands,
     }
-    if count_removed:
-        keep = _within(df, config)
-        row = df.agg(F.count("*").alias("rows"), F.count_if(keep).alias("kept")).first()
-        config["rows_removed"] = row["rows"] - row["kept"]
+    row = df.agg(F.count("*").alias("rows"), F.count_if(_within(df, config)).alias("kept")).first()
+    config["rows_removed"] = row["rows"] - row["kept"]
     return Fitted(config)
 
 

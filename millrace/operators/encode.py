@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,12 @@ from millrace.functions.columns import col, replaced, without_nan
 from millrace.functions.counts import categories
 from millrace.functions.ranking import running_sums
 from millrace.operators.base import Fitted, transform_of
+from millrace.session import shared_path
 
-MAX_INDICATORS = 2_000
-MAX_LITERAL_CLASSES = 10_000
-MAP_CLASSES = 200  # a map literal is searched from the start, so larger mappings are joined
-
-
-def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) -> Fitted:
-    """Learn the sorted categories of each column.
+def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, max_categories: int | None = None) -> Fitted:
+    """Learn the sorted categories of each column; every category becomes a column.
 
-    Every category becomes a column, so a column with more than ``MAX_INDICATORS`` of them
-    is an error rather than a schema no reader could open.
+    The categories are the new schema, so they are gathered. ``max_categories`` makes a column with more of them an error.
     """
     absent = [c for c in columns if c not in df.columns]
     if absent:
@@ -27,9 +24,9 @@ def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) ->
     df = without_nan(df)
     found = {}
     for c in columns:
-        values = categories(df, c, MAX_INDICATORS)
-        if len(values) > MAX_INDICATORS:
-            raise ValueError(f"column {c!r} has more than {MAX_INDICATORS} categories; encode_classes fits it better")
+        values = categories(df, c, max_categories)
+        if max_categories is not None and len(values) > max_categories:
+            raise ValueError(f"column {c!r} has more than {max_categories} categories; encode_classes fits it better")
         found[c] = [[f"{c}_{v}", v] for v in values][1 if drop_first else 0 :]
     return Fitted(
         {"operation": "one_hot_encode", "columns": list(columns), "drop_first": drop_first, "indicators": found}
@@ -48,57 +45,51 @@ def _one_hot(df: DataFrame, config: dict) -> DataFrame:
     return df.select(*kept, *flags)
 
 
-def fit_classes(df: DataFrame, column: str) -> Fitted:
-    """Map sorted categories to 0..k-1, with the mapping in the config.
+def class_codes(df: DataFrame, column: str) -> DataFrame:
+    """``(value, code)``: the sorted non-null values with 0..k-1, for any number of values.
 
-    Above ``MAX_LITERAL_CLASSES`` use :func:`encode_many_classes`, which needs no map on
-    the driver.
+    Codes are running counts over the range-partitioned distinct values.
     """
     if column not in df.columns:
         raise ValueError(f"column {column!r} does not exist")
-    values = categories(without_nan(df), column, MAX_LITERAL_CLASSES)
-    if len(values) > MAX_LITERAL_CLASSES:
-        raise ValueError(f"column {column!r} has more than {MAX_LITERAL_CLASSES} classes; use encode_many_classes")
-    return Fitted(
-        {"operation": "encode_classes", "column": column, "mapping": [[v, i] for i, v in enumerate(values)]}
-    )
+    values = without_nan(df).where(col(column).isNotNull()).select(col(column).alias("value")).distinct()
+    values = values.withColumn("one", F.lit(1))
+    return running_sums(values, "value", ["one"]).select("value", (F.col("cum_one") - 1).cast("long").alias("code"))
+
+
+def fit_classes(df: DataFrame, column: str, folder: str | None = None) -> Fitted:
+    """Map sorted values to 0..k-1.
+
+    The mapping is a table, written at once to ``folder``, or to the application's intermediate tables if there is
+    none; the config holds its path.
+    """
+    path = f"{folder.rstrip('/')}/codes-{uuid.uuid4().hex}" if folder else shared_path(df.sparkSession, "codes")
+    class_codes(df, column).write.parquet(path)
+    return Fitted({"operation": "encode_classes", "column": column, "mapping_table": path})
 
 
 @transform_of("encode_classes")
 def _encode(df: DataFrame, config: dict) -> DataFrame:
-    c = config["column"]
-    if not config["mapping"]:
-        return replaced(df, {c: F.lit(None).cast("int")})
-    dtype = df.schema[c].dataType
-    if len(config["mapping"]) > MAP_CLASSES:
-        table = df.sparkSession.createDataFrame(
-            [(v, i) for v, i in config["mapping"]], f"_value {dtype.simpleString()}, _code int"
-        )
-        joined = without_nan(df).join(F.broadcast(table), col(c) == F.col("_value"), "left")
-        return joined.select(*[F.col("_code").alias(n) if n == c else col(n) for n in df.columns])
-    flat = [part for value, code in config["mapping"] for part in (F.lit(value).cast(dtype), F.lit(code))]
-    return replaced(without_nan(df), {c: F.try_element_at(F.create_map(*flat), col(c))})
+    return _coded(df, config["column"], df.sparkSession.read.parquet(config["mapping_table"]))
 
 
-def encode_many_classes(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Encode a column of any cardinality; returns the frame and the (value, code) table.
+def _coded(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    """Look codes up by a join; rows with a null have none and stay out of it.
 
-    Codes are running counts over the range-partitioned distinct values; the table is
-    joined back, and left to the optimizer to broadcast if it turns out small.
+    A frequent value is a skewed join key, which the optimizer splits; a small mapping it broadcasts.
     """
-    if column not in df.columns:
-        raise ValueError(f"column {column!r} does not exist")
     df = without_nan(df)
-    values = df.where(col(column).isNotNull()).select(col(column).alias("value")).distinct().withColumn("one", F.lit(1))
-    codes = running_sums(values, "value", ["one"]).select("value", (F.col("cum_one") - 1).cast("long").alias("code"))
-    joined = df.join(codes, col(column) == F.col("value"), "left")
-    return joined.select(*[F.col("code").alias(c) if c == column else col(c) for c in df.columns]), codes
+    names = df.columns
+    known = df.where(col(column).isNotNull()).join(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), col(column) == F.col("_value"), "left")
+    known = known.select(*[F.col("_code").alias(c) if c == column else col(c) for c in names])
+    return known.unionByName(replaced(df.where(col(column).isNull()), {column: F.lit(None).cast("long")}))
+
+
+def encode_many_classes(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The encoded frame and the ``(value, code)`` table."""
+    codes = class_codes(df, column)
+    return _coded(df, column, codes), codes
 
 
 def encode_classes(df: DataFrame, column: str) -> DataFrame:
-    """Encode from a stored mapping of at most ``MAX_LITERAL_CLASSES``, by a distributed one beyond."""
-    if column not in df.columns:
-        raise ValueError(f"column {column!r} does not exist")
-    if len(categories(without_nan(df), column, MAX_LITERAL_CLASSES)) > MAX_LITERAL_CLASSES:
-        return encode_many_classes(df, column)[0]
-    return fit_classes(df, column).transform(df)
+    return encode_many_classes(df, column)[0]

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col
 from millrace.functions.ranking import running_sums
+from millrace.session import cut_lineage
 
-MATRIX_CLASSES = 1_000
 BLOCK_POINTS = 2_048
 
 
@@ -26,23 +26,19 @@ def confusion_counts(scored: DataFrame, label: str = "label", prediction: str =
 def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``(label, prediction, n)`` of every pair of known classes, zeros included.
 
-    The counts are fixed first (at most classes squared rows), the grid of classes is laid
-    out by ``spark.range`` and looked up.
+    The classes are numbered; the grid of all pairs is laid out by ``spark.range`` and named by two joins on the number.
     """
     counts = confusion_counts(scored, label, prediction)
-    rows = counts.select(F.explode(F.array("label", "prediction")).alias("c")).distinct().limit(MATRIX_CLASSES + 1)
-    classes = sorted(r["c"] for r in rows.collect() if r["c"] is not None)
-    if len(classes) > MATRIX_CLASSES:
-        raise ValueError(f"over {MATRIX_CLASSES} classes; use confusion_counts")
-    if not classes:
+    values = counts.select(F.explode(F.array("label", "prediction")).alias("value")).where("value IS NOT NULL").distinct()
+    codes = running_sums(values.withColumn("one", F.lit(1)), "value", ["one"])
+    codes = cut_lineage(codes.select("value", (F.col("cum_one") - 1).cast("long").alias("code")))
+    k = codes.count()
+    if not k:
         return counts
-    k = len(classes)
-    names = F.array(*[F.lit(c) for c in classes])
-    grid = scored.sparkSession.range(k * k).select(
-        F.element_at(names, (F.floor(F.col("id") / k) + 1).cast("int")).alias("label"),
-        F.element_at(names, (F.col("id") % k + 1).cast("int")).alias("prediction"),
-    )
-    return grid.join(counts, ["label", "prediction"], "left").select(
+    grid = scored.sparkSession.range(k * k).select(F.floor(F.col("id") / k).alias("row"), (F.col("id") % k).alias("place"))
+    rows = codes.select(F.col("code").alias("row"), F.col("value").alias("label"))
+    places = codes.select(F.col("code").alias("place"), F.col("value").alias("prediction"))
+    return grid.join(rows, "row").join(places, "place").join(counts, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -156,8 +152,8 @@ def roc_curve(scored: DataFrame, scores: dict, label: str = "label") -> DataFram
     return points.unionByName(origin)
 
 
-def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster", metric: str = "squared_euclidean") -> DataFrame:
-    """One row ``silhouette_score``.
+def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster", *, metric: str) -> DataFrame:
+    """One row ``metric, silhouette_score``; ``metric`` is ``euclidean`` or ``squared_euclidean``.
 
     The squared Euclidean form has a closed expression per row and costs one pass. The
     plain Euclidean form has none: every pair of distinct points has to be measured, so its
@@ -165,13 +161,13 @@ def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster", met
     """
     features = [f for f in features if f != cluster]
     if metric == "euclidean":
-        return _euclidean_silhouette(df, features, cluster)
+        return _euclidean_silhouette(df, features, cluster).select(F.lit(metric).alias("metric"), "silhouette_score")
     if metric != "squared_euclidean":
         raise ValueError("metric must be 'squared_euclidean' or 'euclidean'")
     rows = df.select(*[as_double(df, f).alias(f"x{i}") for i, f in enumerate(features)], col(cluster).cast("int").alias("prediction"))
     vectors = VectorAssembler(inputCols=rows.columns[:-1], outputCol="features").transform(rows)
     score = ClusteringEvaluator().evaluate(vectors)
-    return df.sparkSession.createDataFrame([(float(score),)], "silhouette_score double")
+    return df.sparkSession.createDataFrame([(metric, float(score))], "metric string, silhouette_score double")
 
 
 def _euclidean_silhouette(df: DataFrame, features: list[str], cluster: str) -> DataFrame:

@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col, column_kinds, without_nan
-from millrace.functions.counts import categories
 from millrace.operators import metrics
 from millrace.operators.split import assign_folds, train_test_split, validate_target
 
-MAX_TARGET_CLASSES = 1_000
+DEEPEST = 30  # of Spark's trees
 
 
 def _logistic(n: int, classes: int, seed: int, C=1.0, max_iter=100, solver="lbfgs", penalty="l2", l1_ratio=0.5):
@@ -44,7 +43,9 @@ def _logistic(n: int, classes: int, seed: int, C=1.0, max_iter=100, solver="lbfg
 def _forest(kind, seed, n_estimators=100, max_depth=10, min_samples_split=2, min_samples_leaf=1):
     if min_samples_split != 2:
         raise ValueError("min_samples_split has no counterpart here; use min_samples_leaf")
-    return kind(numTrees=n_estimators, maxDepth=min(max_depth, 30), minInstancesPerNode=min_samples_leaf, seed=seed)
+    if max_depth > DEEPEST:
+        raise ValueError(f"trees deeper than {DEEPEST} cannot be trained here")
+    return kind(numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, seed=seed)
 
 
 def _boosted(kind, seed, n_estimators=100, max_depth=6, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0):
@@ -118,6 +119,15 @@ def _estimator(task: str, model: str, n: int, classes: int, seed: int, params: d
     return builder(n, classes, seed, **params)
 
 
+def class_labels(df: DataFrame, target: str) -> list[str]:
+    """The classes of a target in value order, as the text Spark's cast gives them.
+
+    A model has parameters for every class, so they are gathered.
+    """
+    values = df.where(col(target).isNotNull()).select(col(target).alias("value")).distinct()
+    return [r["label"] for r in values.orderBy("value").select(F.col("value").cast("string").alias("label")).collect()]
+
+
 def _prepare(df, target, task, model, key, test_size, seed, features):
     df = without_nan(df)
     if features is None:
@@ -128,9 +138,7 @@ def _prepare(df, target, task, model, key, test_size, seed, features):
         raise ValueError(f"features {bad} are not numeric; encode or drop them first")
     rows = validate_target(df, target, test_size)
     classify = task.lower() == "classification"
-    classes = categories(df, target, MAX_TARGET_CLASSES) if classify else None
-    if classes and len(classes) > MAX_TARGET_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_TARGET_CLASSES} classes")
+    classes = class_labels(df, target) if classify else None
     narrow = df.select(*[col(c) for c in dict.fromkeys([*key, *features, target])])
     split = train_test_split(narrow, key, test_size, seed, target if classify else None)
     train = split.where("split = 'train'").drop("split")
@@ -141,9 +149,8 @@ def _prepare(df, target, task, model, key, test_size, seed, features):
 def _stages(target: str, features: list[str], classes: list | None):
     before, after = [], []
     if classes is not None:
-        text = [str(c).lower() if isinstance(c, bool) else str(c) for c in classes]
-        before.append(StringIndexerModel.from_labels(text, inputCol=target, outputCol="label"))
-        after.append(IndexToString(inputCol="prediction", outputCol="predicted_class", labels=text))
+        before.append(StringIndexerModel.from_labels(classes, inputCol=target, outputCol="label"))
+        after.append(IndexToString(inputCol="prediction", outputCol="predicted_class", labels=classes))
     before.append(VectorAssembler(inputCols=features, outputCol="features"))
     return before, after
 

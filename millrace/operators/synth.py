@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -13,12 +14,15 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import FRACTIONAL, as_double, col, is_number, is_temporal, without_nan
 from millrace.functions.counts import distinct_counts, value_counts
+from millrace.functions.ranking import running_sums
 from millrace.operators.clean import correlation
 from millrace.operators.quality import as_number, quality_report
+from millrace.session import cut_lineage
 
 GRID = 1_000
-MAX_CATEGORIES = 10_000
 MAX_DECIMALS = 6
+BUCKETS = 64
+BELOW_ONE = 1 - 2**-53
 
 
 def detect_roles(df: DataFrame) -> dict[str, str]:
@@ -26,7 +30,7 @@ def detect_roles(df: DataFrame) -> dict[str, str]:
 
     Whole non-negative numbers with at most ten values count as categories; columns of
     all-different whole numbers or texts as ids; texts with a distinct value for more than
-    every fifth row are free text.
+    every fifth row are free text. The thresholds are those of the metadata detection of a public synthesis library.
     """
     numeric = [f.name for f in df.schema.fields if is_number(f.dataType)]
     temporal = [f.name for f in df.schema.fields if is_temporal(f.dataType)]
@@ -58,7 +62,7 @@ def detect_roles(df: DataFrame) -> dict[str, str]:
         elif rows > 5 and unique[c] == rows:
             roles[c] = "id"
         elif rows <= 5 or unique[c] <= max(round(rows / 5), 1):
-            roles[c] = "categorical" if unique[c] <= MAX_CATEGORIES else "unknown"
+            roles[c] = "categorical"
         else:
             roles[c] = "unknown"
     return roles
@@ -70,13 +74,17 @@ def roles_table(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Copula:
-    """Marginals and the correlation of normal scores; small, whatever the table's size."""
+    """Marginals and the correlation of normal scores.
+
+    Grids and correlations are small whatever the table's size. ``shares`` has a table per category column, ``(value, start,
+    end, middle)``: the value's part of the unit interval, and the normal score of its middle.
+    """
 
     columns: list[str]
     types: dict[str, T.DataType]
     roles: dict[str, str]
     grids: dict[str, list[float]]
-    shares: dict[str, list[tuple[str, float]]]
+    shares: dict[str, DataFrame]
     gaps: dict[str, float]
     decimals: dict[str, int | None]
     cholesky: list[list[float]]
@@ -132,23 +140,35 @@ def fit_copula(df: DataFrame) -> Copula:
             continue
         grids[c] = [row[f"l{i}"], *row[f"q{i}"][1:-1], row[f"h{i}"]]
         decimals[c] = next((d for d in range(MAX_DECIMALS + 1) if row[f"d{i}_{d}"] == 0), None)
-    shares: dict[str, list[tuple[str, float]]] = {}
-    if labels:
-        for r in value_counts(df, labels).orderBy("column", F.col("n").desc(), "value").collect():
-            shares.setdefault(r["column"], []).append((r["value"], r["n"]))
-        shares = {c: [(v, n / sum(m for _, m in pairs)) for v, n in pairs] for c, pairs in shares.items()}
+    labels = [c for c in labels if gaps[c] < 1]
+    shares = category_shares(df, labels) if labels else {}
     fitted = Copula(df.columns, {f.name: f.dataType for f in df.schema.fields}, roles, grids, shares, gaps, decimals, [])
     fitted.cholesky = _factor(df, fitted)
     return fitted
 
 
-def _middle_scores(pairs: list[tuple[str, float]]) -> dict[str, float]:
-    """Normal score of the middle of each category's share of the unit interval."""
-    out, start = {}, 0.0
-    for value, share in pairs:
-        out[value] = NormalDist().inv_cdf(min(max(start + share / 2, 1e-9), 1 - 1e-9))
-        start += share
-    return out
+def category_shares(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """The parts of the unit interval, the most frequent value first, for any number of values; fixed in shared storage."""
+    counts = value_counts(df, columns)
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    ordered = counts.join(F.broadcast(totals), "column")  # one row per column
+    ordered = ordered.select("column", F.struct((-F.col("n")).alias("fewer"), "value").alias("place"), "n", "total")
+    ends = running_sums(ordered, "place", ["n"], "column")
+    parts = ends.select(
+        "column",
+        F.col("place.value").alias("value"),
+        ((F.col("cum_n") - F.col("n")) / F.col("total")).alias("start"),
+        (F.col("cum_n") / F.col("total")).alias("end"),
+    )
+
+    def with_middle(batches):
+        for batch in batches:
+            middle = ((batch["start"] + batch["end"]) / 2).clip(1e-9, 1 - 1e-9)
+            yield batch.assign(middle=[NormalDist().inv_cdf(p) for p in middle])
+
+    kind = "column string, value string, start double, end double, middle double"
+    table = cut_lineage(parts.mapInPandas(with_middle, kind))
+    return {c: table.where(F.col("column") == c).drop("column") for c in columns}
 
 
 def normal_scores(df: DataFrame, fitted: Copula) -> DataFrame:
@@ -160,15 +180,16 @@ def normal_scores(df: DataFrame, fitted: Copula) -> DataFrame:
             for i, c in enumerate(names)
         ]
     )
-    tables, lookups = {}, {}
+    tables = {}
     z = _scores()
     for i, c in enumerate(names):
         if c in fitted.grids:
-            grid = np.array(fitted.grids[c])
-            points, at = np.unique(grid, return_inverse=True)
+            points, at = np.unique(np.array(fitted.grids[c]), return_inverse=True)
             tables[i] = (points, np.bincount(at, weights=z) / np.bincount(at))
         else:
-            lookups[i] = _middle_scores(fitted.shares[c])
+            middles = fitted.shares[c].select(F.col("value").alias("_value"), F.col("middle").alias("_middle"))
+            rows = rows.join(middles, F.col(f"v{i}") == F.col("_value"), "left").withColumn(f"v{i}", F.col("_middle"))
+            rows = rows.drop("_value", "_middle")
 
     def look_up(batches):
         for batch in batches:
@@ -179,7 +200,7 @@ def normal_scores(df: DataFrame, fitted: Copula) -> DataFrame:
                     x = values.to_numpy(dtype=float, na_value=np.nan)
                     out[f"z{i}"] = np.where(np.isnan(x), np.nan, np.interp(x, *tables[i]))
                 else:
-                    out[f"z{i}"] = values.map(lookups[i]).to_numpy(dtype=float)
+                    out[f"z{i}"] = values.to_numpy(dtype=float, na_value=np.nan)
             yield pd.DataFrame(out)
 
     return rows.mapInPandas(look_up, ", ".join(f"z{i} double" for i in range(len(names))))
@@ -200,14 +221,22 @@ def _factor(df: DataFrame, fitted: Copula) -> list[list[float]]:
     return np.linalg.cholesky(matrix / np.outer(scale, scale)).tolist()
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution below each score."""
+    below = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x.tolist()])
+    return np.clip(below, 0, BELOW_ONE)
+
+
 def _uniform(seed: int, stream: int) -> Column:
     """A number in (0, 1) fixed by seed, stream and row id."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), F.col("id")), 11)
     return (bits.cast("double") + 0.5) / float(1 << 53)
 
 
-def sample_copula(spark: SparkSession, fitted: Copula, rows: int, seed: int = 42) -> DataFrame:
-    """Exactly ``rows`` synthetic rows.
+def sample_copula(
+    spark: SparkSession, fitted: Copula, rows: int, seed: int = 42, starts: dict[str, int] | None = None
+) -> DataFrame:
+    """Exactly ``rows`` synthetic rows; whole-number ids count from 0, or from their column's entry in ``starts``.
 
     Row ``i`` depends on seed and ``i`` alone, so lost tasks come back the same and any
     number of partitions works. Values stay inside the learnt range.
@@ -233,40 +262,47 @@ def sample_copula(spark: SparkSession, fitted: Copula, rows: int, seed: int = 42
     )
     z = _scores()
     grids = {i: np.array(fitted.grids[c]) for i, c in enumerate(names) if c in fitted.grids}
-    cuts, labels = {}, {}
-    for i, c in enumerate(names):
-        if c in fitted.shares:
-            ends = np.cumsum([s for _, s in fitted.shares[c]])[:-1]
-            cuts[i] = np.array([NormalDist().inv_cdf(min(max(e, 1e-12), 1 - 1e-12)) for e in ends])
-            labels[i] = np.array([v for v, _ in fitted.shares[c]], dtype=object)
     kept = ["id", *[f"g{i}" for i in range(len(fitted.columns))]]
-
     def look_up(batches):
         for batch in batches:
             out = batch[kept].copy()
             for i in range(k):
                 x = batch[f"z{i}"].to_numpy()
-                out[f"v{i}"] = np.interp(x, z, grids[i]) if i in grids else labels[i][np.searchsorted(cuts[i], x)]
+                out[f"v{i}"] = np.interp(x, z, grids[i]) if i in grids else _unit(x)
             yield out
 
-    schema = ", ".join(
-        ["id bigint"]
-        + [f"{c} double" for c in kept[1:]]
-        + [f"v{i} {'double' if i in grids else 'string'}" for i in range(k)]
-    )
+    schema = ", ".join(["id bigint"] + [f"{c} double" for c in kept[1:]] + [f"v{i} double" for i in range(k)])
     values = mixed.mapInPandas(look_up, schema)
+    for i, c in enumerate(names):
+        if c in fitted.shares:
+            values = _chosen(values, f"v{i}", fitted.shares[c])
     out = []
     for i, c in enumerate(fitted.columns):
-        made = _typed(fitted, c, names.index(c) if c in names else None)
+        made = _typed(fitted, c, names.index(c) if c in names else None, (starts or {}).get(c, 0))
         out.append(F.when(F.col(f"g{i}") >= fitted.gaps[c], made).alias(c))
     return values.select(*out)
 
 
-def _typed(fitted: Copula, c: str, at: int | None) -> Column:
+def _chosen(rows: DataFrame, column: str, shares: DataFrame) -> DataFrame:
+    """Replace a number of the unit interval by the value whose part it lies in.
+
+    Parts and numbers meet by bucket of the interval. There are as many buckets as values, so a bucket holds few parts on
+    average, and a frequent value has its rows spread over all the buckets of its part.
+    """
+    buckets = max(shares.count(), BUCKETS)
+    low, high = F.floor(F.col("start") * buckets), F.least(F.floor(F.col("end") * buckets), F.lit(buckets - 1))
+    parts = shares.select("start", "end", "value", F.explode(F.sequence(low, high)).alias("_bucket"))
+    rows = rows.withColumn("_bucket", F.floor(F.col(column) * buckets))
+    inside = (F.col(column) >= F.col("start")) & (F.col(column) < F.col("end"))
+    met = rows.join(parts, (rows["_bucket"] == parts["_bucket"]) & inside)
+    return met.drop("_bucket", "start", "end").withColumn(column, F.col("value")).drop("value")
+
+
+def _typed(fitted: Copula, c: str, at: int | None, start: int) -> Column:
     dtype = fitted.types[c]
     if at is None:
         if fitted.roles[c] in ("id", "unknown"):
-            return (F.col("id") if is_number(dtype) else F.concat(F.lit(f"{c}-"), F.col("id"))).cast(dtype)
+            return (F.col("id") + start if is_number(dtype) else F.concat(F.lit(f"{c}-"), F.col("id"))).cast(dtype)
         return F.lit(None).cast(dtype)
     value = F.col(f"v{at}")
     if c in fitted.shares:
@@ -291,6 +327,7 @@ def synthesize(
     if model_type.lower() != "gaussian_copula":
         raise ValueError("model_type must be 'gaussian_copula'")
     made = sample_copula(df.sparkSession, fit_copula(df), rows, seed)
+    made = cut_lineage(made)  # read by the report and by whoever stores it
     quality = None
     if evaluate:
         report = quality_report(df, made).collect()

@@ -16,14 +16,14 @@ _FITS: dict[str, Fit] = {
     "handle_missing_values": lambda df, c: clean.fit_missing(df, c.get("strategy", "mean"), c.get("columns")),
     "drop_columns": lambda df, c: clean.fit_drop_columns(df, c["columns"]),
     "drop_outliers": lambda df, c: clean.fit_outliers(
-        df, c.get("columns"), c.get("method", "iqr"), c.get("threshold"), count_removed=c.get("count_removed", False)
+        df, c.get("columns"), c.get("method", "iqr"), c.get("threshold")
     ),
     "drop_high_corr_features": lambda df, c: clean.fit_high_correlation(df, c.get("threshold", 0.8)),
     "standard_scale": lambda df, c: scale.fit_standard(df, c["columns"]),
     "minmax_scale": lambda df, c: scale.fit_minmax(df, c["columns"]),
     "robust_scale": lambda df, c: scale.fit_robust(df, c["columns"]),
-    "one_hot_encode": lambda df, c: encode.fit_one_hot(df, c["columns"], c.get("drop_first", False)),
-    "encode_classes": lambda df, c: encode.fit_classes(df, c["column"]),
+    "one_hot_encode": lambda df, c: encode.fit_one_hot(df, c["columns"], c.get("drop_first", False), c.get("max_categories")),
+    "encode_classes": lambda df, c: encode.fit_classes(df, c["column"], c.get("folder")),
     "reduce_dimensionality": lambda df, c: reduce.fit_reduction(
         df, c["columns"], c.get("n_components", 2), c.get("method", "pca")
     ),

@@ -114,9 +114,9 @@ def test_silhouettes_match_brute_force(frame, monkeypatch, block):
     monkeypatch.setattr(metrics, "BLOCK_POINTS", block)
     points = [(((i * 7 % 13) / 2.0, float(i * 5 % 11)), i % 3) for i in range(60)] * 2 + [((50.0, 50.0), 7)]
     df = frame([(*x, c) for x, c in points], "x double, y double, cluster int")
-    found = metrics.silhouette(df, ["x", "y"], metric="euclidean").first()[0]
+    found = metrics.silhouette(df, ["x", "y"], metric="euclidean").first()["silhouette_score"]
     assert found == pytest.approx(_silhouette(points, math.dist))
-    squared = metrics.silhouette(df, ["x", "y", "cluster"]).first()[0]
+    squared = metrics.silhouette(df, ["x", "y", "cluster"], metric="squared_euclidean").first()["silhouette_score"]
     assert squared == pytest.approx(_silhouette(points, lambda a, b: math.dist(a, b) ** 2))
 
 

@@ -43,8 +43,9 @@ def test_outliers_on_constant_columns(frame):
 def test_outlier_nulls(frame):
     df = frame([(float(i),) for i in range(10)] + [(None,)], "x double")
     assert clean.fit_outliers(df, ["x"], "iqr").transform(df).count() == 10
-    assert clean.fit_outliers(df, ["x"], "zscore").transform(df).count() == 11
-    fitted = clean.fit_outliers(df, ["x", "nope"], "iqr", count_removed=True)
+    assert clean.fit_outliers(df, ["x"], "zscore", 3.0).transform(df).count() == 11
+    assert clean.fit_outliers(df, ["x"], "zscore").transform(df).count() == 9  # 1.5 by default, as for iqr
+    fitted = clean.fit_outliers(df, ["x", "nope"], "iqr")
     assert fitted.config["rows_removed"] == 1 and fitted.config["columns"] == ["x"]
 
 
@@ -90,38 +91,55 @@ def test_one_hot_order_nulls_and_replay(frame):
     assert encode.fit_one_hot(df, ["s"], drop_first=True).transform(df).columns == ["id", "n", "s_b"]
 
 
-def test_one_hot_refuses_too_many_columns(spark, monkeypatch):
-    monkeypatch.setattr(encode, "MAX_INDICATORS", 3)
+def test_one_hot_guard_is_the_callers(spark):
     with pytest.raises(ValueError, match="more than 3"):
-        encode.fit_one_hot(spark.range(5), ["id"])
+        encode.fit_one_hot(spark.range(5), ["id"], max_categories=3)
+    assert len(encode.fit_one_hot(spark.range(5), ["id"]).transform(spark.range(5)).columns) == 5
 
 
 def test_encode_classes_sorts_by_type(frame):
     df = frame([(10,), (9,), (None,), (10,)], "n int")
-    assert [r["n"] for r in encode.encode_classes(df, "n").collect()] == [1, 0, None, 1]
+    out = encode.encode_classes(df, "n")
+    assert sorted((r["n"] for r in out.collect()), key=str) == [0, 1, 1, None]
+    assert out.dtypes == [("n", "bigint")]
 
 
-def test_encoding_is_the_same_by_join(frame, monkeypatch):
-    df = frame([(i, f"v{i % 7}") for i in range(50)] + [(99, None)], "id int, s string")
-    few = encode.encode_classes(df, "s").orderBy("id").collect()
-    monkeypatch.setattr(encode, "MAP_CLASSES", 3)
-    assert encode.encode_classes(df, "s").orderBy("id").collect() == few
-    monkeypatch.setattr(encode, "MAX_LITERAL_CLASSES", 3)
-    many = encode.encode_classes(df, "s").orderBy("id").collect()
-    assert [(r["id"], r["s"]) for r in few] == [(r["id"], r["s"]) for r in many]
+def test_encoding_replays_from_its_table(spark, tmp_path):
+    df = spark.range(12_000).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL ELSE concat('v', lpad(id, 6, '0')) END AS s")
+    fitted = encode.fit_classes(df, "s", str(tmp_path))
+    again = replay(json.loads(json.dumps(fitted.config)), df)
+    assert again.dtypes == [("id", "bigint"), ("s", "bigint")]
+    codes = [r["s"] for r in again.where("s IS NOT NULL").orderBy("id").collect()]
+    assert codes == list(range(9_600)) and again.count() == 12_000
+    assert replay(fitted.config, df.where("id < 0").union(spark.createDataFrame([(1, "new")], df.schema))).first()["s"] is None
+
 
+def _targets(df, shares):
+    return {r["class"]: r["target"] for r in balance.balance_plan(df, "c", shares).collect()}
 
-def test_targets_never_shrink_a_class():
-    counts = {"a": 100, "b": 10}
-    targets = balance.oversample_targets(counts, {"a": 50, "b": 50})
-    assert targets == {"a": 100, "b": 100}
-    assert all(balance.oversample_targets(counts, {"a": 1, "b": 99})[c] >= n for c, n in counts.items())
+
+def test_targets_never_shrink_a_class(frame):
+    df = frame([("a",)] * 100 + [("b",)] * 10, "c string")
+    assert _targets(df, {"a": 50, "b": 50}) == {"a": 100, "b": 100}
+    skewed = _targets(df, {"a": 1, "b": 99})
+    assert skewed["a"] >= 100 and skewed["b"] >= 10
 
 
 @pytest.mark.parametrize("shares", [{"a": -1, "b": 2}, {"a": 0, "b": 0}, {"a": 1, "b": 0}, {}])
-def test_bad_shares(shares):
+def test_bad_shares(frame, shares):
     with pytest.raises(ValueError):
-        balance.oversample_targets({"a": 1, "b": 1}, shares)
+        balance.balance_plan(frame([("a",), ("b",)], "c string"), "c", shares)
+
+
+def test_balance_of_logical_classes(frame):
+    df = frame([(True,)] * 3 + [(False,)], "c boolean")
+    assert _targets(df, {True: 1, "False": 1}) == {True: 3, False: 3}
+
+
+def test_synthetic_oversampling_repeats_no_key(frame):
+    df = frame([(i, float(i % 7), "x" if i < 60 else "y" if i < 80 else "z") for i in range(100)], "id long, v double, c string")
+    out, _ = balance.oversample(df, "c", {"x": 1, "y": 1, "z": 1}, ["id"], "synthesis")
+    assert out.count() == 180 and out.select("id").distinct().count() == 180
 
 
 def test_oversample_keeps_originals_and_null_class(frame):
@@ -136,11 +154,10 @@ def test_oversample_keeps_originals_and_null_class(frame):
 
 
 def test_draws_do_not_depend_on_chunks(frame, monkeypatch):
-    df = frame([(1, "a")], "id int, c string")
-    counts, extra = {"a": 7, "b": 11}, {"a": 5, "b": 23}
-    whole = sorted(balance.draws(df, "c", counts, extra, 1).collect())
+    plan = frame([("a", 7, 5), ("b", 11, 23), ("c", 9, 0)], "class string, original long, added long")
+    whole = sorted(balance.draws(plan, 1).collect())
     monkeypatch.setattr(balance, "CHUNK", 4)
-    assert sorted(balance.draws(df, "c", counts, extra, 1).collect()) == whole and len(whole) == 28
+    assert sorted(balance.draws(plan, 1).collect()) == whole and len(whole) == 28
 
 
 def test_wide_frames_use_the_grouped_layout(spark):
@@ -214,7 +231,6 @@ def test_transforms_stay_narrow_and_jvm_side(spark):
         clean.fit_outliers(items, ["l_quantity"]).transform(items),
         clean.handle_missing(items, "mean"),
         encode.fit_one_hot(items, ["l_returnflag"]).transform(items),
-        encode.fit_classes(items, "l_returnflag").transform(items),
     ]
     for out in outs:
         plan = _plan(out)

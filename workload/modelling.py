@@ -98,22 +98,22 @@ def regression_metrics(t):
     return round_columns(round_columns(round_columns(out, ["mse"], 2), ["rmse", "mae"], 4), ["r2"])
 
 
-def _silhouette_sql(points: str, distance: str) -> str:
+def _silhouette_sql(points: str, distance: str, metric: str) -> str:
     """Brute force over weighted points ``(cluster, x, y, w)``."""
     return f"""WITH p AS (SELECT *, row_number() OVER () id FROM ({points})),
         sizes AS (SELECT cluster c, sum(w) n FROM p GROUP BY cluster),
         d AS (SELECT a.id, a.cluster own, a.w, b.cluster c, sum({distance} * b.w) s FROM p a, p b GROUP BY a.id, a.cluster, a.w, b.cluster),
         m AS (SELECT id, own, any_value(d.w) w, max(CASE WHEN own = d.c THEN s / nullif(n - 1, 0) END) a, min(CASE WHEN own <> d.c THEN s / n END) b,
               max(CASE WHEN own = d.c THEN n END) own_n FROM d JOIN sizes ON sizes.c = d.c GROUP BY id, own)
-        SELECT {r("sum(w * CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) / sum(w)")} AS silhouette_score FROM m"""
+        SELECT {r("sum(w * CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) / sum(w)")} AS silhouette_score, '{metric}' AS metric FROM m"""
 
 
 @query(
     "silhouette",
-    _silhouette_sql("SELECT cluster, x, y, 1 AS w FROM {customers_clustered} v", "(power(a.x - b.x, 2) + power(a.y - b.y, 2))"),
+    _silhouette_sql("SELECT cluster, x, y, 1 AS w FROM {customers_clustered} v", "(power(a.x - b.x, 2) + power(a.y - b.y, 2))", "squared_euclidean"),
 )
 def silhouette(t):
-    return round_columns(metrics.silhouette(t.view("customers_clustered"), ["x", "y", "cluster"]), ["silhouette_score"])
+    return round_columns(metrics.silhouette(t.view("customers_clustered"), ["x", "y", "cluster"], metric="squared_euclidean"), ["silhouette_score"])
 
 
 ITEM_POINTS = "CASE WHEN l_quantity < 17 THEN 0 WHEN l_quantity < 34 THEN 1 ELSE 2 END"
@@ -124,6 +124,7 @@ ITEM_POINTS = "CASE WHEN l_quantity < 17 THEN 0 WHEN l_quantity < 34 THEN 1 ELSE
     _silhouette_sql(
         f"SELECT {ITEM_POINTS} AS cluster, l_quantity AS x, l_tax * 100 AS y, count(*) AS w FROM lineitem GROUP BY 1, 2, 3",
         "sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))",
+        "euclidean",
     ),
 )
 def silhouette_euclidean(t):

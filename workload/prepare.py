@@ -116,7 +116,7 @@ def drop_outliers_zscore(t):
 def outlier_rows_removed(t):
     df = t.view("events_outliers")
     found = [
-        (m, clean.fit_outliers(df, ["value"], m, count_removed=True).config["rows_removed"]) for m in ("iqr", "zscore")
+        (m, clean.fit_outliers(df, ["value"], m, t).config["rows_removed"]) for m, t in (("iqr", 1.5), ("zscore", 3.0))
     ]
     return t.spark.createDataFrame(found, "method string, rows_removed bigint")
 
@@ -225,7 +225,7 @@ def one_hot_drop_first(t):
 
 @query(
     "encode_classes",
-    """SELECT o_orderkey, o_custkey, o_orderstatus, price, CAST(code AS INTEGER) AS priority FROM {orders_missing} v
+    """SELECT o_orderkey, o_custkey, o_orderstatus, price, code AS priority FROM {orders_missing} v
        LEFT JOIN (SELECT priority p, row_number() OVER (ORDER BY priority) - 1 code FROM
        (SELECT DISTINCT priority FROM {orders_missing} WHERE priority IS NOT NULL)) m ON v.priority = m.p""",
 )
@@ -262,19 +262,13 @@ TARGETS = f"""(SELECT cls, n, greatest(n, CAST(ceil(whole * p) AS BIGINT)) AS ta
     "SELECT cls AS class, n, " + r("p") + f" AS share FROM {COUNTS}",
 )
 def normalize_proportions(t):
-    counts = balance.counted_classes(t.view("orders_classes"), "cls")
-    shares = balance.normalized_proportions(SHARES, list(counts))
-    rows = [(c, n, shares[c]) for c, n in counts.items()]
-    return round_columns(t.spark.createDataFrame(rows, "class string, n bigint, share double"), ["share"])
+    plan = balance.balance_plan(t.view("orders_classes"), "cls", SHARES)
+    return round_columns(plan.select("class", F.col("original").alias("n"), "share"), ["share"])
 
 
 @query("oversample_targets", f"SELECT cls AS class, n AS original, target FROM {TARGETS}")
 def oversample_targets(t):
-    counts = balance.counted_classes(t.view("orders_classes"), "cls")
-    targets = balance.oversample_targets(counts, SHARES)
-    return t.spark.createDataFrame(
-        [(c, n, targets[c]) for c, n in counts.items()], "class string, original bigint, target bigint"
-    )
+    return balance.balance_plan(t.view("orders_classes"), "cls", SHARES).select("class", "original", "target")
 
 
 ROW_ORDER = hash_sql("o_orderkey")
