@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from millrace.functions.quantiles import quantiles
 from millrace.operators.base import Fitted, transform_of
 
 STRATEGIES = ("mean", "median", "mode", "drop_rows", "drop_columns")
-PAIRS_PER_PASS = 500
+NEAR_ROWS = 1_000
+GRAM = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
+FLAT = 1e-12  # variance below this share of the mean square is rounding
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -148,32 +152,43 @@ def _drop(df: DataFrame, config: dict) -> DataFrame:
 def correlation(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
     """Pearson r of every pair (earlier, later) over rows where both are present.
 
-    The pairs of a row are laid out and grouped, so one pass (several for very wide frames)
-    serves them all and shuffles one row per pair and task; a side that does not vary gives
-    None.
+    Each task sums the products of its columns batch by batch (``X'X`` and the like, with masks for gaps), so one pass
+    serves all pairs and a task hands on one row per pair. Values are taken from a value of their column, which keeps
+    large offsets out of the sums. A side that does not vary gives None.
     """
     names = number_columns(df) if columns is None else number_columns(df, columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    found: dict[tuple[str, str], float | None] = {(a, b): None for i, a in enumerate(names) for b in names[i + 1 :]}
+    if not found:
+        return found
     flat = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(names)])
-    at = {c: f"x{i}" for i, c in enumerate(names)}
-    found: dict[tuple[str, str], float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        entries = [
-            F.struct(F.lit(i).alias("pair"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y"))
-            for i, (a, b) in enumerate(part)
-        ]
-        rows = (
-            flat.select(F.inline(F.array(*entries)))
-            .where("x IS NOT NULL AND y IS NOT NULL")
-            .groupBy("pair")
-            .agg(F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-            .collect()
-        )
-        found |= {pair: None for pair in part}
-        for r in rows:
-            if r["vx"] and r["vy"]:
-                found[part[r["pair"]]] = r["c"] / (r["vx"] ** 0.5 * r["vy"] ** 0.5)
+    near = flat.limit(NEAR_ROWS).agg(*[F.min(f"x{i}").alias(f"x{i}") for i in range(len(names))]).first()
+    shift = np.array([v or 0.0 for v in near])
+
+    def gram(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            here = ~np.isnan(x)
+            x[~here] = 0.0
+            m = here.astype(float)
+            # rows with both, sum of a where b is there, sum of its squares, sum of products
+            part = np.stack((m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x))
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(shift), 1)
+            n, s, q, p = total
+            sums = [n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, sums)], GRAM)
+
+    kinds = "a int, b int, " + ", ".join(f"{c} double" for c in GRAM[2:])
+    sums = flat.mapInArrow(gram, kinds).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in GRAM[2:]])
+    for r in sums.collect():  # one row per pair
+        n = r["n"]
+        if n:
+            x, y = r["x"] / n, r["y"] / n
+            vx, vy = r["xx"] / n - x * x, r["yy"] / n - y * y
+            if vx > FLAT * r["xx"] / n and vy > FLAT * r["yy"] / n:
+                found[(names[r["a"]], names[r["b"]])] = (r["xy"] / n - x * y) / (vx**0.5 * vy**0.5)
     return found
 
 

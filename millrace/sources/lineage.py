@@ -44,9 +44,11 @@ def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``(dataset, version, ancestor, distance)``, each version being its own ancestor at 0.
 
     Links double in length every round (parent, grandparent, 4th, 8th ...), so a chain of a
-    million versions takes twenty joins rather than a million. ``of`` limits the versions
-    whose ancestors are wanted.
+    million versions takes twenty rounds rather than a million. The result has a row per version and ancestor, which for
+    deep histories is far more than the versions: ``of`` limits the versions whose ancestors are wanted, and
+    :func:`depths` needs none of it. A cycle is an error.
     """
+    most = versions.count()
     links = versions.where("parent IS NOT NULL").select("dataset", "version", F.col("parent").alias("up"))
     start = versions if of is None else of
     paths = start.select("dataset", "version", F.col("version").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
@@ -62,11 +64,32 @@ def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
         )
         links = cut_lineage(next_links.select("dataset", "version", "up"))
         length *= 2
-        if length > 1 << 40:
+        if length > 2 * most or not links.where("version = up").isEmpty():
             raise ValueError("the parents form a cycle")
     return paths
 
 
+def depths(versions: DataFrame) -> DataFrame:
+    """``(dataset, version, depth)``: links up to the root.
+
+    Every version points at an ancestor and knows the distance; in a round each takes over its pointer's pointer. One row
+    per version and round, and as many rounds as the depth has binary digits. The right side of a round's join is unique, so
+    a popular ancestor is a skewed key of the left side only, which the optimizer splits. A cycle is an error.
+    """
+    known = versions.select("dataset", "version", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"))
+    rounds = max(1, versions.count()).bit_length() + 1
+    for _ in range(rounds):
+        known = cut_lineage(known)
+        moving = known.where("up IS NOT NULL")
+        if moving.isEmpty():
+            return known.select("dataset", "version", "depth")
+        below_root = known.where("depth > 0").select("dataset", F.col("version").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        further = moving.join(below_root, ["dataset", "up"], "left")
+        further = further.select("dataset", "version", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        known = known.where("up IS NULL").unionByName(further)
+    raise ValueError("the parents form a cycle")
+
+
 def lineage(versions: DataFrame, dataset: str | None = None, version: str | None = None) -> DataFrame:
     """``(dataset, version, step, member)``: the path from the root (step 0) to each version.
 
@@ -109,8 +132,7 @@ def forest(versions: DataFrame) -> DataFrame:
     linked = versions.join(here, ["dataset", "parent"], "left").select(
         "dataset", "version", F.when(F.col("found"), F.col("parent")).alias("parent")
     )
-    depth = ancestors(linked).groupBy("dataset", "version").agg(F.max("distance").alias("depth"))
-    return linked.join(depth, ["dataset", "version"]).select(
+    return linked.join(depths(linked), ["dataset", "version"]).select(
         "dataset", "version", F.col("parent").alias("shown_parent"), "depth"
     )
 

@@ -164,3 +164,21 @@ def test_profiles_of_odd_columns(frame):
     assert {r["column"]: r["fill_pct"] for r in profile.fill_rate(df).collect()} == {"x": 0, "s": 0, "b": 50}
     assert profile.table_summary(df).where("stat = 'num_rows'").first()["value"] == "2"
     assert profile.shape(df).first()["num_columns"] == 3
+
+
+def _versions(frame, links):
+    return frame([("d", v, p, "op", None, None) for v, p in links], lineage.VERSIONS_SCHEMA)
+
+
+def test_depths_of_a_chain_and_a_star(frame):
+    chain = _versions(frame, [("v0", None)] + [(f"v{i}", f"v{i - 1}") for i in range(1, 150)])
+    assert {int(r["version"][1:]): r["depth"] for r in lineage.depths(chain).collect()} == {i: i for i in range(150)}
+    star = _versions(frame, [("raw", None), ("a", "raw")] + [(f"v{i}", "a") for i in range(200)])
+    assert {r["depth"] for r in lineage.depths(star).where("version LIKE 'v%'").collect()} == {2}
+
+
+@pytest.mark.parametrize("links", [[("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("c", "a"), ("raw", None)], [("a", "a")]])
+def test_cycles_are_errors(frame, links):
+    for question in (lineage.depths, lineage.ancestors):
+        with pytest.raises(ValueError, match="cycle"):
+            question(_versions(frame, links))

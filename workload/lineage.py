@@ -1,5 +1,6 @@
 """Files, versions, stored work and experiments."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
@@ -76,12 +77,14 @@ def save_sequence(t):
     return round_columns(workbench.save_sequence(catalog, "orders", "raw", "prepared", STEPS), ["price"])
 
 
-@query("save_clusters", "SELECT * FROM customer")
+@query("save_clusters", "SELECT c_custkey, c_acctbal, side, min(c_custkey) OVER (PARTITION BY side) AS cluster FROM (SELECT *, CASE WHEN c_nationkey < 12 THEN 0 ELSE 1000 END AS side FROM customer)")
 def save_clusters(t):
-    """The stored version holds every customer and column next to its cluster."""
+    """Customers in two places far apart; the stored version names each cluster, here by its smallest key."""
     catalog = Catalog(t.spark, shared_path(t.spark, "catalog"))
-    catalog.create_version("customers", "raw", t.table("customer"), None, "import")
-    return workbench.save_clusters(catalog, "customers", "raw", "grouped", ["c_acctbal"]).where("cluster >= 0").drop("cluster")
+    customers = t.table("customer").selectExpr("c_custkey", "c_acctbal", "CASE WHEN c_nationkey < 12 THEN 0 ELSE 1000 END AS side")
+    catalog.create_version("customers", "raw", customers, None, "import")
+    stored = workbench.save_clusters(catalog, "customers", "raw", "grouped", ["side"], n_clusters=2)
+    return stored.withColumn("cluster", F.min("c_custkey").over(Window.partitionBy("cluster")))
 
 
 @query("save_synthesis", "SELECT count(*) AS n FROM customer")
@@ -103,9 +106,34 @@ def list_versions(t):
     return lineage.listing(t.view("versions"))
 
 
-@query("version_metadata", "SELECT * FROM {versions} v WHERE operation = '2-high'")
+@query("version_metadata", "SELECT dataset, version, parent, operation, config FROM {versions} v WHERE (dataset, version) IN (('set_1', 'raw'), ('set_1', 'V51'), ('set_7', 'V107'))")
 def version_metadata(t):
-    return lineage.search(t.view("versions"), operation="2-high")
+    """What is known of three versions, each asked for by its key."""
+    versions = t.view("versions")
+    rows = [lineage.metadata(versions, d, v) for d, v in (("set_1", "raw"), ("set_1", "V51"), ("set_7", "V107"))]
+    names = ["dataset", "version", "parent", "operation", "config"]
+    return t.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} string" for n in names))
+
+
+@query("drop_version", "SELECT v AS version, n FROM (SELECT unnest(['raw', 'small']) AS v), (SELECT count(*) AS n FROM nation)")
+def drop_version(t):
+    """A version without children is dropped; its parent and its sibling stay."""
+    catalog = Catalog(t.spark, shared_path(t.spark, "catalog"))
+    catalog.create_version("nations", "raw", t.table("nation"), None, "import")
+    for name in ("small", "wrong"):
+        catalog.create_version("nations", name, catalog.load_version("nations", "raw").select("n_name"), "raw", "select")
+    catalog.drop_version("nations", "wrong")
+    kept = [(r["version"], catalog.load_version("nations", r["version"]).count()) for r in catalog.versions("nations").collect()]
+    return t.spark.createDataFrame(kept, "version string, n bigint")
+
+
+@query("export_version", "SELECT * FROM customer")
+def export_version(t):
+    catalog = Catalog(t.spark, shared_path(t.spark, "catalog"))
+    catalog.create_version("customers", "raw", t.table("customer"), None, "import")
+    path = shared_path(t.spark, "exported")
+    catalog.export_version("customers", "raw", path, "parquet")
+    return t.spark.read.parquet(path)
 
 
 TREE = """WITH RECURSIVE v AS (SELECT * FROM {versions}),
@@ -202,15 +230,22 @@ def list_experiments(t):
     return found.select("experiment_id", "experiment_name", "model_type", F.col("dataset.version").alias("dataset_version"))
 
 
+LOADED = """experiment_id string, experiment_name string, dataset struct<name: string, version: string>,
+    model struct<type: string, hyperparameters: map<string, string>>, metrics map<string, double>"""
+
+
 @query(
     "load_experiment",
-    "SELECT experiment_id, experiment_name, dataset_name, model_type, n_estimators, accuracy, mse FROM {experiments_flat} v",
+    "SELECT experiment_id, experiment_name, dataset_name, model_type, n_estimators, accuracy, mse FROM {experiments_flat} v WHERE n < 3",
 )
 def load_experiment(t):
-    """Experiments with nested settings and metrics, stored by the log's schema and read back."""
-    path = shared_path(t.spark, "experiments")
-    _experiments(t).write.parquet(path)
-    back = t.spark.read.parquet(path)
+    """One of the experiments of a log, found by its id."""
+    root = shared_path(t.spark, "experiments")
+    columns = [F.col(n) for n in _experiments(t).columns if n != "n"]
+    _experiments(t).select(columns).write.parquet(f"{root}/_experiments")
+    log = ExperimentLog(t.spark, root)
+    found = [log.load(f"exp_{i}") for i in (0, 1, 2)]
+    back = t.spark.createDataFrame([{k: r[k] for k in ("experiment_id", "experiment_name", "dataset", "model", "metrics")} for r in found], LOADED)
     return back.select(
         "experiment_id", "experiment_name", F.col("dataset.name").alias("dataset_name"), F.col("model.type").alias("model_type"),
         F.try_element_at("model.hyperparameters", F.lit("n_estimators")).alias("n_estimators"),

@@ -1,8 +1,9 @@
 """Scored-table metrics, training, grid search and clustering."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, models
+from millrace.operators import metrics, models, split
 from workload.book import hash_sql, query, r, round_columns
 
 
@@ -181,21 +182,36 @@ def _scored(trained, key: str):
     return out.select(*keep, *(["predicted_class"] if classes else []))
 
 
+# Orders whose classes follow from their price, with a feature that keeps the classes ten apart
+GAPPED = """(SELECT o_orderkey, band_no * 10 + o_custkey % 5 AS step, o_custkey % 20 AS customer, o_custkey % 8 AS octet,
+    CASE WHEN band_no = 0 THEN 'cheap' ELSE 'dear' END AS level, CASE band_no WHEN 0 THEN 'low' WHEN 1 THEN 'middle' ELSE 'top' END AS band,
+    (o_custkey % 8) * 100.0E0 AS steps_of_100, CASE WHEN band_no = 0 THEN 1.5E0 ELSE 1.0E7 END AS code, o_totalprice
+    FROM (SELECT *, CASE WHEN o_totalprice > 350000 THEN 2 WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS band_no FROM {}) b)"""
+LABELLED = GAPPED.format("orders")
+FEATURES = ["step", "customer"]
+
+
 def _labelled_orders(t):
-    """Orders with a target their price explains: dear or cheap, and three price bands."""
-    return t.table("orders").selectExpr(
-        "o_orderkey", "o_totalprice / 1000 AS price", "o_custkey % 100 AS customer",
-        "CASE WHEN o_totalprice > 250000 THEN 'dear' ELSE 'cheap' END AS level",
-        "CASE WHEN o_totalprice > 350000 THEN 'high' WHEN o_totalprice > 150000 THEN 'middle' ELSE 'low' END AS band",
-    )
+    return t.spark.sql(f"SELECT * FROM {GAPPED.format('{src}')} g", src=t.table("orders"))
+
+
+def _all_scored(t, trained):
+    """Every order with its prediction, so that the rule behind the classes is the oracle."""
+    out = models.score(trained.model, _labelled_orders(t), trained.config["target_column"], trained.classes)
+    keep = ["o_orderkey", F.col(trained.config["target_column"]).cast("string").alias("target"), "prediction"]
+    return out.select(*keep, *(["predicted_class"] if trained.classes else []))
+
 
+def _by_rule(target: str, classes: list[str]) -> str:
+    number = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(classes))
+    return f"SELECT o_orderkey, {target} AS target, CASE {target} {number} END::DOUBLE AS prediction, {target} AS predicted_class FROM {LABELLED} v"
 
-@query("train_logistic_regression")
+
+@query("train_logistic_regression", _by_rule("level", ['cheap', 'dear']))
 def train_logistic_regression(t):
-    trained = models.train(
-        _labelled_orders(t), "level", "classification", "logistic_regression", ["o_orderkey"], ["price", "customer"], max_iter=50
+    return _all_scored(
+        t, models.train(_labelled_orders(t), "level", "classification", "logistic_regression", ["o_orderkey"], FEATURES, max_iter=50)
     )
-    return _scored(trained, "o_orderkey")
 
 
 TRAIN_LINE = f"""(SELECT regr_slope(o_totalprice, o_custkey) b, regr_intercept(o_totalprice, o_custkey) a FROM
@@ -224,80 +240,138 @@ def evaluate_linear_regression(t):
     return round_columns(round_columns(round_columns(out, ["mse"], 1), ["mae"], 3), ["r2"])
 
 
-@query("train_random_forest_classifier")
+@query("train_random_forest_classifier", _by_rule("band", ['low', 'middle', 'top']))
 def train_random_forest_classifier(t):
-    trained = models.train(
-        _labelled_orders(t), "band", "classification", "random_forest", ["o_orderkey"], ["price", "customer"],
-        n_estimators=10, max_depth=5,
-    )
-    return _scored(trained, "o_orderkey")
+    return _all_scored(
+        t, models.train(_labelled_orders(t), "band", "classification", "random_forest", ["o_orderkey"], FEATURES, n_estimators=10, max_depth=5)
+    )
 
 
-@query("train_random_forest_regressor")
+@query("train_random_forest_regressor", f"SELECT o_orderkey, steps_of_100::VARCHAR AS target, steps_of_100 AS prediction FROM {LABELLED} v")
 def train_random_forest_regressor(t):
+    """The target is fixed by the feature, so every tree's leaves are exact whatever rows it drew."""
     trained = models.train(
-        t.table("events"), "value", "regression", "random_forest", ["event_id"], ["user_id"], n_estimators=10, max_depth=5
+        _labelled_orders(t), "steps_of_100", "regression", "random_forest", ["o_orderkey"], ["octet"], n_estimators=10, max_depth=8
     )
-    return _scored(trained, "event_id")
+    return round_columns(_all_scored(t, trained), ["prediction"])
 
 
-@query("train_boosted_classifier")
+@query("train_boosted_classifier", _by_rule("band", ['low', 'middle', 'top']))
 def train_boosted_classifier(t):
-    trained = models.train(
-        _labelled_orders(t), "band", "classification", "xgboost", ["o_orderkey"], ["price", "customer"],
-        n_estimators=3, max_depth=3,
-    )
-    return _scored(trained, "o_orderkey")
+    return _all_scored(
+        t, models.train(_labelled_orders(t), "band", "classification", "xgboost", ["o_orderkey"], FEATURES, n_estimators=3, max_depth=3)
+    )
 
 
-@query("train_boosted_regressor")
+@query(
+    "train_boosted_regressor",
+    f"""SELECT o_orderkey, {r("avg(CASE WHEN trains THEN o_totalprice END) OVER (PARTITION BY octet)", 3)} AS prediction FROM
+        (SELECT v.o_orderkey, octet, v.o_totalprice, v.o_orderkey NOT IN (SELECT o_orderkey FROM {TEST_ROWS}) AS trains FROM {LABELLED} v)""",
+)
 def train_boosted_regressor(t):
+    """One whole-step tree over eight values: the prediction is the mean of a value's training rows."""
     trained = models.train(
-        t.table("events"), "value", "regression", "xgboost", ["event_id"], ["user_id"], n_estimators=5, max_depth=3, subsample=0.8
-    )
-    return _scored(trained, "event_id")
+        _labelled_orders(t), "o_totalprice", "regression", "xgboost", ["o_orderkey"], ["octet"],
+        n_estimators=1, learning_rate=1.0, max_depth=7,
+    )
+    return round_columns(_all_scored(t, trained).drop("target"), ["prediction"], 3)
 
 
-@query("train_linear_svm")
+@query("train_linear_svm", _by_rule("level", ['cheap', 'dear']))
 def train_linear_svm(t):
-    trained = models.train(
-        _labelled_orders(t), "level", "classification", "svm", ["o_orderkey"], ["price", "customer"], max_iter=30
+    return _all_scored(
+        t, models.train(_labelled_orders(t), "level", "classification", "svm", ["o_orderkey"], FEATURES, max_iter=30)
     )
-    return _scored(trained, "o_orderkey")
 
 
-@query("evaluate_classifier")
+@query(
+    "evaluate_classifier",
+    f"""SELECT metric, 1.0::DOUBLE AS value FROM (SELECT unnest(['accuracy', 'precision', 'recall', 'f1_score', 'roc_auc']) AS metric)
+        WHERE (SELECT count(*) FROM {LABELLED} v) > 0""",
+)
 def evaluate_classifier(t):
-    trained = models.train(
-        _labelled_orders(t), "band", "classification", "logistic_regression", ["o_orderkey"], ["price", "customer"], max_iter=20
-    )
-    return t.spark.createDataFrame(list(models.evaluate(trained).items()), "metric string, value double")
+    trained = models.train(_labelled_orders(t), "band", "classification", "random_forest", ["o_orderkey"], FEATURES, n_estimators=10, max_depth=5)
+    out = t.spark.createDataFrame(list(models.evaluate(trained).items()), "metric string, value double")
+    return round_columns(out, ["value"])
+
+
+@query("train_float_classes", _by_rule("code", ["1.5", "1.0E7"]).replace("code AS", "CASE WHEN code < 2 THEN '1.5' ELSE '1.0E7' END AS").replace("CASE code", "CASE CASE WHEN code < 2 THEN '1.5' ELSE '1.0E7' END"))
+def train_float_classes(t):
+    return _all_scored(t, models.train(_labelled_orders(t), "code", "classification", "svm", ["o_orderkey"], FEATURES, max_iter=30))
+
+
+@query(
+    "parameter_grid",
+    f"""SELECT model, parameter, value FROM (VALUES ('logistic_regression', 'C', '0.1'), ('logistic_regression', 'C', '1.0'), ('logistic_regression', 'C', '10.0'),
+        ('logistic_regression', 'max_iter', '100'), ('logistic_regression', 'max_iter', '200')) AS g(model, parameter, value)
+        UNION ALL SELECT 'random_forest', 'max_depth', (n + d)::VARCHAR FROM (SELECT count(DISTINCT o_orderstatus) n FROM orders), (SELECT unnest([-2, 0, 2]) d)""",
+)
+def parameter_grid(t):
+    """The grids the models are tried with; the forest's depth follows the number of order states."""
+    depth = t.table("orders").select("o_orderstatus").distinct().count()
+    rows = [("logistic_regression", k, str(v)) for k, vs in models.parameter_grid("logistic_regression").items() for v in vs]
+    rows += [("random_forest", "max_depth", str(v)) for v in models.parameter_grid("random_forest", max_depth=depth)["max_depth"]]
+    return t.spark.createDataFrame(rows, "model string, parameter string, value string")
+
+
+@query(
+    "validate_target",
+    """SELECT 'o_totalprice' AS target, count(*) AS n, NULL::VARCHAR AS problem FROM orders
+       UNION ALL SELECT 'price', NULL, 'holds only missing values' FROM (SELECT 1 FROM orders LIMIT 1)
+       UNION ALL SELECT 'nothing', NULL, 'does not exist' FROM (SELECT 1 FROM orders LIMIT 1)""",
+)
+def validate_target(t):
+    orders = t.table("orders").withColumn("price", F.when(F.col("o_totalprice") < 0, F.col("o_totalprice")))
+    rows = []
+    for target in ("o_totalprice", "price", "nothing"):
+        try:
+            rows.append((target, split.validate_target(orders, target, 0.2), None))
+        except ValueError as error:
+            rows.append((target, None, next(p for p in ("holds only missing values", "does not exist") if p in str(error))))
+    return t.spark.createDataFrame(rows, "target string, n bigint, problem string")
 
 
-@query("grid_search")
+@query(
+    "grid_search",
+    f"""SELECT params, 1.0::DOUBLE AS mean_score, 0.0::DOUBLE AS std_score FROM (SELECT unnest(['C=0.1', 'C=1.0']) AS params)
+        WHERE (SELECT count(*) FROM {LABELLED} v) > 0""",
+)
 def grid_search(t):
+    """The classes lie apart, so every setting scores one in every fold."""
     found = models.grid_search(
-        _labelled_orders(t), "level", "classification", "logistic_regression",
-        {"C": [0.1, 1.0], "max_iter": [10]}, ["o_orderkey"], ["price", "customer"], folds=3,
-    )
+        _labelled_orders(t), "level", "classification", "svm", {"C": [0.1, 1.0], "max_iter": [30]}, ["o_orderkey"], FEATURES, folds=3
+    )
     scores = found.config["grid_search_results"]
-    rows = zip(map(str, scores["params"]), scores["mean_test_score"], scores["std_test_score"])
-    return t.spark.createDataFrame([tuple(x) for x in rows], "params string, mean_score double, std_score double")
+    rows = [(f"C={p['C']}", m, s) for p, m, s in zip(scores["params"], scores["mean_test_score"], scores["std_test_score"])]
+    return t.spark.createDataFrame(rows, "params string, mean_score double, std_score double")
 
 
-@query("batch_scoring")
+@query("batch_scoring", f"SELECT o_orderkey, level AS predicted_class, level = 'dear' AS likely_dear FROM {LABELLED} v")
 def batch_scoring(t):
     trained = models.train(
-        _labelled_orders(t), "level", "classification", "logistic_regression", ["o_orderkey"], ["price", "customer"], max_iter=20
+        _labelled_orders(t), "level", "classification", "logistic_regression", ["o_orderkey"], FEATURES, max_iter=50
     )
-    return models.score(trained.model, _labelled_orders(t)).select("o_orderkey", "predicted_class", F.col("scores")[1].alias("p_dear"))
+    likely = (F.col("scores")[1] > 0.5).alias("likely_dear")
+    return models.score(trained.model, _labelled_orders(t)).select("o_orderkey", "predicted_class", likely)
+
+
+# customers in three places far apart; clusters are named by their smallest key
+PLACED = "c_custkey, (c_nationkey % 3) * 1000 + c_acctbal / 10000 AS x, (c_nationkey % 3) * -500 + c_custkey % 7 AS y"
+PLACES = "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey % 3) AS cluster FROM customer"
+
+
+def _named_clusters(clustered):
+    first = Window.partitionBy("cluster")
+    return clustered.select("c_custkey", F.min("c_custkey").over(first).alias("cluster"))
 
 
-@query("kmeans")
+@query("kmeans", PLACES)
 def kmeans(t):
-    return models.cluster(t.table("customer"), ["c_acctbal", "c_nationkey"], "kmeans", n_clusters=3)[0]
+    customers = t.table("customer").selectExpr(*PLACED.split(", "))
+    return _named_clusters(models.cluster(customers, ["x", "y"], "kmeans", n_clusters=3)[0])
 
 
-@query("gaussian_mixture")
+@query("gaussian_mixture", "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey % 2) AS cluster FROM customer")
 def gaussian_mixture(t):
-    return models.cluster(t.table("customer"), ["c_acctbal", "c_nationkey"], "gmm", n_clusters=2, max_iter=20)[0]
+    customers = t.table("customer").selectExpr("c_custkey", "(c_nationkey % 2) * 50 + c_acctbal / 10000 AS x", "c_custkey % 7 AS y")
+    return _named_clusters(models.cluster(customers, ["x", "y"], "gmm", n_clusters=2, max_iter=100)[0])
\ No newline at end of file

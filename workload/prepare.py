@@ -294,9 +294,42 @@ def oversample_counts(t):
     return out.groupBy("cls").agg(F.count("*").alias("n"))
 
 
-@query("oversample_synthesis")
+@query("oversample_synthesis", f"SELECT cls, target AS n, target AS keys, n AS originals FROM {TARGETS}")
 def oversample_synthesis(t):
-    return balance.oversample(t.view("orders_classes"), "cls", SHARES, ["o_orderkey"], "synthesis")[0]
+    """Per class the rows, their distinct keys, and how many originals are still there unchanged."""
+    orders = t.view("orders_classes")
+    out = balance.oversample(orders, "cls", SHARES, ["o_orderkey"], "synthesis")[0]
+    whole = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "cls"]
+    kept = out.join(orders.select(*whole, F.lit(1).alias("original")), whole, "left")
+    return kept.groupBy("cls").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.count("original").alias("originals"))
+
+
+@query("encode_order_keys", """SELECT l_linenumber, l_quantity, code AS l_orderkey FROM lineitem
+    JOIN (SELECT k, row_number() OVER (ORDER BY k) - 1 code FROM (SELECT DISTINCT l_orderkey k FROM lineitem)) ON k = l_orderkey""")
+def encode_order_keys(t):
+    """A class column with as many values as there are orders, as a step of a sequence."""
+    items = t.table("lineitem").select("l_linenumber", "l_quantity", "l_orderkey")
+    return run_sequence(items, [{"operation": "encode_classes", "config": {"column": "l_orderkey"}}])[0]
+
+
+@query(
+    "outlier_rows_removed",
+    """SELECT CAST(count(*) AS BIGINT) AS rows_removed FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) a, quantile_cont(o_totalprice, 0.75) b FROM orders)
+       WHERE o_totalprice NOT BETWEEN a - 0.2 * (b - a) AND b + 0.2 * (b - a)""",
+)
+def outlier_rows_removed(t):
+    steps = [{"operation": "drop_outliers", "config": {"columns": ["o_totalprice"], "method": "iqr", "threshold": 0.2}}]
+    _, configs = run_sequence(t.table("orders"), steps)
+    return t.spark.createDataFrame([(configs[0]["rows_removed"],)], "rows_removed bigint")
+
+
+@query("oversample_many_classes", "SELECT o_custkey AS cls, max(count(*)) OVER () AS n FROM orders GROUP BY o_custkey")
+def oversample_many_classes(t):
+    """As many classes as there are customers with orders, all brought to the size of the largest."""
+    orders = t.table("orders").select("o_orderkey", "o_custkey")
+    shares = {r["o_custkey"]: 1 for r in orders.select("o_custkey").distinct().collect()}
+    out, _ = balance.oversample(orders, "o_custkey", shares, ["o_orderkey"])
+    return out.groupBy(F.col("o_custkey").alias("cls")).agg(F.count("*").alias("n"))
 
 
 @query(
