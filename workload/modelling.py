@@ -373,5 +373,5 @@ def kmeans(t):
 
 @query("gaussian_mixture", "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey % 2) AS cluster FROM customer")
 def gaussian_mixture(t):
-    customers = t.table("customer").selectExpr("c_custkey", "(c_nationkey % 2) * 50 + c_acctbal / 10000 AS x", "c_custkey % 7 AS y")
-    return _named_clusters(models.cluster(customers, ["x", "y"], "gmm", n_clusters=2, max_iter=100)[0])
\ No newline at end of file
+    customers = t.table("customer").selectExpr("c_custkey", "(c_nationkey % 2) * 50 + c_acctbal / 10000 AS x")
+    return _named_clusters(models.cluster(customers, ["x"], "gmm", n_clusters=2, max_iter=100)[0])
\ No newline at end of file
