@@ -75,22 +75,25 @@ def typed_literal(df: DataFrame, name: str, text: str) -> Column:
     return F.lit(text).cast(df.schema[name].dataType)
 
 
-def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+def distinct_counts(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> dict[str, int]:
+    """Distinct values per column; ``counts`` are their value counts, if at hand."""
     if not columns:
         return {}
-    rows = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n")).collect()
+    counts = value_counts(df, columns) if counts is None else counts
+    rows = counts.groupBy("column").agg(F.count("*").alias("n")).collect()
     found = {r["column"]: r["n"] for r in rows}
     return {c: found.get(c, 0) for c in columns}
 
 
-def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str], k: int, counts: DataFrame | None = None) -> DataFrame:
     """``(column, rank, value, n)``: the k most frequent values, ties by value.
 
     The window runs on value counts, cut to k rows per column and hash slice before the
     final ranking so that no task ranks all values of a wide column.
     """
     order = [F.col("n").desc(), F.col("sort_value"), F.col("value")]
-    counts = value_counts(df, columns).withColumn("_slice", F.pmod(F.xxhash64("value"), F.lit(256)))
+    counts = value_counts(df, columns) if counts is None else counts
+    counts = counts.withColumn("_slice", F.pmod(F.xxhash64("value"), F.lit(256)))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column", "_slice").orderBy(*order)))
     best = ranked.where(F.col("rank") <= k).drop("rank")
     return (

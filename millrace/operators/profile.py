@@ -9,6 +9,7 @@ from millrace.functions.columns import as_double, col, column_kinds
 from millrace.functions.counts import distinct_counts, top_values, value_counts
 from millrace.functions.moments import moments
 from millrace.functions.quantiles import quantiles
+from millrace.session import cut_lineage
 
 TOP = 10
 
@@ -64,9 +65,10 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
     """One row per categorical column; ``top_values`` lists the ten most frequent."""
     names = _of_kind(df, "categorical", columns)
     row = _sizes(df, names)
-    unique = distinct_counts(df, names)
+    counts = cut_lineage(value_counts(df, names)) if names else None  # one shuffle of the rows for both questions
+    unique = distinct_counts(df, names, counts)
     top: dict[str, list] = {c: [] for c in names}
-    for r in top_values(df, names, TOP).orderBy("column", "rank").collect() if names else []:
+    for r in top_values(df, names, TOP, counts).orderBy("column", "rank").collect() if names else []:
         top[r["column"]].append((r["value"], r["n"]))
     dtypes = dict(df.dtypes)
     return df.sparkSession.createDataFrame(

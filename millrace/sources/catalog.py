@@ -37,6 +37,14 @@ class Catalog:
     def _log(self, **entry: Any) -> None:
         self.spark.createDataFrame([entry], _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
 
+    def _claim(self, dataset: str, version: str):
+        """The file that reserves a version's name; creating it is atomic, so of two writers one fails."""
+        for name in (dataset, version):
+            if not name or name.startswith(("_", ".")) or "/" in name:
+                raise ValueError(f"{name!r} cannot be the name of a folder")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_names/{dataset}/{version}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _entries(self) -> DataFrame:
         try:
             log = self.spark.read.schema(_LOG_SCHEMA).parquet(self.log_path)
@@ -60,14 +68,21 @@ class Catalog:
     def create_version(
         self, dataset: str, version: str, df: DataFrame, parent: str | None, operation: str, config: Any = None
     ) -> None:
-        """Store a result; the name must be new and the parent known."""
+        """Store a result; the name must be new and the parent known. A failed write frees the name."""
         names = [r["version"] for r in self.versions(dataset).where(F.col("version").isin([v for v in (version, parent) if v])).select("version").collect()]
         if version in names:
             raise ValueError(f"version {version!r} already exists")
         if parent is not None and parent not in names:
             raise ValueError(f"parent version {parent!r} does not exist")
+        files, claim = self._claim(dataset, version)
+        if not files.createNewFile(claim):
+            raise ValueError(f"version {version!r} already exists or is being written")
         path = f"{self.root}/{dataset}/{version}-{uuid.uuid4().hex[:8]}"
-        df.write.mode("errorifexists").parquet(path)
+        try:
+            df.write.mode("errorifexists").parquet(path)
+        except Exception:
+            files.delete(claim, False)
+            raise
         now = _now()
         self._log(
             dataset=dataset, version=version, parent=parent, operation=operation,
@@ -91,6 +106,8 @@ class Catalog:
         if child is not None:
             raise ValueError(f"version {version!r} has child version {child['version']!r}")
         self._log(**(row.asDict() | {"dropped": True, "logged_at": _now()}))
+        files, claim = self._claim(dataset, version)
+        files.delete(claim, False)
 
     def export_version(self, dataset: str, version: str, path: str, form: str = "csv") -> None:
         export(self.load_version(dataset, version), path, form)

@@ -182,3 +182,21 @@ def test_cycles_are_errors(frame, links):
     for question in (lineage.depths, lineage.ancestors):
         with pytest.raises(ValueError, match="cycle"):
             question(_versions(frame, links))
+
+
+def test_a_name_is_given_once(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    df = spark.range(3)
+    catalog.create_version("d", "raw", df, None, "import")
+    files, claim = catalog._claim("d", "late")
+    assert files.createNewFile(claim)  # another writer got there first
+    with pytest.raises(ValueError, match="being written"):
+        catalog.create_version("d", "late", df, "raw", "x")
+    with pytest.raises(Exception):
+        catalog.create_version("d", "broken", df.selectExpr("raise_error('no') AS x"), "raw", "x")
+    catalog.create_version("d", "broken", df, "raw", "x")
+    catalog.drop_version("d", "broken")
+    catalog.create_version("d", "broken", df, "raw", "x")
+    for name in ("../up", "_hidden", "", "a/b"):
+        with pytest.raises(ValueError):
+            catalog.create_version("d", name, df, "raw", "x")
