@@ -9,7 +9,7 @@
    block.
 4. Links are made into components by rounds of minimum labels, each written to shared storage.
 
-A link with similarity ``s`` is missed by the bands with probability ``(1 - s**rows)**bands`` (below 1e-6 at 0.8 and the
+A link with similarity ``s`` is missed by the bands with probability ``(1 - s**rows)**bands`` (2e-5 at 0.8 and the
 default numbers); every link found is exact, and within a family all pairs count, banded or not.
 
 Defined results: null and word-free texts have no shingle, are linked with nothing and kept. Repeated ids count as one row
