@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 
 
 def with_slices(df: DataFrame, rows: int, order: Column) -> DataFrame:
