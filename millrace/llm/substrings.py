@@ -337,13 +337,13 @@ def _to_cells(spans: DataFrame, length: int) -> DataFrame:
 
 def _ranges(spans: DataFrame, length: int, many: int) -> DataFrame:
     """``doc``, ``place`` and ``size`` of the repeated ranges among distinct blocks."""
-    counted = spans.groupBy("gram").agg(F.count("*").alias("n"))
+    counted = cut_lineage(spans.groupBy("gram").agg(F.count("*").alias("n")))  # tables, so that hot keys of the joins can be split
     if counted.where(F.col("n") > many).isEmpty():
         return _solved(spans.select("*", F.col("gram").alias("task"), F.lit(False).alias("open")), length).select("doc", "place", "size")
     spans = cut_lineage(spans.join(counted, "gram"))
     few = spans.where(F.col("n") <= many).select("*", F.col("gram").alias("task"), F.lit(False).alias("open"))
     cells = cut_lineage(_to_cells(spans.where(F.col("n") > many), length))
-    sizes = cells.groupBy("gram").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(cells.groupBy("gram").agg(F.count("*").alias("n")))
     cells = cells.join(sizes, "gram").where("n > 1")
     parts = F.ceil(F.col("n") / many)
     cells = cells.withColumn("open", parts > 1)
