@@ -4,7 +4,8 @@ A text becomes a vector of hashed character 2- and 3-grams with weight ``(1 + ln
 Each language has several centroids, found by spherical k-means over a bounded sample of its labelled rows. A text gets
 the language of the centroid with the largest cosine. It is rejected if its distance ``1 - cosine`` is larger than the
 centroid's radius. Short texts lie further from any centroid than long ones, so there is a radius for each class of length: the largest
-distance of the sample's texts, and of pieces of them of that length, times a slack.
+distance of the sample's texts of that length, and of pieces of that length, times a slack. A class that fewer than ``FEW`` of the
+sample's texts reach has no smaller radius than the class below it, where the texts lie further away.
 
 Defined results: a null text and one without a letter are ``und`` with score 0 and rejected. Rows without a label are not
 learned from; with nothing to learn from, every text is ``und``. Equal cosines go to the language that sorts first.
@@ -26,6 +27,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 UNKNOWN = "und"
 ROWS = 128  # texts whose vectors are held at once
 LENGTHS = np.array([16, 64, 256, 1024])  # upper ends of the classes of length, in characters; longer texts are the last
+FEW = 20
 FARTHEST = 0.999  # what shares next to nothing with a language is rejected at any length
 SCORED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
 
@@ -133,15 +135,17 @@ def fit(
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(group["text"])
-        x = vectors(texts, idf, buckets)
-        centres = cluster(x, centroids)
-        radius = [1 - (x @ centres.T).max(axis=1).min()] * (len(LENGTHS) + 1)
+        centres = cluster(vectors(texts, idf, buckets), centroids)
+        radius: list[float] = []
         random = np.random.default_rng(17)
-        for at, (low, high) in enumerate(zip([0, *LENGTHS], LENGTHS)):
-            spans = [(t, int(random.integers(low + 1, high + 1))) for t in texts for _ in range(2)]
-            parts = [t[(start := int(random.integers(max(1, len(t) - n)))) : start + n] for t, n in spans]
+        for low, high in zip([0, *LENGTHS], [*LENGTHS, 2 * LENGTHS[-1]]):
+            long = [t for t in texts if len(t) > low]
+            spans = [(t, int(random.integers(low + 1, min(high, len(t)) + 1))) for t in long for _ in range(2)]
+            parts = [t[(start := int(random.integers(len(t) - n + 1))) : start + n] for t, n in spans]
+            parts += [t for t in long if len(t) <= high or high > LENGTHS[-1]]
             y = vectors([p for p in parts if has_letter(p)], idf, buckets)
-            radius[at] = max(radius[at], 1 - (y @ centres.T).max(axis=1).min()) if len(y) else FARTHEST
+            own = [1 - (y @ centres.T).max(axis=1).min()] if len(y) else []
+            radius.append(max(own + (radius[-1:] if len(long) < FEW else []), default=FARTHEST))
         radius = np.minimum(FARTHEST, slack * np.array(radius))
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "radius": [radius] * len(centres)})
 

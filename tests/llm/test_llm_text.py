@@ -247,6 +247,24 @@ def test_language(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_language_radius_is_that_of_the_length(spark):
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(40)] for lang, letters in (("en", "etaoinsh"), ("fi", "taoikuvy"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text("en", rng.choice([3, 20, 80, 400])), "en") for i in range(200)]
+    rows += [(950 + i, f"{c}.", "en") for i, c in enumerate("QXJWZVBKPG")] + [(900, "Q.", "en"), (901, " ".join(text(x, 1) for x in ["en", "en", "fi"] * 200), None), (902, text("en", 600), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    found = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    assert found[901]["rejected"] and not found[902]["rejected"] and not found[900]["rejected"]
+    assert (np.diff(model.radius, axis=1) <= 0).all() and (model.radius[:, -1] < model.radius[:, 0]).all()
+
+
+def test_language_without_long_texts(spark):
+    df = spark.createDataFrame([(i, f"the {w} and", "en") for i, w in enumerate("abcdefgh")] + [(50, "the a and " * 300, None)], "doc_id long, text string, lang string")
+    assert not language.identify(df, language.fit(df)).where("rejected").count()
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     key = lambda: "sk_live_" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=24))
