@@ -26,11 +26,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8.
 
-    Of rows with the same id one stays, the one with the smallest text. Rows without an id go, as no group can name them.
+    It is the one with the smallest id, of several with that id one with the smallest digest, null ids last. Rows that share an id, or have none, are
+    duplicates only if their texts are. All rows without a word stay.
     """
-    kept = superminhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.select("doc_id", F.struct(*COLUMNS[1:]).alias("row")).join(kept.hint("merge"), "doc_id")
-    return one.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*")
+    order = F.struct(F.col("id").isNull(), "id", "mark")
+    kept = superminhash.grouped(docs).where("n > 0").groupBy("component").agg(F.min(order)["mark"].alias("mark")).select("mark")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.where(~wordless).select(superminhash.identity().alias("mark"), F.struct(*COLUMNS).alias("row")).join(kept.hint("merge"), "mark")
+    return one.groupBy("mark").agg(F.min("row").alias("row")).select("row.*").union(docs.where(wordless).select(COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

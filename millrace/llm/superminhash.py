@@ -1,8 +1,8 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, verification on full sets and union-find.
 
 1. Every text becomes its set of word shingles and a SuperMinHash signature. Texts with equal sets are one class from here
-   on, represented by the smallest id.
-2. Signatures are cut into bands. Classes that share a band are tied to the smallest id of that bucket; the ties' components
+   on, under a number of its own; its text is that of one of its rows.
+2. Signatures are cut into bands. Classes that share a band are tied to the smallest number of that bucket; the ties' components
    (*families*) hold every pair that the bands bring together, without a pair being written out.
 3. Each family is dealt to tasks in blocks of bounded size. A task holds one or two blocks of full sets, and unites classes
    whose sets are close enough; only uniting links leave the task. A family of one block is finished by one task. A larger one first meets its first block; what is then outside its largest component meets every
@@ -12,8 +12,8 @@
 A link with similarity ``s`` is missed by the bands with probability ``(1 - s**rows)**bands`` (2e-5 at 0.8 and the
 default numbers); every link found is exact, and within a family all pairs count, banded or not.
 
-Defined results: null and word-free texts have no shingle, are linked with nothing and kept. Repeated ids count as one row
-each and share their component if their texts link. Only the named columns are read.
+Defined results: null and word-free texts have no shingle, are linked with nothing and kept. Repeated and null ids count as one
+row each, and share their component only if their texts link. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytetext import mix, shingle_set
@@ -82,13 +82,18 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def identity(text: str = "text", key: str = "doc_id") -> Column:
+    """Digest of a row's id, which may be null, and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))))
+
+
 def sketch(df: DataFrame, text: str, key: str, width: int, bands: int, rows: int) -> DataFrame:
-    """Per row: ``id``, ``n`` (set size), ``same`` (128 bits that equal sets share) and ``bands`` (hashes, empty for no words)."""
+    """Per row: ``id``, ``mark`` (see ``identity``), ``n`` (set size), ``same`` (128 bits that equal sets share) and ``bands`` (hashes, empty for no words)."""
     size = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            ids, identities, texts = batch.columns
             sets, at = [], 0
             kept: list = []
             for value in texts.to_pylist():
@@ -100,12 +105,12 @@ def sketch(df: DataFrame, text: str, key: str, width: int, bands: int, rows: int
             kept.append(_rows(sets, bands, rows, size))
             n, same, keys = (sum((k[i] for k in kept), []) for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "same", "bands"],
+                [ids, identities, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "mark", "n", "same", "bands"],
             )
 
-    picked = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "id long, n long, same binary, bands array<long>")
+    picked = df.select(F.col(key).cast("long").alias("id"), identity(text, key).alias("mark"), F.col(text).alias("text"))
+    return picked.mapInArrow(run, "id long, mark binary, n long, same binary, bands array<long>")
 
 
 def _rows(sets: list[np.ndarray], bands: int, rows: int, size: int) -> tuple[list, list, list]:
@@ -135,25 +140,48 @@ def near_duplicates(
 ) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` (it is that id), one row per input row.
 
-    Two texts link if their sets' intersection is at least ``percent`` hundredths of their union. Intermediate tables are
-    written to shared storage while the result is being built.
+    Two texts link if their sets' intersection is at least ``percent`` hundredths of their union. A null id is that of a component without
+    any other. Intermediate tables are written to shared storage while the result is being built.
+    """
+    found = grouped(df, text, key, width, percent, bands, rows, block)
+    kept = F.col("component_id").eqNullSafe(F.col("id")).alias("kept")
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept)
+
+
+def grouped(
+    df: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``id``, ``mark``, ``n``, ``component`` and ``component_id`` of every row.
+
+    ``component`` is a number that only the rows of one component share, whatever their ids; null where ``n`` is 0.
     """
     marks = cut_lineage(sketch(df, text, key, width, bands, rows))
-    classes = marks.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"))
-    classes = cut_lineage(classes)
+    classes = marks.where("n > 0").groupBy("same")
+    classes = classes.agg(F.min("mark").alias("mark"), F.min("id").alias("least"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    classes = cut_lineage(classes.withColumn("rep", F.monotonically_increasing_id()))
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     centres = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).where("m > 1")
     ties = banded.join(centres, "bucket").where("rep <> centre").select("rep", "centre").distinct()
     families = cut_lineage(components(cut_lineage(ties), "rep", "centre").withColumnRenamed("label", "family"))
-    links = _verified(df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")), classes, families, width, percent, block)
+    # a text once, however many rows repeat it under one id or without one
+    texts = df.select(identity(text, key).alias("mark"), F.col(text).alias("text")).dropDuplicates(["mark"])
+    links = _verified(texts, classes, families, width, percent, block)
     found = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("label").alias("component"))
-    by_class = classes.select("same", "rep").join(found, "rep", "left")
-    by_class = by_class.select("same", F.coalesce("component", "rep").alias("component"))
-    out = marks.select("id", "n", "same").join(by_class, "same", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept")
-    )
+    found = cut_lineage(found.join(classes.select("rep", "least"), "rep"))
+    names = cut_lineage(found.groupBy("component").agg(F.min("least").alias("name")))
+    found = cut_lineage(found.join(names, "component").select("rep", "component", "name"))
+    by_class = classes.select("same", "rep", "least").join(found, "rep", "left")
+    by_class = by_class.select("same", F.coalesce("component", "rep").alias("component"), F.coalesce("name", "least").alias("name"))
+    out = marks.select("id", "mark", "n", "same").join(by_class, "same", "left")
+    component_id = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id"))
+    return out.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"), component_id.alias("component_id"))
 
 
 def unite(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -228,15 +256,15 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _verified(texts: DataFrame, classes: DataFrame, families: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links on full sets that make every family's components whole."""
-    members = families.withColumnRenamed("id", "rep").join(classes.select("rep", "n"), "rep")
+    members = families.withColumnRenamed("id", "rep").join(classes.select("rep", "mark", "n"), "rep")
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     members = members.join(blocks, "family")
     members = cut_lineage(members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    texts = texts.hint("merge")  # one plan at every size: texts are dealt by id, never sent to all
+    texts = texts.hint("merge")  # one plan at every size: texts are dealt by mark, never sent to all
     meets = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    dealt = members.select("rep", F.col("rep").alias("label"), "family", F.explode(meets).alias("with"))
-    dealt = dealt.select("rep", "label", F.struct("family", F.lit(0).alias("of"), "with").alias("task"))
-    links = cut_lineage(_unite_blocks(dealt.join(texts, "rep"), width, percent))
+    dealt = members.select("rep", "mark", F.col("rep").alias("label"), "family", F.explode(meets).alias("with"))
+    dealt = dealt.select("rep", "mark", "label", F.struct("family", F.lit(0).alias("of"), "with").alias("task"))
+    links = cut_lineage(_unite_blocks(dealt.join(texts, "mark"), width, percent))
     if members.where("blocks > 1").isEmpty():
         return links
     found = components(links, "a", "b")
@@ -247,9 +275,9 @@ def _verified(texts: DataFrame, classes: DataFrame, families: DataFrame, width:
     rest = large.join(main, "family").where("label <> main").drop("main")
     parts = rest.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     rest = rest.join(parts, "family").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int"))
-    rest = rest.select("rep", "label", "family", F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    rest = rest.select("rep", "mark", "label", "family", F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     whole = large.join(parts, "family").select(
-        "rep", "label", "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"), F.col("block").alias("with")
+        "rep", "mark", "label", "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"), F.col("block").alias("with")
     )
-    dealt = rest.union(whole).select("rep", "label", F.struct("family", "of", "with").alias("task")).distinct()
-    return links.union(cut_lineage(_unite_blocks(dealt.join(texts, "rep"), width, percent)))
+    dealt = rest.union(whole).select("rep", "mark", "label", F.struct("family", "of", "with").alias("task")).distinct()
+    return links.union(cut_lineage(_unite_blocks(dealt.join(texts, "mark"), width, percent)))

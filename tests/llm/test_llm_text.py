@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -77,6 +78,27 @@ def test_near_duplicates(docs, width, percent, block):
         assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 40) for _ in range(4)]
+    near = [t + " end" for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (9, near[0]), (8, near[1]), (None, texts[2]), (None, near[2]), (None, texts[3]), (2, near[3]), (5, texts[0])]
+    rows += [(None, None), (5, ""), (5, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    groups = {}
+    for r in superminhash.grouped(df).collect():
+        groups.setdefault(r["component"], []).append((r["id"], r["component_id"]))
+    alone = groups.pop(None)
+    assert sorted(alone, key=str) == [(5, 5), (5, 5), (None, None)]
+    assert sorted((sorted(g, key=str) for g in groups.values()), key=str) == [
+        [(2, 2), (None, 2)], [(5, 5), (5, 5), (9, 5)], [(5, 5), (8, 5)], [(None, None), (None, None)],
+    ]
+    kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, "").collect()]
+    third = [r for r in kept if r[0] is None and r[1] in (texts[2], near[2])]
+    want = [(5, texts[0]), (5, texts[1]), (2, near[3]), (None, None), (5, ""), (5, " ")]
+    assert len(third) == 1 and Counter(kept) == Counter(want + third)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 300).astype(np.uint64)
