@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and formats learned from the credentials that these find.
 
 *Base* spans are those of three fixed patterns. The strings they find are labelled credentials; from a bounded sample of each
-kind a probabilistic automaton is inferred by state merging, and one from ordinary long words. Every other run of
-``CANDIDATE`` characters with a digit and a letter is then scored: it is a ``format`` span if some kind's automaton gives it a likelihood
-like that of the kind's own sample, and at least ``margin`` bits a symbol more than the words' automaton does.
+kind a probabilistic automaton is inferred by state merging, and one from ordinary long words. Every run of
+``CANDIDATE`` characters that lies in no base span is then scored: it is a ``format`` span if some kind's automaton gives it a likelihood
+like that of the kind's own sample, and at least ``margin`` bits a symbol more than the words' automaton does. If a run with dots is
+none, its parts between the dots are scored.
 
 Spans are code points ``[start, end)`` of the whole text. Defined results: a null or empty text has no span; texts are scanned each on its
 own, so repeated rows get equal spans; without a labelled credential there are base spans only. Only the named columns are read.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,9 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")  # a run shorter than 16 fails anyhow
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-DIGIT, LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")  # what a labelled credential can be
+PART = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
+DIGIT = re.compile(rb"[0-9]")
 ORDINARY = "word"
 
 Span = tuple[str, int, int]
@@ -46,8 +48,8 @@ class Formats:
     margin: float
 
     def fits(self, token: str) -> bool:
-        plain = self.words.bits(token) if self.words else -float("inf")
-        return any((bits := a.bits(token)) >= least and bits - plain >= self.margin for _, a, least in self.kinds)
+        best = max((bits for _, a, least in self.kinds if (bits := a.bits(token)) >= least), default=None)
+        return best is not None and (self.words is None or best - self.words.bits(token) >= self.margin)
 
 
 def base_spans(data: bytes) -> list[tuple[str, int, int, bytes]]:
@@ -61,10 +63,21 @@ def base_spans(data: bytes) -> list[tuple[str, int, int, bytes]]:
     return found
 
 
-def candidates(data: bytes, base: list[tuple[str, int, int, bytes]]) -> Iterator[re.Match]:
+def outside(start: int, end: int, base: list[tuple[str, int, int, bytes]]) -> bool:
+    """Whether some of ``[start, end)`` is in no base span."""
+    return not any(s <= start and end <= e for _, s, e, _ in base)
+
+
+def format_spans(data: bytes, base: list[tuple[str, int, int, bytes]], fits: Callable[[str], bool]) -> Iterator[tuple[str, int, int]]:
     for m in CANDIDATE.finditer(data):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
-            yield m
+        start, end = m.span()
+        if outside(start, end, base):
+            if fits(m[0].decode("ascii")):
+                yield "format", start, end
+            elif b"." in m[0]:
+                for p in PART.finditer(data, start, end):
+                    if outside(*p.span(), base) and fits(p[0].decode("ascii")):
+                        yield "format", *p.span()
 
 
 def spans_of(text: str | None, formats: Formats | None) -> list[Span]:
@@ -73,7 +86,7 @@ def spans_of(text: str | None, formats: Formats | None) -> list[Span]:
     base = base_spans(data)
     found = [(k, s, e) for k, s, e, _ in base]
     if formats and formats.kinds:
-        found += [("format", m.start(), m.end()) for m in candidates(data, base) if formats.fits(m[0].decode("ascii"))]
+        found += format_spans(data, base, formats.fits)
     if found and len(data) != len(text):
         inner = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)  # bytes that start no code point
         found = [(k, s - int(inner[s]), e - int(inner[e - 1])) for k, s, e in found]
@@ -94,10 +107,13 @@ def learn(
             found = set()
             for value in batch.column(0).to_pylist():
                 data = (value or "").encode("utf-8", "surrogatepass")
-                found.update((k, secret.decode("ascii")) for k, _, _, secret in base_spans(data))
+                base = base_spans(data)
+                found.update((k, secret.decode("ascii")) for k, _, _, secret in base)
                 # a sixteenth of the long words, by their own hash
                 found.update(
-                    (ORDINARY, m[0].decode("ascii")) for m in CANDIDATE.finditer(data) if zlib.crc32(m[0]) % 16 == 0 and not DIGIT.search(m[0])
+                    (ORDINARY, m[0].decode("ascii"))
+                    for m in CANDIDATE.finditer(data)
+                    if zlib.crc32(m[0]) % 16 == 0 and not DIGIT.search(m[0]) and outside(*m.span(), base)
                 )
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "token"])
