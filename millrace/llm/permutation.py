@@ -9,7 +9,7 @@ The pivots are a bounded sample (``pivots`` rows, those with the smallest seeded
 reranked is fixed, so recall does not fall as the table grows: it was 0.95 to 1.0 over the given tables (``tests/llm`` and the README).
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, as query or candidate. A
-repeated id counts once. Equal distances are ranked by id. Fewer rows than asked for are all returned; an empty table has no result.
+repeated id counts once. Vectors of each length are searched on their own, with pivots of that length. Equal distances are ranked by id. Fewer rows than asked for are all returned; an empty table has no result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.vectorblocks import hits, search, usable
+from millrace.llm.vectorblocks import hits, lengths, search, usable
 
 PIVOTS, PREFIX = 256, 64
 SHARE, AT_LEAST = 0.25, 1_000  # of a shard reranked; no fewer than these, if there are as many
@@ -47,13 +47,16 @@ def neighbours(
 
     ``is_query`` is a condition on a column ``id`` that holds the key.
     """
-    rows = usable(df, key, vector, zero=False)
-    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots).collect()
-    width = max((len(r["vector"]) for r in drawn), default=0)
-    centre = np.array([r["vector"] for r in drawn if len(r["vector"]) == width], float).reshape(-1, max(1, width))
-    prefix = min(prefix, len(centre))
+    rows, sizes = lengths(usable(df, key, vector, zero=False), is_query)
+    centres = {}
+    for dim in (d for d, n in sizes.items() if n[1]):
+        drawn = rows.where(F.size("vector") == dim).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots).collect()
+        centres[dim] = np.array([r["vector"] for r in drawn], float)
+    most = prefix
 
     def build(ids: np.ndarray, x: np.ndarray) -> dict[str, bytes]:
+        centre = centres[x.shape[1]]
+        prefix = min(most, len(centre))
         near = nearest_pivots(x, centre, prefix).ravel()
         order = np.argsort(near, kind="stable")
         vectors, places = np.divmod(order, prefix)
@@ -72,6 +75,8 @@ def neighbours(
         posted = np.frombuffer(index["posted"], np.int32)
         places = np.frombuffer(index["places"], np.int16)
         few = min(len(ids), max(at_least, int(np.ceil(share * len(ids)))))
+        centre = centres[x.shape[1]]
+        prefix = min(most, len(centre))
         found, scores = [], []
         for row, order in enumerate(nearest_pivots(q, centre, prefix)):
             shared = np.zeros(len(ids), np.int32)  # footrule distance saved by common pivots
@@ -86,4 +91,4 @@ def neighbours(
             scores.append(away[first])
         return hits(list(asked), found, scores)
 
-    return search(rows, is_query, build, ["ids", "vectors", "files", "posted", "places"], find, k, nearest=True, kind="double")
+    return search(rows, sizes, is_query, build, ["ids", "vectors", "files", "posted", "places"], find, k, nearest=True, kind="double")

@@ -8,7 +8,7 @@ pivot than ``max(low - d, d - high)``. A query visits the annuli in the order of
 lies beyond its k-th best so far; queries that visit the same annulus in a round share the work. Scores are exact integers.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; zero vectors do. A repeated
-id counts once. Equal scores are ranked by id. Fewer rows than asked for are all returned; an empty table has no result. Scores that
+id counts once. A query meets the vectors of its own length. Equal scores are ranked by id. Fewer rows than asked for are all returned; an empty table has no result. Scores that
 don't fit a long raise.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.vectorblocks import search, usable
+from millrace.llm.vectorblocks import lengths, search, usable
 
 PIVOTS = 16
 ANNULUS = 256
@@ -110,7 +110,7 @@ def top_products(
         row, at = np.nonzero(places >= 0)
         return pd.DataFrame({"query_id": asked[row], "vec_id": ids[places[row, at]], "score": scores[row, at].astype(np.int64)})
 
-    return search(rows, is_query, build, ["ids", "vectors"], find, k, nearest=False, kind="long")
+    return search(*lengths(rows, is_query), is_query, build, ["ids", "vectors"], find, k, nearest=False, kind="long")
 
 
 def _by_whole_numbers(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 512
 HITS = "query_id long, vec_id long, score {}"
@@ -37,8 +39,26 @@ def unpack(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], x[first]
 
 
+def lengths(rows: DataFrame, is_query: Column) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """``rows`` with each id once, and the numbers of rows and queries by vector length.
+
+    With one length ``unpack`` sees to repeated ids; an id with several lengths keeps the vector that sorts first.
+    """
+
+    def count(rows: DataFrame) -> dict[int, tuple[int, int]]:
+        found = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries"))
+        return {r["dim"]: (r["n"], r["queries"]) for r in found.collect()}
+
+    sizes = count(rows)
+    if len(sizes) > 1:
+        rows = cut_lineage(rows.groupBy("id").agg(F.min("vector").alias("vector")))
+        sizes = count(rows)
+    return rows, sizes
+
+
 def search(
     rows: DataFrame,
+    sizes: dict[int, tuple[int, int]],
     is_query: Column,
     build: Callable[[np.ndarray, np.ndarray], dict[str, bytes]],
     fields: list[str],
@@ -52,21 +72,26 @@ def search(
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` best rows of every query.
 
     ``build`` makes the index of one shard, ``find`` looks a block of queries up in it and returns at most ``k`` rows (``HITS``,
-    with scores of type ``kind``) a query. Vectors whose length is not the table's largest take no part. A shard and a block hold a fixed number of rows, by a
-    hash of the id, so that copies of a vector spread; what is shuffled is one packed row per shard and block.
+    with scores of type ``kind``) a query. ``rows`` and ``sizes`` are those of ``lengths``; queries meet the vectors of their own length. A shard and a block hold a
+    fixed number of rows, by a hash of the id, so that copies of a vector spread; what is shuffled is one packed row per shard and block.
     """
-    total = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries"), F.max(F.size("vector")).alias("dim")).first()
-    shards = max(1, -(-total["n"] // shard_rows))
-    blocks = max(1, -(-total["queries"] // block_queries))
-    rows = rows.where(F.size("vector") == F.lit(total["dim"]))
+    sizes = {dim: n for dim, n in sizes.items() if n[1]}
+    if not sizes:
+        rows, sizes = rows.where(F.lit(False)), {0: (0, 0)}
+
+    def by_length(at: int, rows: int) -> Column:
+        return F.create_map(*[F.lit(v) for dim, n in sizes.items() for v in (dim, max(1, -(-n[at] // rows)))])[F.col("dim")]
+
+    shards, blocks = by_length(0, shard_rows), by_length(1, block_queries)
+    rows = rows.withColumn("dim", F.size("vector")).where(F.col("dim").isin(list(sizes)))
     packed = ", ".join(f"{f} binary" for f in fields)
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"shard": group["shard"].iloc[0], **build(*unpack(group))}])
+        return pd.DataFrame([{"dim": group["dim"].iloc[0], "shard": group["shard"].iloc[0], **build(*unpack(group))}])
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         ids, x = unpack(group)
-        return pd.DataFrame([{"block": group["block"].iloc[0], "ids": ids.tobytes(), "vectors": x.tobytes()}])
+        return pd.DataFrame([{"dim": group["dim"].iloc[0], "block": group["block"].iloc[0], "ids": ids.tobytes(), "vectors": x.tobytes()}])
 
     def meet(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(block):
@@ -75,13 +100,13 @@ def search(
         x = np.frombuffer(block["vectors"].iloc[0]).reshape(len(ids), -1)
         return find({f: shard[f].iloc[0] for f in fields}, ids, x)
 
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    indexes = sharded.groupBy("shard").applyInPandas(index, f"shard int, {packed}")
-    indexes = indexes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("block").applyInPandas(pack, "block int, ids binary, vectors binary")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = indexes.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
+    indexes = sharded.groupBy("dim", "shard").applyInPandas(index, f"dim int, shard int, {packed}")
+    indexes = indexes.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), blocks).cast("int"))
+    asked = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vectors binary")
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    pairs = indexes.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block"))
     best = F.col("score").asc() if nearest else F.col("score").desc()
     window = Window.partitionBy("query_id").orderBy(best, F.col("vec_id"))
     ranked = pairs.applyInPandas(meet, HITS.format(kind)).withColumn("rank", F.row_number().over(window))

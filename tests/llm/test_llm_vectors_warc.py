@@ -99,6 +99,23 @@ def test_few_and_no_vectors(spark):
     assert permutation.neighbours(none, every).count() == 0 and pivotdistance.top_products(none, every).count() == 0
 
 
+def test_vectors_of_each_length_are_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(40)] + [(i, rng.normal(size=3).tolist()) for i in range(40, 50)]
+    rows += [(60, [1.0] * 7), (61, [2.0, 3.0]), (0, [9.0])]  # alone; the vector of 0 that sorts first counts
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = {}
+    for i, v in rows:
+        once[i] = min(once.get(i, v), v)
+    every = F.col("id") >= 0
+    near = permutation.neighbours(df, every, k=3, pivots=8, prefix=4, share=1.0).collect()
+    top = pivotdistance.top_products(df, every, k=3, pivots=4).collect()
+    for found, score in ((near, lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))), (top, lambda a, b: -sum(np.floor(64 * x) * np.floor(64 * y) for x, y in zip(a, b)))):
+        for q, v in once.items():
+            want = sorted((score(v, w), i) for i, w in once.items() if i != q and len(w) == len(v))[:3]
+            assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
+
+
 def test_warc_round_trip(spark):
     tricky = "<p>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc é 日\n\r\n\r\n"
     rows = [(i, f"http://h.example/{i} x\n", f"body {i % 4}") for i in range(12)]
