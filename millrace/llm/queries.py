@@ -87,12 +87,13 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     captures = warc.assemble(warc.payload_sha1(warc.read_warc(spark, path)))
     answer, facts = F.col("response"), F.col("metadata.fields")
     revisit = answer["type"] == "revisit"
+    keyed = answer["refers_to"].startswith("<urn:capture:")
     return captures.select(
         facts["capture"].cast("long").alias("page_id"),
         F.when(revisit, facts["payload-bytes"].cast("long")).otherwise(answer["payload_bytes"]).alias("payload_bytes"),
         F.when(revisit, F.substring(answer["payload_digest"], 6, 32)).otherwise(answer["payload_sha1"]).alias("payload_digest"),
         answer["type"].alias("record_type"),
-        F.regexp_extract(answer["refers_to"], "^<urn:capture:(.*):response>$", 1).cast("long").alias("refers_to"),
+        F.regexp_extract(F.when(keyed, answer["refers_to"]), "^<urn:capture:(.*):response>$", 1).cast("long").alias("refers_to"),
     )
 
 

@@ -9,7 +9,8 @@ a record is one row, and the line separator is the blank lines that end it. They
 own file access, and cut by ``Content-Length``, never by what a payload holds.
 
 Defined results: a null payload is empty; a null url leaves out ``WARC-Target-URI``, line breaks and blanks in urls are
-percent-encoded. Repeated ids are written again, each as a capture of its own. A request or metadata record whose partner is missing is
+percent-encoded. A row with a null key is a capture without the ``capture`` field, under identifiers made from the digest of its url and payload,
+and comes after all keys when the first of equal payloads is picked. Repeated ids are written again, each as a capture of its own. A request or metadata record whose partner is missing is
 in no capture; a response without partners has null ones.
 """
 
@@ -58,33 +59,39 @@ def write_warc(df: DataFrame, path: str, url: str = "url", payload: str = "html"
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A"), " ", "%20")
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(key).alias("_order"), uri.alias("uri"), body.alias("body"))
+    unkeyed = F.when(F.col(key).isNull(), F.sha1(F.concat(F.coalesce(F.concat(F.lit("<"), uri, F.lit(">")), F.lit("")), body)))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(key).alias("_order"), uri.alias("uri"), body.alias("body"), unkeyed.alias("unkeyed"))
     rows = rows.withColumn("digest", payload_digest(F.col("body"))).withColumn("bytes", F.octet_length("body").cast("long"))
-    marks = df.select(F.col(key).alias("_order"), payload_digest(body).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"))
+    marks = df.select(F.col(key).alias("_order"), payload_digest(body).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"), unkeyed.alias("_unkeyed"))
     firsts = marks.where(F.col("_bytes") >= least).groupBy("_digest", "_bytes")
-    firsts = firsts.agg(F.min("_order").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = firsts.agg(F.min("_order").alias("first"), F.min("_unkeyed").alias("first_unkeyed"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes"))
-    rows = rows.join(firsts, same, "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("_order"), F.lit(False)))
+    later = F.when(F.col("_order").isNotNull(), F.col("first") < F.col("_order"))
+    later = later.otherwise(F.col("first").isNotNull() | (F.col("first_unkeyed") < F.col("unkeyed")))
+    rows = rows.join(firsts, same, "left").withColumn("revisit", F.coalesce(later, F.lit(False)))
 
-    def name(kind: str, of: Column) -> Column:
-        return F.concat(F.lit("<urn:capture:"), of, F.lit(f":{kind}>"))
+    def name(kind: str, of: Column, unkeyed: Column) -> Column:
+        of = F.coalesce(F.concat(F.lit("<urn:capture:"), of), F.concat(F.lit("<urn:unkeyed:"), unkeyed))
+        return F.concat(of, F.lit(f":{kind}>"))
+
+    def own(kind: str) -> Column:
+        return name(kind, F.col("key"), F.col("unkeyed"))
 
-    first = F.col("first").cast("string")
     target = ("WARC-Target-URI", F.col("uri"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
-    concurrent = ("WARC-Concurrent-To", name("response", F.col("key")))
+    concurrent = ("WARC-Concurrent-To", own("response"))
     place = F.regexp_extract(F.coalesce("uri", F.lit("")), "^[a-z]+://[^/]*(.*)$", 1)
     host = F.regexp_extract(F.coalesce("uri", F.lit("")), "^[a-z]+://([^/]*)", 1)
     status = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     asked = F.concat(F.lit("GET "), F.when(place == "", "/").otherwise(place), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
     answer = F.concat(F.lit(status + "Content-Length: "), F.col("bytes").cast("string"), F.lit(END))
     http = "application/http; msgtype="
-    response = _record("response", name("response", F.col("key")), [target, digest], http + "response", F.concat(answer, F.col("body")))
-    refers = [target, digest, ("WARC-Refers-To", name("response", first)), ("WARC-Profile", F.lit(PROFILE))]
-    revisit = _record("revisit", name("response", F.col("key")), refers, http + "response", answer)
-    request = _record("request", name("request", F.col("key")), [target, concurrent], http + "request", asked)
-    facts = F.concat(F.lit("capture: "), F.col("key"), F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
-    metadata = _record("metadata", name("metadata", F.col("key")), [target, concurrent], "application/warc-fields", facts)
+    response = _record("response", own("response"), [target, digest], http + "response", F.concat(answer, F.col("body")))
+    refers = [target, digest, ("WARC-Refers-To", name("response", F.col("first").cast("string"), F.col("first_unkeyed"))), ("WARC-Profile", F.lit(PROFILE))]
+    revisit = _record("revisit", own("response"), refers, http + "response", answer)
+    request = _record("request", own("request"), [target, concurrent], http + "request", asked)
+    facts = F.concat(F.coalesce(F.concat(F.lit("capture: "), F.col("key"), F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
+    metadata = _record("metadata", own("metadata"), [target, concurrent], "application/warc-fields", facts)
     records = rows.select(F.explode(F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 

@@ -116,6 +116,25 @@ def test_vectors_of_each_length_are_searched(spark):
             assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
 
 
+def test_warc_null_keys(spark):
+    rows = [(1, "http://h/1", "a"), (None, "http://h/2", "a"), (None, "http://h/3", "b"), (None, None, "b"), (None, "http://h/4", None), (2, "u", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = shared_path(spark, "warc")
+    warc.write_warc(pages, path)
+    records = warc.read_warc(spark, path)
+    assert records.count() == 18 and records.select("record_id").distinct().count() == 18
+    captures = warc.assemble(records).collect()
+    assert len(captures) == 6 and all(r["request"] and r["metadata"] for r in captures)
+    found = {r["response"]["target_uri"]: (r["metadata"]["fields"].get("capture"), r["response"]) for r in captures}
+    assert {u: k for u, (k, _) in found.items()} == {u: None if i is None else str(i) for i, u, _ in rows}
+    answers = {u: a for u, (_, a) in found.items()}
+    assert answers["http://h/2"]["type"] == "revisit" and answers["http://h/2"]["refers_to"] == "<urn:capture:1:response>"
+    assert answers["http://h/4"]["type"] == "response" and bytes(answers["http://h/4"]["payload"]) == b""
+    twins = [answers["http://h/3"], answers[None]]
+    one, other = sorted(twins, key=lambda a: a["type"])
+    assert (one["type"], bytes(one["payload"]), other["type"], other["refers_to"]) == ("response", b"b", "revisit", one["record_id"])
+
+
 def test_warc_round_trip(spark):
     tricky = "<p>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc é 日\n\r\n\r\n"
     rows = [(i, f"http://h.example/{i} x\n", f"body {i % 4}") for i in range(12)]
