@@ -298,3 +298,14 @@ def compare_scatter(t):
 def previewed(t):
     """Fewer rows than a preview shows, so that all come back."""
     return preview(t.table("nation"))
+
+
+@query("preview_lineitem", "SELECT least(1000, count(*)) AS n, true AS as_text, 0::BIGINT AS strangers FROM lineitem")
+def previewed_lineitem(t):
+    """A table larger than its preview: so many rows as text, each of them one of the table's."""
+    lineitem = t.table("lineitem")
+    shown = preview(lineitem)
+    as_text = all(kind == "string" for _, kind in shown.dtypes)
+    whole = lineitem.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in lineitem.columns])
+    strangers = shown.exceptAll(whole).agg(F.count("*").alias("strangers"))
+    return shown.agg(F.count("*").alias("n")).select("n", F.lit(as_text).alias("as_text")).crossJoin(strangers)
