@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, packing, permutation, pivotdistance, secrets, substrings, superminhash, tokencount, warc
+from millrace.llm import filteraudit, language, mixing, packing, permutation, pivotdistance, secrets, substrings, superminhash, tokencount, warc
 from millrace.session import shared_path
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -116,3 +116,46 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+OP12_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), least AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+    g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN low < d.doc_id OR low IS NOT NULL AND d.doc_id IS NULL THEN 16 ELSE 0 END AS bits
+        FROM d JOIN least USING (t) LEFT JOIN g USING (doc_id)
+    ), c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, bits),
+    l(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    o AS (
+        SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bit
+        FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+          AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+    ), s AS (
+        SELECT filter_order, step, bit[step] AS own, CAST(coalesce(list_sum(bit[1:step - 1]), 0) AS INTEGER) AS before
+        FROM o, (SELECT unnest(range(1, 6)) AS step)
+    ), r AS (
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+               CAST(sum(CASE WHEN bits & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+               CAST(sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+               CAST(sum(CASE WHEN bits & before <> 0 AND bits & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+               CAST(sum(CASE WHEN bits = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+               CAST(sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+               CAST(sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+        FROM s, c GROUP BY part, filter_order, step, own, before
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM r"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failed = filteraudit.failures(table(spark, folder, "documents"))
+    return filteraudit.audit(filteraudit.combinations(failed, table(spark, folder, "labels")))
