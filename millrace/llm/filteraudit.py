@@ -40,7 +40,7 @@ IS_LATER_BYTE = (BYTES & 0xC0) == 0x80  # of a code point
 def _bits(texts: Texts, fewest: int, distinct: int, upper: int) -> np.ndarray:
     n = len(texts)
     rows, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for row, hashed in texts.words(~IS_SPACE, lowered=False):
+    for row, hashed, _ in texts.words(~IS_SPACE, lowered=False):
         rows.append(row)
         hashes.append(hashed)
     row, hashed = np.concatenate(rows), np.concatenate(hashes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import filteraudit, language, mixing, packing, permutation, pivotdistance, secrets, substrings, superminhash, tokencount, warc
+from millrace.llm import filteraudit, language, mixing, packing, permutation, phraseindex, pivotdistance, secrets, substrings, superminhash, tokencount, warc
 from millrace.session import shared_path
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -159,3 +159,36 @@ OP12_SQL = r"""
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     failed = filteraudit.failures(table(spark, folder, "documents"))
     return filteraudit.audit(filteraudit.combinations(failed, table(spark, folder, "labels")))
+
+
+OP13_SQL = r"""
+    WITH b AS (
+        SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark
+    ), d AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), p AS (
+        SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+    ), s AS (
+        SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)
+    ), m AS (SELECT r, n, i, item_id FROM s JOIN p USING (n, g)),
+    h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+    t AS (
+        SELECT r, count(*) AS n_items, sha256(string_agg(v, ',' ORDER BY v)) AS items_sha256
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS v FROM m WHERE item_id IS NOT NULL) GROUP BY r
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
+@query("op13_phrase_index", OP13_SQL)
+def op13_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
+    index = phraseindex.build_index(table(spark, folder, "documents"))
+    wanted, groups = phraseindex.phrases(table(spark, folder, "benchmark"))
+    found = phraseindex.per_document(index, phraseindex.search(index, wanted), groups)
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -64,10 +64,10 @@ class Texts:
                 total[rows[0] : rows[-1] + 1] += np.bincount(rows - rows[0])
         return total
 
-    def words(self, is_word: np.ndarray, lowered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row and 64-bit hash of each word (maximal run of bytes that ``is_word`` marks) in order, a stretch at a time.
+    def words(self, is_word: np.ndarray, lowered: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Row and 64-bit hash of each word (maximal run of bytes that ``is_word`` marks) in order, and the rows that end, a stretch at a time.
 
-        Equal words have equal hashes wherever they lie; ``lowered`` takes A-Z as a-z.
+        Equal words have equal hashes wherever they lie; ``lowered`` takes A-Z as a-z, so ``is_word`` must mark both alike.
         """
         for at, stop in self.stretches(is_word):
             b = self.data[at:stop]
@@ -84,5 +84,5 @@ class Texts:
             tails = heads[heads > 0] - 1
             closes[tails] |= inside[tails]
             starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-            if len(starts):
-                yield self.row_of(starts + at), substring_hash(prefix_hash(b), starts, ends)
+            ended = int(np.searchsorted(self.cuts[1:], stop, "right"))
+            yield self.row_of(starts + at), substring_hash(prefix_hash(b), starts, ends), ended
