@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import filteraudit, language, mixing, packing, permutation, phraseindex, pivotdistance, secrets, substrings, superminhash, tokencount, warc
+from millrace.llm import filteraudit, language, mixing, packing, permutation, phraseindex, pivotdistance, prefixtrie, secrets, substrings, superminhash, tokencount, warc
 from millrace.session import shared_path
 from millrace.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -192,3 +192,48 @@ def op13_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     wanted, groups = phraseindex.phrases(table(spark, folder, "benchmark"))
     found = phraseindex.per_document(index, phraseindex.search(index, wanted), groups)
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP11_SQL = """
+    WITH RECURSIVE bit(b, step, crc) AS (
+        SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+        UNION ALL SELECT b, step + 1, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END FROM bit WHERE step < 8
+    ), crc AS (SELECT list(crc ORDER BY b) AS tab FROM bit WHERE step = 8),
+    t AS (
+        SELECT conv_id AS c, row_number() OVER (
+                   PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64), sha256(coalesce(text, ''))) AS p,
+               coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), k AS (
+        SELECT c, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)),
+                   lambda x, y: xor(x >> 8, tab[CAST(xor(x, y) & 255 AS INTEGER) + 1]))) % 9 AS h
+        FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t), crc
+    ), u AS (
+        SELECT k.c, 0 AS own, t.p, t.role, t.text FROM k JOIN t ON t.c = k.c - k.c % 5 AND t.p <= k.h
+        UNION ALL SELECT k.c, 1, t.p, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.p > k.h
+    ), v AS (
+        SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, sha256(length(role) || ':' || role || text) AS item, octet_length(encode(text)) AS b FROM u
+    ), x AS (
+        SELECT c, d, b, sha256(string_agg(item, '') OVER (PARTITION BY c ORDER BY d)) AS prefix FROM v
+        UNION ALL SELECT c, 0, 0, '' FROM k
+    ), len AS (SELECT c, max(d) AS d FROM x GROUP BY c),
+    node AS (SELECT d, prefix, min(c) AS c, count(*) AS n, any_value(b) AS b FROM x GROUP BY d, prefix),
+    link AS (SELECT DISTINCT x.d, x.prefix, y.prefix AS above FROM x JOIN x y ON x.c = y.c AND y.d = x.d - 1),
+    child AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n_children FROM link GROUP BY d, above),
+    full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, prefix)),
+    sub AS (
+        SELECT x.d, x.prefix, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n - 1) * f.b) AS saved
+        FROM full_node f JOIN x ON x.c = f.c AND x.d <= f.d GROUP BY x.d, x.prefix
+    ), ends AS (
+        SELECT x.d, x.prefix, sha256(string_agg(CAST(x.c AS VARCHAR), ',' ORDER BY x.c)) AS ends FROM x JOIN len USING (c, d) GROUP BY x.d, x.prefix
+    )
+    SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(sub.n_leaves AS BIGINT) AS n_leaves,
+           CAST(sub.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+    FROM full_node f JOIN sub USING (d, prefix) LEFT JOIN ends USING (d, prefix)
+    LEFT JOIN link USING (d, prefix) LEFT JOIN node p ON p.d = f.d - 1 AND p.prefix = link.above"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    placed, places = prefixtrie.numbered(table(spark, folder, "conversations"))
+    return prefixtrie.trie(prefixtrie.rebuilt(placed, places))
