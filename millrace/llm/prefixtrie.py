@@ -3,7 +3,7 @@
 A conversation is a sequence of items, each 24 bytes: 16 of the SHA-256 of role and text, 8 of the text's length.
 
 1. ``numbered``: turns get their places by a range sort and the row counts of the ranges before, so that no conversation meets in one task.
-2. ``_blocks``: sequences are cut every ``BLOCK`` turns; a block also holds the next item, and the ``root`` (a sum of hashes of the blocks before) in whose trie it lies. So rows
+2. ``_blocks``: sequences are cut every ``BLOCK`` turns; a block also holds the next item (behind a full last block comes an empty one), and the ``root`` (a sum of hashes of the blocks before) in whose trie it lies. So rows
    stay small, however long a conversation is. Equal blocks become one row with a count before anything else is done.
 3. ``_forest``: blocks are range-sorted. Two sorted neighbours of one root have an edge, which weighs as many items as they share. Every range takes its edges in descending
    weight; a union-find component that merges becomes a node of that depth, its parts are the node's children. What a component needs (members, leaves, bytes) are sums over its interval.
@@ -97,12 +97,16 @@ def _before(rows: DataFrame, columns: list[str], behind: bool = False) -> DataFr
 def _blocks(turns: DataFrame) -> DataFrame:
     """``conv``, ``m`` (number of the block), ``root``, ``key`` (its items and the next one) and ``size`` (items in the key), as a table."""
     m = F.when(F.col("place") > 0, F.floor((F.col("place") - 1) / BLOCK)).otherwise(0).cast("long")
-    also = (F.col("place") > 1) & ((F.col("place") - 1) % BLOCK == 0)
-    laid = turns.withColumn("m", F.explode(F.when(also, F.array(m - 1, m)).otherwise(F.array(m))))
-    listed = laid.groupBy("conv", "m").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("list"))  # at most BLOCK + 2
+    here = F.struct(m.alias("m"), "place", "item")
+    also = F.struct((m - 1).alias("m"), "place", "item")
+    mark = F.struct((m + 1).alias("m"), "place", F.lit(None).cast("binary").alias("item"))  # a full block is followed by one, if an empty one
+    several = F.when((F.col("place") > 1) & ((F.col("place") - 1) % BLOCK == 0), F.array(also, here)).otherwise(F.array(here))
+    several = F.when((F.col("place") > 0) & (F.col("place") % BLOCK == 0), F.array(here, mark)).otherwise(several)
+    laid = turns.select("conv", F.explode(several).alias("s")).select("conv", "s.*")
+    listed = laid.groupBy("conv", "m").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("list"))  # at most BLOCK + 2 (a mark, the items, the next one)
     key = F.unhex(F.array_join(F.transform("list", lambda x: F.hex(x["item"])), ""))
     blocks = cut_lineage(listed.select("conv", "m", key.alias("key")).withColumn("size", (F.length("key") / ITEM).cast("int")))
-    several = F.col("m").cast("boolean") | (F.col("size") > BLOCK)
+    several = (F.col("m") > 0) | (F.col("size") >= BLOCK)
     marked = F.sha2(F.concat(F.encode(F.concat(F.col("m").cast("string"), F.lit(":")), "UTF-8"), F.substring("key", 1, BLOCK * ITEM)), 256)
     words = [F.conv(F.substring(marked, 1 + 10 * i, 10), 16, 10).cast("long").alias(f"w{i}") for i in range(3)]
     rooted = _before(blocks.where(several).select("*", *words), ["w0", "w1", "w2"])
@@ -191,7 +195,7 @@ def _range_forest(table: pa.Table) -> pa.Table:
     total = sums[first + held] - sums[first]
     fresh = total - (sums[first + np.maximum(shared, 0)] - sums[first])  # bytes of the items that the row before does not share
     behind = np.append(shared[1:], -1)
-    leaf = (size <= BLOCK) & (behind < size)
+    leaf = (size < BLOCK) & (behind < size)  # of full blocks the next ones tell
 
     low = int(np.count_nonzero(side < 0))
     high = len(side) - int(np.count_nonzero(side > 0))
@@ -299,12 +303,13 @@ def trie(turns: DataFrame) -> DataFrame:
     none = [F.lit(0).cast("long").alias(c) for c in ("x_saved", "x_leaves")]
     below = _forest(_distinct(blocks.where("m > 0").select("*", *none))).where("inner = 0")
     below = below.select("conv", "m", F.col("saved").alias("x_saved"), F.col("leaves").alias("x_leaves"))
-    several = (F.col("m") > 0) | (F.col("size") > BLOCK)
+    several = (F.col("m") > 0) | (F.col("size") >= BLOCK)
     rest = blocks.where(several).join(cut_lineage(below), ["conv", "m"], "left").fillna(0, ["x_saved", "x_leaves"])
     rest = _before(rest, ["x_saved", "x_leaves"], behind=True)
     rows = blocks.where(~several).select("*", *none).unionByName(rest)
     nodes = _forest(_distinct(rows)).where("m = 0 OR inner > 0")
-    ended = joined_sha256(blocks.where(F.col("size") <= BLOCK).select(_end_id().alias("group"), sortable(F.col("conv")).alias("order"), F.col("conv").cast("string").alias("value")))
+    last = (F.col("size") <= BLOCK) & ((F.col("m") == 0) | (F.col("size") > 0))
+    ended = joined_sha256(blocks.where(last).select(_end_id().alias("group"), sortable(F.col("conv")).alias("order"), F.col("conv").cast("string").alias("value")))
     hashed = nodes.where("end_id IS NOT NULL").join(ended.select(F.col("group").alias("end_id"), "sha256"), "end_id")
     columns = [
         F.col("conv").alias("conv_id"), (F.col("m") * BLOCK + F.col("inner")).alias("depth"), F.col("parent_conv").alias("parent_conv_id"), F.col("n").alias("n_convs"),

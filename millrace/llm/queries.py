@@ -173,9 +173,10 @@ OP13_SQL = r"""
         SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
         FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
     ), s AS (
-        SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
-        FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)
-    ), m AS (SELECT r, n, i, item_id FROM s JOIN p USING (n, g)),
+        SELECT r, n, i, string_agg(v, ' ') OVER a AS g, count(*) OVER a AS held
+        FROM (SELECT r, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT n FROM p)
+        WINDOW a AS (PARTITION BY r, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)
+    ), m AS (SELECT r, n, i, item_id FROM s JOIN p USING (n, g) WHERE held = n),
     h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
     t AS (
         SELECT r, count(*) AS n_items, sha256(string_agg(v, ',' ORDER BY v)) AS items_sha256
