@@ -18,7 +18,8 @@ A byte goes if it lies in a string of ``length`` bytes that also starts earlier
 Blocks of one anchor, and cells of one anchor, are told apart by 64-bit hashes, windows by their bytes. Documents travel compressed.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing. Rows with equal id and text count as one document and
-get equal results; rows with equal ids and different texts are different documents, in the order of a hash of the text. Only the named columns are read.
+get equal results; rows with equal ids and different texts are different documents, in the order of a hash of the text. Documents
+without an id follow all ids below 2**62, in the order of a hash of the text. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ CELL = 8
 MANY = 2_000
 CHUNK = 16_000_000  # bytes of text whose blocks are put together in a task
 PART = 2_000_000  # bytes of blocks handled at once
+STRETCH = 1 << 20  # bytes of a text hashed at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "gram long, span long, doc long, place long, form long"
 _BLOCK_NAMES = ["gram", "span", "doc", "place", "form"]
@@ -64,17 +66,30 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks_of(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Hash of the anchor's string, hash of the block, first window, windows before the anchor, number of windows."""
-    sums = prefix_hash(b)
-    at = np.arange(len(b) - GRAM + 1)
-    gram = hashed(sums, at, at + GRAM)
-    keys = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    anchor = (smallest(keys, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(anchor)) + 1
-    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)])) - 1
-    left, windows = anchor[first] - first, last - first + 1
-    span = mix(hashed(sums, first, last + length) + (left * 256 + windows).astype(np.uint64) * _STEP)
-    return gram[anchor[first]], span, first, left, windows
+    """Hash of the anchor's string, hash of the block, first window, windows before the anchor, number of windows.
+
+    Long texts are taken in stretches. The last block of a stretch may go on, so the next stretch begins with it.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    begin = 0
+    while True:
+        stretch = b[begin : begin + STRETCH]
+        more = begin + len(stretch) < len(b)
+        sums = prefix_hash(stretch)
+        at = np.arange(len(stretch) - GRAM + 1)
+        gram = hashed(sums, at, at + GRAM)
+        keys = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        anchor = (smallest(keys, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(anchor)) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)])) - 1
+        if more:
+            rest, first, last = first[-1], first[:-1], last[:-1]
+        left, windows = anchor[first] - first, last - first + 1
+        span = mix(hashed(sums, first, last + length) + (left * 256 + windows).astype(np.uint64) * _STEP)
+        found.append((gram[anchor[first]], span, first + begin, left, windows))
+        if not more:
+            return tuple(np.concatenate(c) for c in zip(*found))
+        begin += int(rest)
 
 
 def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,20 +105,23 @@ def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _documents(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``doc``, ``version`` (of the text, for ids that repeat) and ``data``, the compressed bytes."""
+    """``doc``, ``version`` (of the text, for ids that repeat), ``given`` (the id as it came) and ``data``, the compressed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["doc", "version", "data"])
+            data = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["doc", "version", "given", "data"])
 
-    return _versions(df, text, key).mapInArrow(run, "doc long, version long, data binary")
+    return _versions(df, text, key).mapInArrow(run, "doc long, version long, given long, data binary")
 
 
 def _versions(df: DataFrame, text: str, key: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(key).cast("long").alias("doc"), F.shiftrightunsigned(F.xxhash64(whole), 33).alias("version"), whole.alias("text"))
+    given = F.col(key).cast("long")
+    nameless = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(4), whole), 2)
+    version = F.shiftrightunsigned(F.xxhash64(whole), 33)
+    return df.select(F.coalesce(given, nameless).alias("doc"), version.alias("version"), given.alias("given"), whole.alias("text"))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -135,9 +153,9 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for doc, version, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, version, _, text in zip(*(c.to_pylist() for c in batch.columns)):
             b = utf8(text)
-            if doc is None or len(b) < length:
+            if len(b) < length:
                 continue
             gram, span, first, left, windows = blocks_of(b, length)
             held.append((gram, span, np.full(len(gram), doc), (version << 32) + first, left * 256 + windows))
@@ -375,7 +393,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     ranges = ranges.union(found.where("repeated").select("doc", "place", F.col("form").alias("size")))
     start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start")
     by_doc = ranges.groupBy("doc", version).agg(F.collect_list(F.struct(start, "size")).alias("ranges"))
-    whole = documents.join(by_doc.hint("merge"), ["doc", "version"], "left").select("doc", "data", "ranges")
+    whole = documents.join(by_doc.hint("merge"), ["doc", "version"], "left").select("given", "data", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
