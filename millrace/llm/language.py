@@ -98,6 +98,25 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
+def sample(df: DataFrame, text: str, lang: str, key: str, where: Column | None, per_language: int) -> DataFrame | None:
+    """About ``per_language`` labelled texts of each language (``lang``, ``text``), the same ones in every run; None without any.
+
+    Those whose seeded hash of key and text lies under the language's share. Rows that agree in both are one, so neither ids that repeat
+    or are null nor groups of copies let the sample of a language grow or vanish.
+    """
+    rows = df if where is None else df.where(where)
+    drawn = F.xxhash64(F.lit(17), F.col(key).cast("string"), F.col(text)).alias("drawn")
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), drawn)
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("n")).collect()}  # one row per language
+    if not sizes:
+        return None
+    top = 1 << 30
+    limits = F.create_map(*[F.lit(v) for g in sorted(sizes) for v in (g, int(top * min(1.0, per_language / sizes[g])))])
+    taken = rows.where(F.pmod(F.col("drawn"), F.lit(top)) < limits[F.col("lang")])
+    return taken.groupBy("lang", "drawn").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(
     df: DataFrame,
     text: str = "text",
@@ -111,21 +130,12 @@ def fit(
 ) -> LanguageModel:
     """Learn from labelled rows.
 
-    ``sample_per_language`` bounds the labelled rows per language: those whose seeded hash of ``key`` lies under the
-    language's share, so about that many and the same ones in every run. Vectors of one language meet in one task, which
+    ``sample_per_language`` bounds the labelled rows per language, see ``sample``. Vectors of one language meet in one task, which
     the bound makes small; only centroids, radii and the gram frequencies reach the driver.
     """
-    rows = df if where is None else df.where(where)
-    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
-    if not langs:
+    taken = sample(df, text, lang, key, where, sample_per_language)
+    if taken is None:
         return LanguageModel([], np.zeros((0, buckets), np.float32), np.zeros((0, 5)), np.ones(buckets, np.float32), buckets)
-    top = 1 << 30
-    limits = F.create_map(*[F.lit(v) for g in langs for v in (g, int(top * min(1.0, sample_per_language / sizes[g])))])
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col("key").cast("string")), F.lit(top))
-    taken = rows.where(draw < limits[F.col("lang")]).select("lang", "text")
     counted = taken.select("text").mapInArrow(lambda batches: _seen(batches, buckets), "bucket int, seen long")
     seen = np.zeros(buckets + 1)
     for r in counted.groupBy("bucket").agg(F.sum("seen").alias("seen")).collect():  # one row per bucket
