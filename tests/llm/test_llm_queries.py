@@ -40,16 +40,27 @@ def test_pipeline_stages(spark):
     known = stages["language_id"](spark, docs, FOLDER)
     assert not {9001, 9002, 9003} & {r["doc_id"] for r in known.collect()}
     one = stages["near_duplicates"](spark, docs, FOLDER)
-    ids = [r["doc_id"] for r in one.collect()]
-    assert len(ids) == len(set(ids)) and {9001, 9002, 9003} <= set(ids)
+    rows = [(r["doc_id"], r["text"]) for r in one.collect()]
+    assert len(rows) == len(set(rows)) and {9001, 9002, 9003} <= {i for i, _ in rows} and (0, "zz") in rows
     masked = stages["secret_scan"](spark, one, FOLDER)
     assert masked.count() == one.count()
     assert not masked.where(F.col("text").rlike("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}")).count()
     mixed = stages["source_mix"](spark, masked, FOLDER)
-    assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    assert mixed.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 2
     for frame in (known, one, masked, mixed):
         assert frame.columns == corpus_pipeline.COLUMNS
     packed = stages["best_fit_packing"](spark, mixed, FOLDER)
     assert packed.where("piece = 0").count() == mixed.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("doc_id < 0"), FOLDER).count() == 0, name
+
+
+def test_mix_stage_keeps_rows_without_ids(spark):
+    """Every row is taken once: sources of equal weight, a total of all their words."""
+    docs = spark.createDataFrame([(i if i % 3 else None, f"some words number {i}", "en", None, i) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.union(docs.limit(4))
+    mixed = corpus_pipeline.source_mix(spark, docs, FOLDER)
+    counts = {r["text"]: r["count"] for r in mixed.groupBy("text").count().collect()}
+    words = mixed.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    assert abs(words - 1.5 * 34 * 4) <= 34 * 2 and max(counts.values()) <= 4
+    assert any(r["doc_id"] is None for r in mixed.collect()) and mixed.columns == corpus_pipeline.COLUMNS

@@ -14,7 +14,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import automata, language, mixing, packing, secrets, substrings, superminhash, tokencount
+from millrace.llm import automata, language, mixing, packing, secrets, substrings, superminhash, tokencount, tokenids
 from millrace.llm.bytetext import shingle_set
 from millrace.llm.suffixarray import suffix_array
 from millrace.llm.tokenids import encoder
@@ -355,3 +355,66 @@ def test_inferred_automaton_prefers_its_format():
 )
 def test_empty_table(docs, operator):
     assert operator(docs.where("doc_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("letter", [" ", "\n", "a", "\u00a0"])
+def test_ids_of_a_million_equal_characters(letter):
+    encode = tokenids.encoder()
+    text = "x" + letter * 1_000_000 + "y"
+    assert encode(text).tolist() == encode.library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_blank_runs_and_null_ids(spark):
+    texts = ["a" + " " * 700_000 + "b", None, "", "a b", "a b"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    ids = [len(tokenids.encoder()(t)) + 1 for t in texts]
+    assert sum(r["length"] for r in rows) == sum(ids) and all(r["doc_id"] is None for r in rows)
+    used = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (s, o, n), (s2, o2, _) in zip(used, used[1:]):
+        assert (s2, o2) == (s, o + n) or (s2 > s and o2 == 0)
+
+
+def test_blocks_do_not_depend_on_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    b = rng.integers(97, 100, 20_000).astype(np.uint8)
+    b[5_000:9_000] = 97
+    whole = substrings.blocks_of(b, 100)
+    monkeypatch.setattr(substrings, "STRETCH", 700)
+    for one, other in zip(whole, substrings.blocks_of(b, 100)):
+        assert np.array_equal(one, other)
+
+
+def test_substrings_of_rows_without_ids(spark):
+    rng = np.random.default_rng(4)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 400))) for _ in range(2))
+    rows = [(None, a), (None, "x" + a), (5, a[:300]), (None, b), (6, b[50:])]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sorted((r["doc_id"] is None, r["n_bytes"], r["n_removed"]) for r in found)
+    assert gone[:2] == [(False, 300, 0), (False, 350, 0)]  # ids come first
+    assert gone[2][2] + gone[3][2] + gone[4][2] in range(300 + 400 + 350, 300 + 400 + 350 + 101) and len(gone) == 5
+
+
+def test_labelled_sample_of_rows_that_share_ids(spark):
+    letters = {"en": "abc", "fr": "def", "de": "ghi"}
+    rows = [(None, f"{g} {i} " + w * 5, g) for g, w in letters.items() for i in range(500)] + [(1, "the same text", "en")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = language.sample(docs, "text", "lang", "doc_id", None, 100)
+    counts = {r["lang"]: r["count"] for r in taken.groupBy("lang").count().collect()}
+    assert set(counts) == set(letters) and all(50 <= n <= 160 for n in counts.values())
+    assert taken.where("text = 'the same text'").count() <= 1
+    assert sorted(map(tuple, taken.collect())) == sorted(map(tuple, language.sample(docs.repartition(5), "text", "lang", "doc_id", None, 100).collect()))
+
+
+def test_language_is_the_nearest_centroid(docs):
+    """Against a brute-force search over the same model."""
+    model = language.fit(docs)
+    for r in language.identify(docs, model, keep=["text"]).collect():
+        if r["text"] and language.has_letter(r["text"]):
+            vector = language.vectors([r["text"]], model.idf, model.buckets)[0].astype(float)
+            cosines = [float(np.dot(vector, c)) / max(1e-12, float(np.linalg.norm(vector) * np.linalg.norm(c))) for c in model.centroids]
+            best = int(np.argmax(cosines))
+            assert abs(cosines[best] - r["score"]) < 1e-4
+            assert abs(max(c for c, g in zip(cosines, model.langs) if g == r["lang_pred"]) - cosines[best]) < 1e-5
+        else:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
