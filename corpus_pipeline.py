@@ -46,13 +46,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it, rounded: none, one or two.
 
-    What is taken of rows with the same id is shared evenly among them.
+    Rows meet what is taken of them by a digest of all their columns, so ids may repeat or be null. Rows that agree in all columns come
+    together as often as all of them are taken.
     """
+    marked = docs.select(*COLUMNS, F.md5(F.to_json(F.struct(*COLUMNS))).alias("mark"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = mixing.mix(docs).select("doc_id", times.alias("times")).groupBy("doc_id")
-    taken = taken.agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(taken.hint("merge"), "doc_id").withColumn("_copy", copies).select(COLUMNS)
+    taken = mixing.mix(marked, keep=["mark"]).groupBy("mark").agg(F.sum(times).alias("times")).where("times > 0")
+    rows = marked.groupBy("mark").agg(F.first(F.struct(*COLUMNS)).alias("row")).join(taken.hint("merge"), "mark")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
