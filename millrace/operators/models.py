@@ -8,18 +8,12 @@ from dataclasses import dataclass
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +21,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import as_double, col, column_kinds, without_nan
 from millrace.operators import metrics
 from millrace.operators.split import assign_folds, train_test_split, validate_target
-
-DEEPEST = 30  # of Spark's trees
+from millrace.operators.trees import Settings, TreesEstimator
 
 
 def _logistic(n: int, classes: int, seed: int, C=1.0, max_iter=100, solver="lbfgs", penalty="l2", l1_ratio=0.5):
@@ -40,19 +33,22 @@ def _logistic(n: int, classes: int, seed: int, C=1.0, max_iter=100, solver="lbfg
     return LogisticRegression(maxIter=max_iter, regParam=strength, elasticNetParam=mixes[penalty], standardization=False)
 
 
-def _forest(kind, seed, n_estimators=100, max_depth=10, min_samples_split=2, min_samples_leaf=1):
-    if min_samples_split != 2:
-        raise ValueError("min_samples_split has no counterpart here; use min_samples_leaf")
-    if max_depth > DEEPEST:
-        raise ValueError(f"trees deeper than {DEEPEST} cannot be trained here")
-    return kind(numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, seed=seed)
+def _forest(n: int, classes: int, seed: int, n_estimators=100, max_depth=10, min_samples_split=2, min_samples_leaf=1, max_bins=64):
+    """``max_depth`` None grows until nothing gains. Classes are cut by a share of the features per node, numbers by all."""
+    return TreesEstimator(
+        Settings(
+            classes=classes, trees=n_estimators, max_depth=max_depth, min_samples_split=min_samples_split, min_samples_leaf=min_samples_leaf,
+            all_features=not classes, max_bins=max_bins, seed=seed,
+        )
+    )
 
 
-def _boosted(kind, seed, n_estimators=100, max_depth=6, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0):
-    share = "all" if colsample_bytree >= 1.0 else str(float(colsample_bytree))
-    return kind(
-        maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
-        featureSubsetStrategy=share, seed=seed,
+def _boosted(n: int, classes: int, seed: int, n_estimators=100, max_depth=6, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0, reg_lambda=0.0, max_bins=64):
+    return TreesEstimator(
+        Settings(
+            loss="logistic" if classes else "squared", classes=classes, trees=n_estimators, max_depth=max_depth, learning_rate=learning_rate,
+            subsample=subsample, share_per_tree=colsample_bytree, reg_lambda=reg_lambda, max_bins=max_bins, seed=seed,
+        )
     )
 
 
@@ -63,35 +59,18 @@ def _linear_svm(n: int, classes: int, seed: int, C=1.0, kernel="linear", gamma=N
     return svm if classes <= 2 else OneVsRest(classifier=svm)
 
 
-def _forest_classifier(n, classes, seed, n_estimators=100, max_depth=10, min_samples_split=2, min_samples_leaf=1):
-    return _forest(RandomForestClassifier, seed, n_estimators, max_depth, min_samples_split, min_samples_leaf)
-
-
-def _forest_regressor(n, classes, seed, n_estimators=100, max_depth=10, min_samples_split=2, min_samples_leaf=1):
-    return _forest(RandomForestRegressor, seed, n_estimators, max_depth, min_samples_split, min_samples_leaf)
-
-
-def _boosted_classifier(n, classes, seed, n_estimators=100, max_depth=6, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0):
-    model = _boosted(GBTClassifier, seed, n_estimators, max_depth, learning_rate, subsample, colsample_bytree)
-    return model if classes <= 2 else OneVsRest(classifier=model)
-
-
-def _boosted_regressor(n, classes, seed, n_estimators=100, max_depth=6, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0):
-    return _boosted(GBTRegressor, seed, n_estimators, max_depth, learning_rate, subsample, colsample_bytree)
-
-
 def _least_squares(n, classes, seed):
     return LinearRegression(regParam=0.0, solver="normal")
 
 
 _BUILDERS = {
     ("classification", "logistic_regression"): _logistic,
-    ("classification", "random_forest"): _forest_classifier,
+    ("classification", "random_forest"): _forest,
     ("classification", "svm"): _linear_svm,
-    ("classification", "xgboost"): _boosted_classifier,
+    ("classification", "xgboost"): _boosted,
     ("regression", "linear_regression"): _least_squares,
-    ("regression", "random_forest"): _forest_regressor,
-    ("regression", "xgboost"): _boosted_regressor,
+    ("regression", "random_forest"): _forest,
+    ("regression", "xgboost"): _boosted,
 }
 
 
@@ -108,7 +87,7 @@ class Trained:
         return self.config.get("classes")
 
 
-def _estimator(task: str, model: str, n: int, classes: int, seed: int, params: dict):
+def _estimator(task: str, model: str, n: int, classes: int, seed: int, params: dict, key: list[str]):
     builder = _BUILDERS.get((task.lower(), model.lower()))
     if builder is None:
         raise ValueError(f"no model {model!r} for task {task!r}")
@@ -116,7 +95,10 @@ def _estimator(task: str, model: str, n: int, classes: int, seed: int, params: d
     unknown = [p for p in params if p not in allowed]
     if unknown:
         raise ValueError(f"{model} does not take {unknown}")
-    return builder(n, classes, seed, **params)
+    estimator = builder(n, classes, seed, **params)
+    if isinstance(estimator, TreesEstimator):
+        estimator.settings.keys = list(key)
+    return estimator
 
 
 def class_labels(df: DataFrame, target: str) -> list[str]:
@@ -176,7 +158,7 @@ def train(
 ) -> Trained:
     """Split, fit on the training rows and hand back the test rows."""
     features, classes, train_rows, test_rows, n = _prepare(df, target, task, model, key, test_size, seed, features)
-    estimator = _estimator(task, model, n, len(classes or []), seed, params)
+    estimator = _estimator(task, model, n, len(classes or []), seed, params, key)
     before, after = _stages(target, features, classes)
     fitted = Pipeline(stages=[*before, estimator, *after]).fit(_labelled(train_rows, target, classes))
     config = {
@@ -316,7 +298,7 @@ def grid_search(
     names = list(grid)
     combos = [dict(zip(names, values)) for values in product(*grid.values())]
     in_fold = max(1, n * (folds - 1) // folds)
-    candidates = [_estimator(task, model, in_fold, len(classes or []), seed, c) for c in combos]
+    candidates = [_estimator(task, model, in_fold, len(classes or []), seed, c, key) for c in combos]
 
     before, after = _stages(target, features, classes)
     folded = assign_folds(train_rows, key, folds, seed, target if classes is not None else None)
@@ -335,7 +317,7 @@ def grid_search(
     scores, spread = list(search.avgMetrics), list(search.stdMetrics)
     best = max(range(len(combos)), key=lambda i: scores[i])
     if "C" in combos[best]:  # its strength depends on the row count, so fit at full size
-        estimator = _estimator(task, model, n, len(classes or []), seed, combos[best])
+        estimator = _estimator(task, model, n, len(classes or []), seed, combos[best], key)
         refit = Pipeline(stages=[*before, estimator]).fit(_labelled(train_rows, target, classes))
     else:
         refit = search.bestModel

@@ -2,9 +2,10 @@ import itertools
 import math
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, models, plotdata, quality, synth
+from millrace.operators import metrics, models, plotdata, quality, synth, trees
 from millrace.operators.split import assign_folds, largest_remainder, train_test_split, validate_target
 
 
@@ -154,7 +155,7 @@ def test_model_errors(spark):
     bad = [
         ("y", "regression", "svr", ["x"], {}),
         ("side", "classification", "svm", ["x"], {"kernel": "rbf"}),
-        ("side", "classification", "random_forest", ["x"], {"min_samples_split": 5}),
+        ("side", "classification", "xgboost", ["x"], {"min_samples_split": 5}),
         ("side", "classification", "random_forest", ["x"], {"magic": 5}),
         ("y", "regression", "linear_regression", ["side"], {}),
     ]
@@ -286,3 +287,72 @@ def test_scatter_errors_and_colour_rule(frame):
     assert plotdata.scatter(df, ["a", "b"], ["id"], "c").count() == 1
     side = plotdata.compare_scatter(df, ["a", "b"], df, ["a", "b"], "a", "c").orderBy("side").collect()
     assert [(r["side"], r["colour_value"], r["colour_class"]) for r in side] == [(1, None, None), (2, None, "r")]
+
+
+# ---- trees ----------------------------------------------------------------------------
+
+
+def _noisy(spark, n=400):
+    return spark.range(n).select(
+        "id", (F.col("id") % 23).alias("x"), (F.col("id") % 7 * 1.0).alias("z"), ((F.col("id") * 7919 % 101) + F.col("id") % 23 * F.col("id") % 7).cast("double").alias("y")
+    )
+
+
+def _nodes(trained):
+    return [t for s in trained.model.stages if isinstance(s, trees.TreesModel) for t in s.described()["trees"]]
+
+
+def test_trees_without_a_depth_limit_fit_what_can_be_told_apart(spark):
+    df = spark.range(64).select("id", F.col("id").alias("x"), (F.col("id") * 37 % 64 * 1.0).alias("y"))
+    trained = models.train(df, "y", "regression", "xgboost", ["id"], ["x"], test_size=0.1, n_estimators=1, learning_rate=1.0, max_depth=None)
+    train = df.join(trained.test.select("id"), "id", "left_anti")
+    assert {(r["y"], round(r["prediction"], 6)) for r in models.score(trained.model, train).collect() if r["y"] != r["prediction"]} <= {
+        (r["y"], r["y"]) for r in train.collect()
+    }
+    depths = [0]
+    tree = _nodes(trained)[0]
+    for node, left, right in zip(range(len(tree["feature"])), tree["left"], tree["right"]):
+        depths += [0] * (max(left, right) + 1 - len(depths))
+        if tree["feature"][node] >= 0:
+            depths[left] = depths[right] = depths[node] + 1
+    assert max(depths) > 6
+
+
+def test_min_samples_split_and_leaf(spark):
+    df = _noisy(spark)
+    few = models.train(df, "y", "regression", "random_forest", ["id"], ["x", "z"], n_estimators=3, max_depth=None, min_samples_split=60)
+    many = models.train(df, "y", "regression", "random_forest", ["id"], ["x", "z"], n_estimators=3, max_depth=None, min_samples_leaf=5)
+    assert all(sum(f >= 0 for f in t["feature"]) < sum(f >= 0 for f in u["feature"]) for t, u in zip(_nodes(few), _nodes(many)))
+    whole = models.train(df, "y", "regression", "random_forest", ["id"], ["x", "z"], n_estimators=2, min_samples_split=10_000)
+    assert all(t["feature"] == [-1] for t in _nodes(whole))
+
+
+def test_training_loss_falls_with_trees(spark):
+    df = _noisy(spark)
+    losses = []
+    for n in (1, 4, 12):  # more than one fixing of the rows' predictions
+        trained = models.train(df, "y", "regression", "xgboost", ["id"], ["x", "z"], n_estimators=n, learning_rate=0.3, max_depth=3)
+        scored = models.score(trained.model, df.join(trained.test.select("id"), "id", "left_anti"))
+        losses.append(scored.agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))).first()[0])
+    assert losses[0] > losses[1] > losses[2]
+
+
+def test_trees_do_not_depend_on_partitions_and_survive_saving(spark, tmp_path):
+    df = _noisy(spark).withColumn("band", (F.col("x") > 11).cast("int"))
+    for target, task, model in (("y", "regression", "random_forest"), ("band", "classification", "xgboost"), ("z", "classification", "random_forest")):
+        one = models.train(df.repartition(7), target, task, model, ["id"], ["x", "y"] if target != "y" else ["x", "z"], n_estimators=3, max_depth=4)
+        two = models.train(df.coalesce(1), target, task, model, ["id"], ["x", "y"] if target != "y" else ["x", "z"], n_estimators=3, max_depth=4)
+        path = str(tmp_path / f"{target}-{model}")
+        one.model.save(path)
+        again = PipelineModel.load(path)
+        found = [
+            {r["id"]: round(r["prediction"], 9) for r in models.score(m, df, target, one.classes).collect()} for m in (one.model, two.model, again)
+        ]
+        assert found[0] == found[1] == found[2]
+
+
+def test_many_values_are_cut_at_quantiles(spark):
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 3001 * 1.0).alias("x")).withColumn("y", F.col("x") * 2)
+    trained = models.train(df, "y", "regression", "random_forest", ["id"], ["x"], n_estimators=5, max_depth=None, min_samples_leaf=2, max_bins=32)
+    assert models.evaluate(trained)["r2"] > 0.99
+    assert len({m for t in _nodes(trained) for f, m in zip(t["feature"], t["most"]) if f >= 0}) <= 31

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, models, split
+from millrace.operators import metrics, models, split, trees
 from workload.book import hash_sql, query, r, round_columns
 
 
@@ -277,6 +277,84 @@ def train_boosted_regressor(t):
     return round_columns(_all_scored(t, trained).drop("target"), ["prediction"], 3)
 
 
+# ---- trees on real columns, grown a second time in SQL ----
+
+GROWN_FEATURES = ["hour", "team", "kind"]
+GROWN_ROWS = f"""SELECT event_id, value AS y, hour(ts)::INTEGER AS f0, (user_id % 20)::INTEGER AS f1, length(event_type)::INTEGER AS f2, {hash_sql("event_id")} AS h,
+    row_number() OVER (ORDER BY {hash_sql("event_id")}, event_id) > ceil(count(*) OVER () * 0.2) AS trains FROM events"""
+
+
+def _events(t):
+    return t.table("events").selectExpr("event_id", "value", "hour(ts) AS hour", "CAST(user_id % 20 AS int) AS team", "length(event_type) AS kind")
+
+
+def _drawn_sql(name: str, source: str, tree: str) -> str:
+    """CTEs that end in ``name``: the rows of ``source`` with a number ``u`` in [0, 1) that depends on row and tree."""
+    word = "'18446744073709551616'::UHUGEINT"
+    steps = [f"{name}_0 AS (SELECT *, xor(h::UHUGEINT, (({tree} + 1)::UHUGEINT * '11400714819323198485'::UHUGEINT) % {word}) AS x FROM {source})"]
+    for i, (shift, factor) in enumerate(((30, 13787848793156543929), (27, 10723151780598845931)), 1):
+        steps.append(f"{name}_{i} AS (SELECT * REPLACE ((xor(x, x >> {shift}) * '{factor}'::UHUGEINT) % {word} AS x) FROM {name}_{i - 1})")
+    return ", ".join([*steps, f"{name} AS (SELECT * EXCLUDE x, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992 AS u FROM {name}_2)"])
+
+
+def _grown_sql(name: str, source: str, depth: int, least: int, split: int) -> str:
+    """CTEs that end in ``name``: the rows of ``source`` (``tree``, ``w``, ``s``, features) with the ``node`` each comes to rest in."""
+    n = len(GROWN_FEATURES)
+    text = [f"{name}_0 AS (SELECT *, 0 AS node FROM {source})"]
+    for level in range(depth):
+        rows = f"{name}_{level}"
+        cells = " UNION ALL ".join(f"SELECT tree, node, {f} AS f, f{f} AS v, count(*) AS n, sum(w) AS w, sum(s) AS s FROM {rows} WHERE w > 0 GROUP BY ALL" for f in range(n))
+        text.append(f"""{name}_c{level} AS (SELECT *, sum(n) OVER a AS ln, sum(w) OVER a AS lw, sum(s) OVER a AS ls, sum(n) OVER b AS tn, sum(w) OVER b AS tw, sum(s) OVER b AS ts FROM ({cells})
+            WINDOW a AS (PARTITION BY tree, node, f ORDER BY v ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY tree, node, f))""")
+        text.append(f"""{name}_b{level} AS (SELECT tree, node, f, v FROM (SELECT *, ls * ls / lw + (ts - ls) * (ts - ls) / nullif(tw - lw, 0) - ts * ts / tw AS gain FROM {name}_c{level})
+            WHERE tn >= {split} AND ln >= {least} AND tn - ln >= {least} AND gain > 1e-9 * ts * ts / tw + 1e-12
+            QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain::FLOAT DESC, f, v) = 1)""")
+        side = " ".join(f"WHEN {f} THEN r.f{f}" for f in range(n))
+        text.append(f"""{name}_{level + 1} AS (SELECT r.* REPLACE (CASE WHEN b.f IS NULL THEN r.node WHEN CASE b.f {side} END <= b.v THEN r.node * 2 + 1 ELSE r.node * 2 + 2 END AS node)
+            FROM {rows} r LEFT JOIN {name}_b{level} b USING (tree, node))""")
+    return ", ".join([*text, f"{name} AS (SELECT * FROM {name}_{depth})"])
+
+
+FOREST = {"n_estimators": 3, "max_depth": 3, "min_samples_split": 60, "min_samples_leaf": 7}
+WEIGHT = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(trees.POISSON.tolist())) + f" ELSE {len(trees.POISSON)} END"
+
+
+@query(
+    "train_forest_events",
+    f"""WITH e AS ({GROWN_ROWS}), base AS (SELECT avg(y) AS base FROM e WHERE trains),
+        laid AS (SELECT * FROM e, base, (SELECT unnest(range({FOREST["n_estimators"]})) AS tree)), {_drawn_sql("d", "laid", "tree")},
+        g AS (SELECT *, w * (y - base) AS s FROM (SELECT *, CASE WHEN trains THEN {WEIGHT} ELSE 0 END::DOUBLE AS w FROM d)),
+        {_grown_sql("r", "g", FOREST["max_depth"], FOREST["min_samples_leaf"], FOREST["min_samples_split"])},
+        leaf AS (SELECT tree, node, sum(s) / sum(w) AS v FROM r WHERE w > 0 GROUP BY ALL)
+        SELECT event_id, {r("any_value(base) + avg(v)", 5)} AS prediction FROM r JOIN leaf USING (tree, node) GROUP BY event_id""",
+)
+def train_forest_events(t):
+    """Three trees on bootstrapped events; every prediction equals that of trees grown in SQL."""
+    trained = models.train(_events(t), "value", "regression", "random_forest", ["event_id"], GROWN_FEATURES, **FOREST)
+    return round_columns(models.score(trained.model, _events(t)).select("event_id", "prediction"), ["prediction"], 5)
+
+
+BOOSTED = {"n_estimators": 4, "max_depth": 2, "learning_rate": 0.3, "subsample": 0.8}
+
+
+def _boosted_sql() -> str:
+    text = [f"e AS ({GROWN_ROWS})", "m0 AS (SELECT *, avg(CASE WHEN trains THEN y END) OVER () AS made FROM e)"]
+    for i in range(BOOSTED["n_estimators"]):
+        text.append(_drawn_sql(f"d{i}", f"(SELECT *, {i} AS tree FROM m{i}) q", "tree"))
+        text.append(f"g{i} AS (SELECT *, w * (y - made) AS s FROM (SELECT *, CASE WHEN trains AND u < {BOOSTED['subsample']} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM d{i}))")
+        text.append(_grown_sql(f"r{i}", f"g{i}", BOOSTED["max_depth"], 1, 2))
+        leaf = f"(SELECT node, sum(s) / sum(w) AS v FROM r{i} WHERE w > 0 GROUP BY node)"
+        text.append(f"m{i + 1} AS (SELECT event_id, y, f0, f1, f2, h, trains, made + {BOOSTED['learning_rate']}::DOUBLE * v AS made FROM r{i} JOIN {leaf} USING (node))")
+    return f"WITH {', '.join(text)} SELECT event_id, {r('made', 5)} AS prediction FROM m{BOOSTED['n_estimators']}"
+
+
+@query("train_boosted_events", _boosted_sql())
+def train_boosted_events(t):
+    """Four steps of boosting on drawn events; every prediction equals that of trees grown in SQL."""
+    trained = models.train(_events(t), "value", "regression", "xgboost", ["event_id"], GROWN_FEATURES, **BOOSTED)
+    return round_columns(models.score(trained.model, _events(t)).select("event_id", "prediction"), ["prediction"], 5)
+
+
 @query("train_linear_svm", _by_rule("level", ['cheap', 'dear']))
 def train_linear_svm(t):
     return _all_scored(
