@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
 from millrace.operators import balance, clean, encode, reduce, scale
 from millrace.operators.base import replay
 from millrace.plans.sequence import run_sequence
@@ -142,6 +143,49 @@ def test_synthetic_oversampling_repeats_no_key(frame):
     assert out.count() == 180 and out.select("id").distinct().count() == 180
 
 
+def test_balance_of_floating_point_classes(frame):
+    df = frame([(1.0e7,)] * 3 + [(1.5,)], "c double")
+    for shares in ({1.0e7: 1, 1.5: 1}, {"1.0E7": 1, "1.50": 1}, frame([(1.0e7, 1), (1.5, 1)], "class double, share int")):
+        assert _targets(df, shares) == {1.0e7: 3, 1.5: 3}
+
+
+def test_synthesis_of_many_classes_in_as_many_jobs(spark, frame):
+    """Marginals and dependence of each class on its own: opposite slopes, shifted ranges, own categories, gaps and a null class."""
+
+    def rows(classes):
+        out = []
+        for c in range(classes):
+            for i in range(60 if c % 2 else 40):
+                x = (i * 37 % 60) + 100.0 * c + 0.5
+                y = (1 if c % 2 else -1) * x + (i % 3)
+                out.append((len(out), x, None if i % 4 == 0 else y, f"k{c % 3}-{i % 2}", None if c == 2 else f"c{c}"))
+        return frame(out, "id long, x double, y double, kind string, c string")
+
+    def jobs(df, group):
+        """Jobs until the result is written."""
+        spark.sparkContext.setJobGroup(group, "")
+        shares = df.select(F.col("c").alias("class"), F.lit(1).alias("share")).distinct()
+        out = cut_lineage(balance.oversample(df, "c", shares, ["id"], "synthesis")[0])
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("other", "")
+        return out, n
+
+    few, n_few = jobs(rows(4), "few")
+    many, n_many = jobs(rows(40), "many")
+    assert n_many <= n_few + 8  # the optimizer may join small tables in fewer jobs
+    assert many.count() == 40 * 60 and many.select("id").distinct().count() == 40 * 60
+    new = many.where("id >= 2000").groupBy("c").agg(
+        F.min("x").alias("low"), F.max("x").alias("high"), F.corr("x", "y").alias("r"), F.collect_set("kind").alias("kinds"), F.avg(F.col("y").isNull().cast("int")).alias("gaps"), F.count("*").alias("n")
+    )
+    seen = new.collect()
+    assert len(seen) == 20 and sum(r["n"] for r in seen) == 400
+    for r in seen:
+        c = 2 if r["c"] is None else int(r["c"][1:])
+        assert c % 2 == 0 and 100 * c <= r["low"] and r["high"] <= 100 * c + 60.5 and r["n"] == 20
+        assert set(r["kinds"]) <= {f"k{c % 3}-0", f"k{c % 3}-1"}
+    assert sum(r["r"] < -0.5 for r in seen) >= 18 and 0.1 < sum(r["gaps"] for r in seen) / 20 < 0.4
+
+
 def test_oversample_keeps_originals_and_null_class(frame):
     rows = [(i, "x" if i < 40 else None if i < 45 else "y") for i in range(50)]
     df = frame(rows, "id int, c string")

@@ -327,11 +327,35 @@ def outlier_rows_removed(t):
 def oversample_many_classes(t):
     """As many classes as there are customers with orders, all brought to the size of the largest."""
     orders = t.table("orders").select("o_orderkey", "o_custkey")
-    shares = {r["o_custkey"]: 1 for r in orders.select("o_custkey").distinct().collect()}
+    shares = orders.select(F.col("o_custkey").alias("class"), F.lit(1).alias("share")).distinct()
     out, _ = balance.oversample(orders, "o_custkey", shares, ["o_orderkey"])
     return out.groupBy(F.col("o_custkey").alias("cls")).agg(F.count("*").alias("n"))
 
 
+MANY_SYNTHETIC = """(SELECT 1E7::DOUBLE + o_custkey % 500 AS cls, count(*) n, min(o_totalprice) low, max(o_totalprice) high FROM orders GROUP BY 1)"""
+
+
+@query(
+    "oversample_synthesis_many_classes",
+    f"SELECT cls, max(n) OVER () AS n, max(n) OVER () AS keys, n AS originals, true AS inside, true AS known FROM {MANY_SYNTHETIC}",
+)
+def oversample_synthesis_many_classes(t):
+    """500 classes named by floating-point numbers, each grown by rows from its own copula: within the class's range of prices, and with states the class has."""
+    orders = t.table("orders").selectExpr("o_orderkey", "o_totalprice", "o_orderstatus", "1E7D + o_custkey % 500 AS cls")
+    shares = orders.select(F.col("cls").alias("class"), F.lit(1).alias("share")).distinct()
+    out = balance.oversample(orders, "cls", shares, ["o_orderkey"], "synthesis")[0]
+    own = orders.groupBy("cls").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.collect_set("o_orderstatus").alias("states"))
+    last = orders.agg(F.max("o_orderkey").alias("last"))  # one row
+    seen = out.join(own, "cls").join(F.broadcast(last))
+    return seen.groupBy("cls").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("o_orderkey").alias("keys"),
+        F.count_if(F.col("o_orderkey") <= F.col("last")).alias("originals"),
+        F.every(F.col("o_totalprice").between(F.col("low"), F.col("high"))).alias("inside"),
+        F.every(F.array_contains("states", F.col("o_orderstatus"))).alias("known"),
+    )
+
+
 @query(
     "balance_report",
     f"SELECT cls AS class, n AS original, target, target - n AS added FROM {TARGETS}",
