@@ -7,6 +7,9 @@ any size works: everything is a filter, a join on ``(dataset, version)`` or an a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from millrace.session import cut_lineage
 VERSIONS_SCHEMA = (
     "dataset string, version string, parent string, operation string, config string, created_at timestamp_ntz"
 )
+INTERVALS = "dataset string, version string, enter long, leave long, depth long"
+TOGETHER = 50_000  # versions of a dataset that one task walks through
 
 
 def datasets(versions: DataFrame) -> DataFrame:
@@ -40,33 +45,139 @@ def graph(versions: DataFrame) -> DataFrame:
     return versions.select("dataset", "version", "parent")
 
 
-def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``(dataset, version, ancestor, distance)``, each version being its own ancestor at 0.
+def intervals(versions: DataFrame) -> DataFrame:
+    """``(dataset, version, enter, leave, depth)``: when a walk through a dataset's trees comes to a version and leaves it for good, as a table.
 
-    Links double in length every round (parent, grandparent, 4th, 8th ...), so a chain of a
-    million versions takes twenty rounds rather than a million. The result has a row per version and ancestor, which for
-    deep histories is far more than the versions: ``of`` limits the versions whose ancestors are wanted, and
-    :func:`depths` needs none of it. A cycle is an error.
+    One row per version, whatever the depth: a version is an ancestor of another exactly if its interval holds the other's. Parents that are
+    not among the versions have a row too. Datasets of up to ``TOGETHER`` versions are walked in one task each; larger ones by ranking the list of the walk's
+    steps, for which every step takes over the pointer of the step it points at, in as many rounds as the list's length has binary digits. A cycle is an error.
+    """
+    known = versions.select("dataset", "version", "parent")
+    named = known.where("parent IS NOT NULL").select("dataset", F.col("parent").alias("version")).distinct()
+    absent = named.join(known.select("dataset", "version"), ["dataset", "version"], "left_anti")
+    known = cut_lineage(known.union(absent.withColumn("parent", F.lit(None).cast("string"))))
+    large = cut_lineage(known.groupBy("dataset").count().where(F.col("count") > TOGETHER).select("dataset"))
+    if large.isEmpty():
+        out = cut_lineage(known.groupBy("dataset").applyInPandas(_walked, INTERVALS))
+    else:
+        small = known.join(large, "dataset", "left_anti").groupBy("dataset").applyInPandas(_walked, INTERVALS)
+        out = cut_lineage(small.union(_ranked(known.join(large, "dataset", "left_semi"))))
+    if not out.where("enter < 0").isEmpty():
+        raise ValueError("the parents form a cycle")
+    return out
+
+
+def _walked(group: pd.DataFrame) -> pd.DataFrame:
+    """The walk through one dataset; versions it cannot reach enter at -1."""
+    below: dict[str | None, list[str]] = {}
+    for version, parent in sorted(zip(group["version"], group["parent"]), key=lambda link: link[0]):
+        below.setdefault(None if pd.isna(parent) else parent, []).append(version)
+    enter, leave, depth = {}, {}, {}
+    clock, path = 0, [iter(below.get(None, []))]
+    names: list[str] = []
+    while path:
+        version = next(path[-1], None)
+        if version is None:
+            path.pop()
+            if names:
+                leave[names.pop()] = clock
+                clock += 1
+            continue
+        enter[version], depth[version] = clock, len(names)
+        clock += 1
+        names.append(version)
+        path.append(iter(below.get(version, [])))
+    rows = [(v, enter.get(v, -1), leave.get(v, -1), depth.get(v, -1)) for v in group["version"]]
+    out = pd.DataFrame(rows, columns=["version", "enter", "leave", "depth"])
+    out.insert(0, "dataset", group["dataset"].iloc[0])
+    return out
+
+
+def _ranked(known: DataFrame) -> DataFrame:
+    """The same from a ranking of the steps: a version's step down goes on with its first child, its step up with its next sibling or its parent's step up.
+
+    Siblings are ordered inside buckets, and the buckets of a parent by number, so that no parent's children meet in one task. No step is pointed at twice.
+    """
+    known = cut_lineage(known)
+    total = known.count()
+    bucket = F.pmod(F.xxhash64("version"), F.lit(-(-total // TOGETHER)))
+    placed = known.withColumn("bucket", bucket)
+    firsts = placed.groupBy("dataset", "parent", "bucket").agg(F.min("version").alias("first"))
+    along = Window.partitionBy("dataset", "parent").orderBy("bucket")  # one row per bucket of a parent
+    firsts = cut_lineage(firsts.select("*", F.lead("first").over(along).alias("following"), F.row_number().over(along).alias("nth")))
+    inner = Window.partitionBy("dataset", "parent", "bucket").orderBy("version")
+    same = F.col("s.dataset").eqNullSafe(F.col("f.dataset")) & F.col("s.parent").eqNullSafe(F.col("f.parent")) & (F.col("s.bucket") == F.col("f.bucket"))
+    sided = placed.withColumn("beside", F.lead("version").over(inner)).alias("s").join(firsts.alias("f"), same)
+    sibling = F.coalesce("s.beside", "f.following")
+    up_next = F.when(sibling.isNotNull(), F.struct(sibling.alias("version"), F.lit(True).alias("down")))
+    up_next = up_next.otherwise(F.when(F.col("s.parent").isNotNull(), F.struct(F.col("s.parent").alias("version"), F.lit(False).alias("down"))))
+    up = sided.select("s.dataset", "s.version", F.lit(False).alias("down"), up_next.alias("next"), F.lit(-1).cast("long").alias("height"))
+    child = firsts.where("nth = 1 AND parent IS NOT NULL").select("dataset", F.col("parent").alias("version"), "first")
+    below = known.join(child, ["dataset", "version"], "left")
+    down_next = F.struct(F.coalesce("first", "version").alias("version"), F.col("first").isNotNull().alias("down"))
+    down = below.select("dataset", "version", F.lit(True).alias("down"), down_next.alias("next"), F.lit(1).cast("long").alias("height"))
+    steps = down.union(up).withColumn("behind", F.lit(1).cast("long"))  # steps from here to the end, this one too, as far as seen
+    for _ in range((2 * total).bit_length() + 1):
+        steps = cut_lineage(steps)
+        moving = steps.where("next IS NOT NULL").alias("a")
+        if moving.isEmpty():
+            break
+        ahead = steps.alias("b")
+        met = moving.join(ahead, (F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.next.version") == F.col("b.version")) & (F.col("a.next.down") == F.col("b.down")))
+        sums = [(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("height", "behind")]
+        steps = steps.where("next IS NULL").union(met.select("a.dataset", "a.version", "a.down", "b.next", *sums))
+    else:
+        stuck = steps.where("next IS NOT NULL").select("dataset", "version").distinct()
+        steps = steps.join(stuck, ["dataset", "version"], "left_anti").unionByName(
+            stuck.select("dataset", "version", F.lit(None).cast(steps.schema["next"].dataType).alias("next"), F.lit(True).alias("down"), F.lit(0).cast("long").alias("height"), F.lit(None).cast("long").alias("behind"))
+        )
+    length = steps.groupBy("dataset").agg(F.max("behind").alias("length"))
+    both = steps.groupBy("dataset", "version").agg(
+        F.max(F.when(F.col("down"), F.col("behind"))).alias("enter"), F.max(F.when(~F.col("down"), F.col("behind"))).alias("leave"), F.max(F.when(F.col("down"), -F.col("height"))).alias("depth")
+    )
+    columns = [F.coalesce(F.col("length") - F.col(c), F.lit(-1)).alias(c) for c in ("enter", "leave")]
+    return both.join(length, "dataset").select("dataset", "version", *columns, F.coalesce("depth", F.lit(-1)).cast("long").alias("depth"))
+
+
+def _covers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The few blocks of 1, 2, 4, 8 ... numbers that make up each interval, each block with its own multiple as start."""
+    for batch in batches:
+        rows = []
+        for dataset, member, step, low, high in batch.itertuples(index=False):
+            level, high = 0, high + 1
+            while low < high:
+                if low & 1:
+                    rows.append((dataset, member, step, level, low))
+                    low += 1
+                if high & 1:
+                    high -= 1
+                    rows.append((dataset, member, step, level, high))
+                low, high, level = low >> 1, high >> 1, level + 1
+        yield pd.DataFrame(rows, columns=["dataset", "member", "step", "level", "block"])
+
+
+def paths(numbered: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``(dataset, version, step, member)`` from :func:`intervals`: which intervals hold the versions (``of`` these only).
+
+    An interval is a few blocks of doubling sizes and a number lies in one block of each size, so the versions an interval holds are found by
+    equality. The result has a row per version and ancestor; nothing else does.
     """
-    most = versions.count()
-    links = versions.where("parent IS NOT NULL").select("dataset", "version", F.col("parent").alias("up"))
-    start = versions if of is None else of
-    paths = start.select("dataset", "version", F.col("version").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
-    length = 1
-    while not links.isEmpty():
-        hop = links.withColumnRenamed("version", "ancestor")
-        further = paths.join(hop, ["dataset", "ancestor"]).select(
-            "dataset", "version", F.col("up").alias("ancestor"), (F.col("distance") + length).alias("distance")
-        )
-        paths = paths.unionByName(cut_lineage(further))
-        next_links = links.withColumnRenamed("up", "mid").join(
-            links.select("dataset", F.col("version").alias("mid"), "up"), ["dataset", "mid"]
-        )
-        links = cut_lineage(next_links.select("dataset", "version", "up"))
-        length *= 2
-        if length > 2 * most or not links.where("version = up").isEmpty():
-            raise ValueError("the parents form a cycle")
-    return paths
+    most = numbered.agg(F.max("leave")).first()[0]
+    levels = F.sequence(F.lit(0), F.lit(int(most or 0).bit_length()))
+    points = numbered if of is None else numbered.join(of.select("dataset", "version").distinct(), ["dataset", "version"], "left_semi")
+    points = points.select("dataset", "version", F.col("enter"), F.explode(levels).alias("level"))
+    points = points.select("dataset", "version", "level", F.expr("shiftright(enter, level)").alias("block"))
+    covers = numbered.select("dataset", F.col("version").alias("member"), F.col("depth").alias("step"), "enter", "leave")
+    covers = covers.mapInPandas(_covers, "dataset string, member string, step long, level int, block long")
+    return points.join(covers, ["dataset", "level", "block"]).select("dataset", "version", "step", "member")
+
+
+def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``(dataset, version, ancestor, distance)``, each version being its own ancestor at 0; ``of`` limits the versions. A cycle is an error."""
+    numbered = intervals(versions)
+    found = paths(numbered, versions if of is None else of)
+    own = numbered.select("dataset", "version", "depth")
+    return found.join(own, ["dataset", "version"]).select("dataset", "version", F.col("member").alias("ancestor"), (F.col("depth") - F.col("step")).alias("distance"))
 
 
 def depths(versions: DataFrame) -> DataFrame:
@@ -93,18 +204,19 @@ def depths(versions: DataFrame) -> DataFrame:
 def lineage(versions: DataFrame, dataset: str | None = None, version: str | None = None) -> DataFrame:
     """``(dataset, version, step, member)``: the path from the root (step 0) to each version.
 
-    With a dataset only its versions are read; with a version only its own path is built.
+    With a dataset only its versions are read; with a version its path is a filter of the intervals.
     """
     if dataset is not None:
         versions = versions.where(F.col("dataset") == dataset)
-    of = None
-    if version is not None:
-        of = versions.where(F.col("version") == version)
-        if of.isEmpty():
-            raise ValueError(f"version {version!r} does not exist")
-    paths = ancestors(versions, of)
-    depth = F.max("distance").over(Window.partitionBy("dataset", "version"))
-    return paths.select("dataset", "version", (depth - F.col("distance")).alias("step"), F.col("ancestor").alias("member"))
+    if version is None:
+        return paths(intervals(versions), versions)
+    of = versions.where(F.col("version") == version)
+    if of.isEmpty():
+        raise ValueError(f"version {version!r} does not exist")
+    numbered = intervals(versions)
+    own = numbered.where(F.col("version") == version).select("dataset", "version", F.col("enter").alias("at"))  # one row per dataset
+    held = numbered.select("dataset", F.col("version").alias("member"), F.col("depth").alias("step"), "enter", "leave").join(own, "dataset")
+    return held.where("enter <= at AND at <= leave").select("dataset", "version", "step", "member")
 
 
 def removable(versions: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.ml import PipelineModel
@@ -200,3 +201,41 @@ def test_a_name_is_given_once(spark, tmp_path):
     for name in ("../up", "_hidden", "", "a/b"):
         with pytest.raises(ValueError):
             catalog.create_version("d", name, df, "raw", "x")
+
+
+def _paths_by_hand(links):
+    parent = {(d, v): p for d, v, p in links}
+    out = set()
+    for d, v, _ in links:
+        path = [v]
+        while parent.get((d, path[-1])) is not None:
+            path.append(parent[d, path[-1]])
+        out |= {(d, v, i, m) for i, m in enumerate(reversed(path))}
+    return out
+
+
+@pytest.mark.parametrize("together", [50_000, 40, 1])  # walked in one task, both ways, ranked
+def test_paths_by_intervals(spark, monkeypatch, together):
+    monkeypatch.setattr(lineage, "TOGETHER", together)
+    draw = random.Random(8)
+    links = [("tree", "raw", None)] + [("tree", f"v{i}", draw.choice(["raw", *[f"v{j}" for j in range(i)]])) for i in range(60)]
+    links += [("star", "raw", None)] + [("star", f"v{i}", "raw") for i in range(50)]
+    links += [("chain", "v0", None)] + [("chain", f"v{i}", f"v{i - 1}") for i in range(1, 45)]
+    links += [("roots", "a", None), ("roots", "b", None), ("roots", "c", "gone"), ("roots", "d", "gone"), ("one", "raw", None)]
+    versions = spark.createDataFrame(links, "dataset string, version string, parent string")
+    assert {tuple(r) for r in lineage.lineage(versions).collect()} == _paths_by_hand(links)
+    assert {tuple(r) for r in lineage.lineage(versions, "tree", "v59").collect()} == {p for p in _paths_by_hand(links) if p[:2] == ("tree", "v59")}
+    of = versions.where("version = 'v40'")
+    found = {(r["dataset"], r["version"], r["ancestor"], r["distance"]) for r in lineage.ancestors(versions, of).collect()}
+    wanted = {p for p in _paths_by_hand(links) if p[1] == "v40"}
+    assert found == {(d, v, m, max(q[2] for q in wanted if q[0] == d) - i) for d, v, i, m in wanted}
+    numbered = lineage.intervals(versions).collect()
+    assert len(numbered) == len(links) + 1  # one row per version, and one for the parent that is gone
+    assert all(r["leave"] > r["enter"] >= 0 for r in numbered)
+
+
+def test_cycles_in_large_datasets_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "TOGETHER", 2)
+    links = [("d", "a", "b"), ("d", "b", "c"), ("d", "c", "a"), ("d", "raw", None), ("d", "x", "raw"), ("e", "raw", None)]
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.lineage(spark.createDataFrame(links, "dataset string, version string, parent string"))
