@@ -31,6 +31,7 @@ from millrace.functions.ranking import HASH_TOP, seeded_hash
 from millrace.session import cut_lineage
 
 ROWS = 200_000  # walked down together in a task
+WORTH_SPREADING = 20_000  # rows
 FIXED_ROUNDS = 8  # boosting rounds after which the rows' predictions are fixed in a table
 GOLDEN = 0x9E3779B97F4A7C15
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
@@ -145,7 +146,20 @@ def binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
             packed = pa.array([r.tobytes() for r in bins], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, pa.array([b""] * len(bins), pa.binary())], ["hash", "y", "bins", "fixed"])
 
-    return cut_lineage(rows.select("hash", "y", "x").mapInArrow(run, "hash long, y double, bins binary, fixed binary"))
+    out = cut_lineage(rows.select("hash", "y", "x").mapInArrow(run, "hash long, y double, bins binary, fixed binary"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(out.inputFiles()) < cores and out.count() > WORTH_SPREADING:  # a few files; every level reads them again
+        out = cut_lineage(out.repartition(cores))
+    return out
+
+
+def _packed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Rows of equally long packed numbers."""
+    parts = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(parts).view(kind).reshape(len(column), -1)
 
 
 def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -177,8 +191,7 @@ class Grower:
     # ---- what a row counts for ----
 
     def _walk(self, table: pa.Table, trees: list[Tree], fixed: int) -> tuple[np.ndarray, ...]:
-        n = table.num_rows
-        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), "<u2").reshape(n, -1)
+        bins = _packed(table["bins"], "<u2")
         return table["hash"].to_numpy(), table["y"].to_numpy(), bins, self._so_far(table, bins, trees, fixed)
 
     def _so_far(self, table: pa.Table, bins: np.ndarray, trees: list[Tree], fixed: int) -> np.ndarray:
@@ -187,7 +200,7 @@ class Grower:
             return np.empty((len(bins), 0))
         made = np.full((len(bins), self.outputs), self.base)
         if fixed:
-            made = np.frombuffer(b"".join(table["fixed"].to_pylist()), "<f8").reshape(len(bins), -1).copy()
+            made = _packed(table["fixed"], "<f8").copy()
         for t in range(fixed, len(trees)):
             value = np.array(trees[t].value)[:, 0]
             made[:, t % self.outputs] += self.settings.learning_rate * value[trees[t].leaves(bins)]
@@ -234,8 +247,15 @@ class Grower:
                         at = in_use[allowed[t][place[in_use], f]]
                         if not len(at):
                             continue
-                        cells, cell = np.unique(place[at] * (len(me.cuts[f]) + 1) + bins[at, f], return_inverse=True)
+                        cell = place[at] * (len(me.cuts[f]) + 1) + bins[at, f]
+                        if len(open_nodes[t]) * (len(me.cuts[f]) + 1) > 4 * len(at):
+                            cells, cell = np.unique(cell, return_inverse=True)
+                        else:
+                            cells = None
                         columns = [np.bincount(cell), np.bincount(cell, w[at]), *[np.bincount(cell, sums[at, i]) for i in range(me.sums)]]
+                        if cells is None:
+                            cells = np.flatnonzero(columns[0])
+                            columns = [c[cells] for c in columns]
                         node = np.array(open_nodes[t])[cells // (len(me.cuts[f]) + 1)]
                         keys = [np.full(len(cells), t), node, np.full(len(cells), f), cells % (len(me.cuts[f]) + 1)]
                         arrays = [pa.array(k, pa.int32()) for k in keys] + [pa.array(columns[0], pa.int64())] + [pa.array(c) for c in columns[1:]]
