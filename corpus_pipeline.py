@@ -49,11 +49,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows meet what is taken of them by a digest of all their columns, so ids may repeat or be null. Rows that agree in all columns come
     together as often as all of them are taken.
     """
-    marked = docs.select(*COLUMNS, F.md5(F.to_json(F.struct(*COLUMNS))).alias("mark"))
+    facts = [*[F.col(c).isNull() for c in COLUMNS], *COLUMNS]
+    marked = docs.select(*COLUMNS, F.xxhash64(*facts).alias("mark"), F.xxhash64(F.lit(8), *facts).alias("also"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = mixing.mix(marked, keep=["mark"]).groupBy("mark").agg(F.sum(times).alias("times")).where("times > 0")
-    rows = marked.groupBy("mark").agg(F.first(F.struct(*COLUMNS)).alias("row")).join(taken.hint("merge"), "mark")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    marks = ["mark", "also"]
+    taken = cut_lineage(mixing.mix(marked, keep=marks).groupBy(*marks).agg(F.sum(times).alias("times"), F.count("*").alias("n")).where("times > 0"))
+    rows = marked.join(taken.where("n = 1").hint("merge"), marks)
+    alike = taken.where("n > 1")
+    if not alike.isEmpty():
+        rows = rows.union(marked.join(alike.hint("merge"), marks).dropDuplicates(marks))
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
