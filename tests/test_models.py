@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, models, plotdata, quality, synth, trees
+from millrace.operators import metrics, models, plotdata, quality, split, synth, trees
 from millrace.operators.split import assign_folds, largest_remainder, train_test_split, validate_target
 
 
@@ -43,6 +43,43 @@ def test_largest_remainder_adds_up():
     assert largest_remainder({"a": 5, "b": 3, "c": 2}, 4) == {"a": 2, "b": 1, "c": 1}
 
 
+def test_largest_remainder_of_a_table_equals_the_one_of_a_dict(frame):
+    counts = {None: 7, "None": 7} | {f"c{i}": 3 + i * i % 11 for i in range(200)}
+    classes = frame(list(counts.items()), "class string, rows bigint")
+    for total in (0, 1, 333, sum(counts.values())):
+        shared = {r["class"]: r["given"] for r in split.largest_remainders(classes, total).collect()}
+        assert shared == largest_remainder(counts, total)
+
+
+@pytest.mark.parametrize("window", [500_000, 40])
+def test_many_classes_with_a_hot_and_a_null_one(spark, monkeypatch, window):
+    monkeypatch.setattr(split, "WINDOW_ROWS", window)
+    df = spark.range(1_500).withColumn("c", F.expr("CASE WHEN id < 500 THEN 'hot' WHEN id >= 600 THEN CAST(id % 90 AS string) END"))
+    rows = df.withColumn("h", split.seeded_hash(7, "id")).orderBy("h", "id").collect()
+    counts = {}
+    for r in rows:
+        counts[r["c"]] = counts.get(r["c"], 0) + 1
+    given, seen, test, fold = largest_remainder(counts, 450), {}, set(), {}
+    for r in rows:
+        at = seen[r["c"]] = seen.get(r["c"], 0) + 1
+        fold[r["id"]] = sum(at > math.ceil(counts[r["c"]] * i / 4) for i in (1, 2, 3))
+        if at <= given[r["c"]]:
+            test.add(r["id"])
+    out = train_test_split(df, ["id"], 0.3, 7, "c")
+    assert out.columns == ["id", "c", "split"] and out.count() == 1_500
+    assert {r["id"] for r in out.where("split = 'test'").collect()} == test
+    assert {r["id"]: r["fold"] for r in assign_folds(df, ["id"], 4, 7, "c").collect()} == fold
+
+
+def test_split_of_many_classes_moves_no_count_to_the_driver(spark, monkeypatch):
+    df = spark.range(1_000).withColumn("c", F.col("id") % 100)
+    sizes, whole = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sizes.append(len(found := whole(self))) or found)
+    out = train_test_split(df, ["id"], 0.2, 1, "c")
+    assert max(sizes) <= split.CLASSES_PER_PASS + 1
+    assert out.where("split = 'test'").count() == 200
+
+
 def test_target_checks(frame):
     df = frame([(1, None), (2, None)], "id int, y double")
     with pytest.raises(ValueError, match="does not exist"):

@@ -475,6 +475,26 @@ def stratified_split(t):
     return split.train_test_split(df, ["o_orderkey"], 0.3, stratify="cls")
 
 
+# customers with one order share the class -1
+KEPT_CUSTOMERS = "(SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN o_custkey ELSE -1 END AS cls FROM orders)"
+
+
+@query(
+    "stratified_split_many_classes",
+    f"""WITH v AS {KEPT_CUSTOMERS}, t AS (SELECT count(*) AS total, CAST(ceil(count(*) * 0.3) AS BIGINT) AS wanted FROM v),
+        c AS (SELECT cls AS k, count(*) * wanted // total AS base, count(*) * wanted % total AS over FROM v, t GROUP BY cls, wanted, total),
+        m AS (SELECT k, base + CAST(row_number() OVER (ORDER BY over DESC, CAST(k AS varchar)) <= wanted - sum(base) OVER () AS BIGINT) AS n_test FROM c, t)
+        SELECT o_orderkey, cls, CASE WHEN row_number() OVER (PARTITION BY cls ORDER BY {ROW_ORDER}, o_orderkey) <= n_test THEN 'test' ELSE 'train' END AS split
+        FROM v JOIN m ON k = cls""",
+)
+def stratified_split_many_classes(t):
+    """Every customer with two orders or more is a class, so class counts and leftovers stay tables."""
+    orders = t.table("orders").select("o_orderkey", "o_custkey")
+    sizes = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    df = orders.join(sizes, "o_custkey").select("o_orderkey", F.expr("CASE WHEN n > 1 THEN o_custkey ELSE -1 END AS cls"))
+    return split.train_test_split(df, ["o_orderkey"], 0.3, stratify="cls")
+
+
 @query(
     "stratified_folds",
     f"""SELECT o_orderkey, cls, CAST((rn > ceil(n / 3)) AS INTEGER) + CAST((rn > ceil(n * 2 / 3)) AS INTEGER) AS fold FROM
