@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col, column_kinds, without_nan
 from millrace.operators import metrics
+from millrace.operators.crossval import linear_scores
 from millrace.operators.split import assign_folds, train_test_split, validate_target
 from millrace.operators.trees import Settings, TreesEstimator
 
@@ -276,6 +278,21 @@ class ScorerEvaluator(Evaluator):
         return True
 
 
+def _searched(folded: DataFrame, before: list, candidates: list, evaluator: Evaluator, folds: int, parallelism: int):
+    """Mean and deviation of the score per candidate, and the best one fitted on all folds."""
+    # each candidate is a whole last stage, so one pipeline parameter carries the grid
+    pipeline = Pipeline(stages=[])
+    search = CrossValidator(
+        estimator=pipeline,
+        estimatorParamMaps=[{pipeline.stages: [*before, c]} for c in candidates],
+        evaluator=evaluator,
+        numFolds=folds,
+        foldCol="fold",
+        parallelism=parallelism,
+    ).fit(folded)
+    return list(search.avgMetrics), list(search.stdMetrics), search.bestModel
+
+
 def grid_search(
     df: DataFrame,
     target: str,
@@ -290,7 +307,10 @@ def grid_search(
     seed: int = 42,
     parallelism: int = 4,
 ) -> Trained:
-    """Cross-validate every combination of ``grid`` on the training rows and refit the best."""
+    """Cross-validate every combination of ``grid`` on the training rows and refit the best.
+
+    A linear regression is not fitted per fold: its fold models come from sums of products by subtraction.
+    """
     scoring = scoring or ("accuracy" if task.lower() == "classification" else "r2")
     if scoring not in SCORERS[task.lower()]:
         raise ValueError(f"scorer {scoring!r} does not fit task {task!r}")
@@ -303,24 +323,15 @@ def grid_search(
     before, after = _stages(target, features, classes)
     folded = assign_folds(train_rows, key, folds, seed, target if classes is not None else None)
     folded = _labelled(folded, target, classes)
-    # each candidate is a whole last stage, so one pipeline parameter carries the grid
-    pipeline = Pipeline(stages=[])
-    maps = [{pipeline.stages: [*before, c]} for c in candidates]
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=maps,
-        evaluator=ScorerEvaluator(scoring, len(classes or [])),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(folded)
-    scores, spread = list(search.avgMetrics), list(search.stdMetrics)
+    if (task.lower(), model.lower()) == ("regression", "linear_regression"):
+        by_fold = np.array(linear_scores(folded, target, features, folds, scoring))
+        scores, spread, refit = [by_fold.mean()], [by_fold.std()], None
+    else:
+        scores, spread, refit = _searched(folded, before, candidates, ScorerEvaluator(scoring, len(classes or [])), folds, parallelism)
     best = max(range(len(combos)), key=lambda i: scores[i])
-    if "C" in combos[best]:  # its strength depends on the row count, so fit at full size
+    if refit is None or "C" in combos[best]:  # its strength depends on the row count, so fit at full size
         estimator = _estimator(task, model, n, len(classes or []), seed, combos[best], key)
         refit = Pipeline(stages=[*before, estimator]).fit(_labelled(train_rows, target, classes))
-    else:
-        refit = search.bestModel
     fitted = PipelineModel(stages=[*refit.stages, *after])
     config = {
         "operation": "train_model_with_gridsearch",

@@ -1,11 +1,12 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, models, plotdata, quality, split, synth, trees
+from millrace.operators import crossval, metrics, models, plotdata, quality, split, synth, trees
 from millrace.operators.split import assign_folds, largest_remainder, train_test_split, validate_target
 
 
@@ -212,6 +213,60 @@ def test_grid_rule():
     assert models.parameter_grid("Linear_Regression") == {}
 
 
+def _plane(spark, rows=900):
+    """Two varying features at a large offset, one that repeats another, a flag, a gap in the target."""
+    return spark.range(rows).selectExpr(
+        "id", "1e6 + id % 31 AS a", "CAST(id * 7 % 53 AS int) AS b", "2 * (id * 7 % 53) AS c", "id % 3 = 0 AS flag",
+        "CASE WHEN id = 5 THEN NULL ELSE 1e7 + 3 * (id % 31) - 2 * (id * 7 % 53) + id * id % 17 END AS y",
+    )
+
+
+def _brute_fold_scores(folded, features):
+    rows = [r for r in folded.collect() if r["y"] is not None]
+    x = np.array([[1.0, *[float(r[f]) for f in features]] for r in rows])
+    y, fold = np.array([r["y"] for r in rows]), np.array([r["fold"] for r in rows])
+    out = []
+    for f in range(fold.max() + 1):
+        held = fold == f
+        centre = x[~held].mean(axis=0) * np.array([0.0, *[1.0] * len(features)])
+        model = np.linalg.lstsq(x[~held] - centre, y[~held], rcond=1e-10)[0]
+        e = y[held] - (x[held] - centre) @ model
+        out.append((held.sum(), (e**2).mean(), 1 - (e**2).mean() / y[held].var(), np.abs(e).mean()))
+    return out
+
+
+def test_folds_by_subtraction_equal_a_fit_per_fold(spark):
+    df, features = _plane(spark), ["a", "b", "c", "flag"]
+    found = crossval.cross_validate_linear(df, "y", features, ["id"], 4, 9).orderBy("fold").collect()
+    folded = assign_folds(df.where("y IS NOT NULL"), ["id"], 4, 9)
+    brute = _brute_fold_scores(folded, features)
+    for r, (rows, mse, r2, _) in zip(found, brute, strict=True):
+        assert r["rows"] == rows and r["mse"] == pytest.approx(mse, rel=1e-6) and r["r2"] == pytest.approx(r2, rel=1e-6)
+    for scoring, at, sign in (("neg_mean_absolute_error", 3, -1), ("neg_root_mean_squared_error", 1, -1), ("r2", 2, 1)):
+        value = [b[at] ** (0.5 if "root" in scoring else 1) * sign for b in brute]
+        assert crossval.linear_scores(folded, "y", features, 4, scoring) == pytest.approx(value, rel=1e-6)
+
+
+def test_grid_search_of_a_linear_regression_makes_no_fit_per_fold(spark, monkeypatch):
+    monkeypatch.setattr(models, "CrossValidator", None)
+    df = _plane(spark).drop("c")
+    found = models.grid_search(df, "y", "regression", "linear_regression", {}, ["id"], ["a", "b", "flag"], folds=3)
+    train_rows = train_test_split(df, ["id"], 0.2, 42).where("split = 'train'")
+    scores = [s[2] for s in _brute_fold_scores(assign_folds(train_rows, ["id"], 3, 42), ["a", "b", "flag"])]
+    results = found.config["grid_search_results"]
+    assert results["mean_test_score"] == pytest.approx([np.mean(scores)], rel=1e-6)
+    assert results["std_test_score"] == pytest.approx([np.std(scores)], rel=1e-4) and results["params"] == [{}]
+    assert models.evaluate(found)["r2"] > 0.9
+
+
+def test_folds_by_subtraction_refuse_gaps_and_empty_folds(spark):
+    df = _plane(spark, 20).withColumn("a", F.expr("CASE WHEN id <> 3 THEN a END"))
+    with pytest.raises(ValueError, match="missing"):
+        crossval.cross_validate_linear(df, "y", ["a"], ["id"], 3)
+    with pytest.raises(ValueError, match="empty"):
+        crossval.cross_validate_linear(_plane(spark, 2), "y", ["b"], ["id"], 3)
+
+
 def test_grid_search_picks_the_deeper_tree(spark):
     found = models.grid_search(
         _points(spark), "y", "regression", "random_forest", {"max_depth": [1, 6], "n_estimators": [5]}, ["id"], ["x"], folds=2

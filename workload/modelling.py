@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, models, split, trees
+from millrace.operators import crossval, metrics, models, split, trees
 from workload.book import hash_sql, query, r, round_columns
 
 
@@ -424,6 +424,24 @@ def grid_search(t):
     return t.spark.createDataFrame(rows, "params string, mean_score double, std_score double")
 
 
+@query(
+    "cross_validate_linear",
+    f"""WITH p AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY {hash_sql("o_orderkey")}, o_orderkey) AS rn FROM {{scored_regression}}),
+        v AS (SELECT CAST((rn > ceil(n / 4)) AS INTEGER) + CAST((rn > ceil(n * 2 / 4)) AS INTEGER) + CAST((rn > ceil(n * 3 / 4)) AS INTEGER) AS fold,
+              CAST(prediction AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM p),
+        m AS (SELECT f.fold, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM (SELECT DISTINCT fold FROM v) f JOIN v ON v.fold <> f.fold GROUP BY f.fold)
+        SELECT m.fold, count(*) AS n, {r("slope", 8)} AS slope, {r("intercept", 4)} AS intercept,
+               {r("sqrt(avg((y - intercept - slope * x) ** 2))", 4)} AS rmse, {r("1 - avg((y - intercept - slope * x) ** 2) / var_pop(y)")} AS r2
+        FROM m JOIN v ON v.fold = m.fold GROUP BY m.fold, slope, intercept""",
+)
+def cross_validate_linear(t):
+    """The price by its prediction in four folds, each held out once."""
+    found = crossval.cross_validate_linear(t.view("scored_regression"), "label", ["prediction"], ["o_orderkey"], 4)
+    slope = F.round(F.col("coefficients")[0], 8).alias("slope")
+    rmse = F.round(F.sqrt("mse"), 4).alias("rmse")
+    return found.select("fold", F.col("rows").alias("n"), slope, F.round("intercept", 4).alias("intercept"), rmse, F.round("r2", 6).alias("r2"))
+
+
 @query("batch_scoring", f"SELECT o_orderkey, level AS predicted_class, level = 'dear' AS likely_dear FROM {LABELLED} v")
 def batch_scoring(t):
     trained = models.train(
