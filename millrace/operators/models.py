@@ -10,7 +10,7 @@ from itertools import product
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import as_double, col, column_kinds, without_nan
 from millrace.operators import metrics
 from millrace.operators.crossval import linear_scores
+from millrace.operators.mixture import fit_mixture
 from millrace.operators.split import assign_folds, train_test_split, validate_target
 from millrace.operators.trees import Settings, TreesEstimator
 
@@ -361,29 +362,29 @@ def cluster(
     """Add ``cluster``; every column of the frame is kept.
 
     ``kmeans`` starts from the scalable form of k-means++; ``gmm`` uses full covariances and
-    keeps the best likelihood of ``n_init`` starts.
+    keeps the best likelihood of ``n_init`` starts, which share their passes.
     """
     rows = without_nan(df)
     numeric = [as_double(df, f).alias(f"_x{i}") for i, f in enumerate(features)]
-    ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_features").transform(
-        rows.select("*", *numeric)
-    )
+    found = {}
     if method == "kmeans":
+        ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_features").transform(
+            rows.select("*", *numeric)
+        )
         mode = {"k-means++": "k-means||", "random": "random"}[init]
         model = KMeans(k=n_clusters, initMode=mode, maxIter=max_iter or 300, seed=seed, featuresCol="_features", predictionCol="cluster").fit(ready)
+        out = model.transform(ready).select(*[col(c) for c in df.columns], "cluster")
     elif method == "gmm":
-        starts = [
-            GaussianMixture(k=n_clusters, maxIter=max_iter or 100, seed=seed + i, featuresCol="_features", predictionCol="cluster", probabilityCol="_p").fit(ready)
-            for i in range(n_init)
-        ]
-        model = max(starts, key=lambda m: m.summary.logLikelihood)
+        x = [as_double(rows, f) for f in features]
+        model = fit_mixture(rows, x, n_clusters, max_iter or 100, n_init, seed)
+        out = rows.withColumn("cluster", model.cluster(x))
+        found = {"log_likelihood": model.log_likelihood}
     else:
         raise ValueError("method must be 'kmeans' or 'gmm'")
-    out = model.transform(ready).select(*[col(c) for c in df.columns], "cluster")
     config = {
         "operation": "clustering",
         "method": method,
         "params": {"n_clusters": n_clusters, "seed": seed} | ({"init": init} if method == "kmeans" else {"n_init": n_init}),
         "features": list(features),
     }
-    return out, config
+    return out, config | found

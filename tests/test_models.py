@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from millrace.operators import crossval, metrics, models, plotdata, quality, split, synth, trees
+from millrace.operators import crossval, metrics, mixture, models, plotdata, quality, split, synth, trees
 from millrace.operators.split import assign_folds, largest_remainder, train_test_split, validate_target
 
 
@@ -448,3 +448,75 @@ def test_many_values_are_cut_at_quantiles(spark):
     trained = models.train(df, "y", "regression", "random_forest", ["id"], ["x"], n_estimators=5, max_depth=None, min_samples_leaf=2, max_bins=32)
     assert models.evaluate(trained)["r2"] > 0.99
     assert len({m for t in _nodes(trained) for f, m in zip(t["feature"], t["most"]) if f >= 0}) <= 31
+
+
+def _two_hills(spark, rows=700):
+    """Two overlapping hills of unlike shape."""
+    return spark.range(rows).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 1000 + (id * 37 % 101) / 20.0D ELSE 1002 + (id * 53 % 97) / 40.0D END AS a",
+        "CASE WHEN id % 3 = 0 THEN (id * 37 % 101) / 30.0D + (id * 11 % 13) / 10.0D ELSE (id * 29 % 89) / 15.0D END AS b",
+    )
+
+
+def _log_likelihood(x, m):
+    logs = []
+    for w, mean, cov in zip(m.weights, m.means, m.covariances):
+        off = x - mean
+        far = (off @ np.linalg.inv(cov) * off).sum(axis=1)
+        logs.append(np.log(w) - far / 2 - np.linalg.slogdet(2 * np.pi * cov)[1] / 2)
+    logs = np.array(logs)
+    return np.logaddexp.reduce(logs, axis=0).sum(), logs.argmax(axis=0)
+
+
+def test_mixture_starts_share_their_passes(spark, monkeypatch):
+    df, x = _two_hills(spark), [F.col("a"), F.col("b")]
+    points = np.array(df.select("a", "b").collect(), dtype=float)
+    calls, whole = [], mixture._sums
+    monkeypatch.setattr(mixture, "_sums", lambda *a: calls.append(sorted(a[3])) or whole(*a))
+    best = mixture.fit_mixture(df, x, 2, max_iter=12, n_init=3, seed=1)
+    assert calls[0] == [0, 1, 2] and len(calls) == best.passes <= 13
+    alone = [mixture.fit_mixture(df, x, 2, max_iter=12, seed=1 + i) for i in range(3)]
+    assert best.log_likelihood == pytest.approx(max(a.log_likelihood for a in alone), rel=1e-9)
+    like, nearest = _log_likelihood(points, best)
+    assert best.log_likelihood == pytest.approx(like, rel=1e-9)
+    found = [r["c"] for r in df.select(best.cluster(x).alias("c")).collect()]
+    assert found == list(nearest)
+
+
+def test_mixture_steps_equal_the_textbook(spark):
+    """One step from the same start, by numpy over all rows; the likelihood never falls."""
+    df, x = _two_hills(spark, 300), [F.col("a"), F.col("b")]
+    points = np.array(df.select("a", "b").collect(), dtype=float)
+    fits = [mixture.fit_mixture(df, x, 2, max_iter=i, tol=-1.0, seed=3) for i in (0, 1, 2, 6)]
+    assert all(a.log_likelihood <= b.log_likelihood + 1e-6 for a, b in zip(fits, fits[1:]))
+    for old, new in zip(fits[:2], fits[1:3]):
+        dens = np.array([
+            w * np.exp(-((points - m) @ np.linalg.inv(c) * (points - m)).sum(axis=1) / 2) / np.sqrt(np.linalg.det(2 * np.pi * c))
+            for w, m, c in zip(old.weights, old.means, old.covariances)
+        ])
+        share = dens / dens.sum(axis=0)
+        assert new.weights == pytest.approx(share.mean(axis=1))
+        for c in range(2):
+            mean = share[c] @ points / share[c].sum()
+            off = points - mean
+            assert new.means[c] == pytest.approx(mean)
+            assert new.covariances[c] == pytest.approx((off * share[c][:, None]).T @ off / share[c].sum() + 1e-6 * np.eye(2), rel=1e-6)
+
+
+def test_mixture_sample_is_of_distinct_points_in_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "START_ROWS", 50)
+    df = spark.range(4_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END * 1.0D AS x0", "0.5D AS x1")
+    one = mixture._sample(df.repartition(7))
+    assert len(one) == len({tuple(p) for p in one}) == 50 and (one == mixture._sample(df.coalesce(1))).all()
+    least = {r["x0"] for r in df.distinct().orderBy(F.xxhash64("x0", "x1")).limit(50).collect()}
+    assert set(one[:, 0]) == least
+
+
+def test_mixture_refuses_gaps_and_takes_a_constant(spark):
+    df = spark.range(40).selectExpr("id * 1.0D AS a", "5.0D AS b", "CASE WHEN id = 2 THEN NULL ELSE 1.0D END AS c")
+    flat = mixture.fit_mixture(df, [F.col("a"), F.col("b")], 2)
+    assert flat.means[:, 1] == pytest.approx([5.0, 5.0])
+    with pytest.raises(ValueError, match="missing"):
+        mixture.fit_mixture(df, [F.col("a"), F.col("c")], 2)
+    with pytest.raises(ValueError, match="too few"):
+        mixture.fit_mixture(df.limit(1), [F.col("a")], 2)

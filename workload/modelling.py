@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import crossval, metrics, models, split, trees
+from millrace.operators import crossval, metrics, mixture, models, split, trees
 from workload.book import hash_sql, query, r, round_columns
 
 
@@ -470,4 +470,30 @@ def kmeans(t):
 @query("gaussian_mixture", "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey % 2) AS cluster FROM customer")
 def gaussian_mixture(t):
     customers = t.table("customer").selectExpr("c_custkey", "(c_nationkey % 2) * 50 + c_acctbal / 10000 AS x")
-    return _named_clusters(models.cluster(customers, ["x"], "gmm", n_clusters=2, max_iter=100)[0])
\ No newline at end of file
+    return _named_clusters(models.cluster(customers, ["x"], "gmm", n_clusters=2, max_iter=100)[0])
+
+# two features that vary together within three places
+SPREAD = """SELECT c_custkey, c_nationkey % 3 AS place, (c_nationkey % 3) * 50 + c_acctbal / 10000.0E0 AS x,
+    (c_nationkey % 3) * (c_nationkey % 3) * -20 + c_custkey % 97 / 100.0E0 + c_acctbal / 20000.0E0 AS y FROM customer"""
+
+
+@query(
+    "gaussian_mixture_starts",
+    f"""WITH c AS (SELECT place, count(*) AS n, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS weight, avg(x) AS mx, avg(y) AS my,
+            var_pop(x) + 1e-6 AS vx, var_pop(y) + 1e-6 AS vy, covar_pop(x, y) AS vxy FROM ({SPREAD}) GROUP BY place)
+        SELECT {r("weight")} AS weight, {r("mx")} AS mean_x, {r("my")} AS mean_y, {r("vx")} AS var_x, {r("vy")} AS var_y, {r("vxy")} AS cov,
+            {r("""sum(n * (ln(weight) - ln(2 * pi()) - ln(vx * vy - vxy * vxy) / 2
+                - (vy * (vx - 1e-6) + vx * (vy - 1e-6) - 2 * vxy * vxy) / (vx * vy - vxy * vxy) / 2)) OVER ()""", 2)} AS log_likelihood
+        FROM c""",
+)
+def gaussian_mixture_starts(t):
+    """Places far apart, so the best start finds the shares, means and covariances of the rows of each."""
+    customers = t.spark.sql(SPREAD.replace("FROM customer", "FROM {customer}"), customer=t.table("customer"))
+    m = mixture.fit_mixture(customers, [F.col("x"), F.col("y")], 3, n_init=3, tol=1e-9)
+    rows = [
+        (float(w), float(a), float(b), float(c[0, 0]), float(c[1, 1]), float(c[0, 1]))
+        for w, (a, b), c in zip(m.weights, m.means, m.covariances)
+    ]
+    names = ["weight", "mean_x", "mean_y", "var_x", "var_y", "cov"]
+    out = round_columns(t.spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), names)
+    return out.withColumn("log_likelihood", F.round(F.lit(m.log_likelihood), 2))
