@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from millrace.session import shared_path
 def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, max_categories: int | None = None) -> Fitted:
     """Learn the sorted categories of each column; every category becomes a column.
 
-    The categories are the new schema, so they are gathered. ``max_categories`` makes a column with more of them an error.
+    The categories are the new schema, so they are gathered. ``max_categories`` makes a column with more of them an error;
+    ``fit_sparse_one_hot`` takes any number.
     """
     absent = [c for c in columns if c not in df.columns]
     if absent:
@@ -85,6 +87,45 @@ def _coded(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return known.unionByName(replaced(df.where(col(column).isNull()), {column: F.lit(None).cast("long")}))
 
 
+def fit_sparse_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, folder: str | None = None, name: str = "indicators") -> Fitted:
+    """One-hot encoding of any number of categories, as one sparse vector column ``name``.
+
+    The categories of a column are a table of codes, written as in ``fit_classes``; only their number reaches the driver.
+    In the vector, the columns follow each other in the given order, each with its sorted categories. A null, or a value
+    that was not there when this was fitted, sets nothing.
+    """
+    if name in df.columns and name not in columns:
+        raise ValueError(f"column {name!r} exists already")
+    tables = []
+    for c in columns:
+        path = fit_classes(df, c, folder).config["mapping_table"]
+        tables.append([path, max(0, df.sparkSession.read.parquet(path).count() - int(drop_first))])
+    if not sum(size for _, size in tables):
+        raise ValueError(f"columns {columns} have no categories to encode")
+    return Fitted({"operation": "sparse_one_hot_encode", "columns": list(columns), "drop_first": drop_first, "tables": tables, "name": name})
+
+
+@transform_of("sparse_one_hot_encode")
+def _sparse_one_hot(df: DataFrame, config: dict) -> DataFrame:
+    kept = [c for c in df.columns if c not in config["columns"]]
+    used = {c: table for c, table in zip(config["columns"], config["tables"]) if table[1]}
+    spark = df.sparkSession
+    for c, (path, _) in used.items():
+        df = _coded(df, c, spark.read.parquet(path))
+    at, ones = [f"_at{i}" for i in range(len(used))], [f"_one{i}" for i in range(len(used))]
+    first = int(config["drop_first"])
+    places = [
+        F.when(col(c) >= first, col(c) - first).otherwise(size).cast("double").alias(a) for a, (c, (_, size)) in zip(at, used.items())
+    ]
+    # the encoder learns sizes from the largest index; an index past it is the invalid category, which is the last and dropped
+    largest = spark.createDataFrame([tuple(size - 1.0 for _, size in used.values())], ", ".join(f"{a} double" for a in at))
+    encoder = OneHotEncoder(inputCols=at, outputCols=ones, handleInvalid="keep", dropLast=True).fit(largest)
+    rows = encoder.transform(df.select(*[col(c) for c in kept], *places))
+    if len(ones) > 1:
+        rows = VectorAssembler(inputCols=ones, outputCol="_all").transform(rows)
+    return rows.select(*[col(c) for c in kept], F.col("_all" if len(ones) > 1 else ones[0]).alias(config["name"]))
+
+
 def encode_many_classes(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The encoded frame and the ``(value, code)`` table."""
     codes = class_codes(df, column)

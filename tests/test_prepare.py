@@ -92,6 +92,29 @@ def test_one_hot_order_nulls_and_replay(frame):
     assert encode.fit_one_hot(df, ["s"], drop_first=True).transform(df).columns == ["id", "n", "s_b"]
 
 
+def test_sparse_one_hot_sets_what_the_wide_one_sets(frame):
+    rows = [(i, f"c{i % 7}" if i % 5 else None, i % 3 if i % 4 else None) for i in range(40)]
+    df = frame(rows, "id int, kind string, no int")
+    for drop in (False, True):
+        wide = encode.fit_one_hot(df, ["no", "kind"], drop).transform(df).collect()
+        fitted = encode.fit_sparse_one_hot(df, ["no", "kind"], drop)
+        out = encode.Fitted(json.loads(json.dumps(fitted.config))).transform(df)
+        assert out.columns == ["id", "indicators"]
+        found = {r["id"]: [int(v) for v in r["indicators"].toArray()] for r in out.collect()}
+        assert found == {r["id"]: list(r)[1:] for r in wide}
+
+
+def test_sparse_one_hot_of_unseen_single_and_no_values(frame):
+    seen = frame([(1, "a", "x"), (2, "b", "x")], "id int, kind string, one string")
+    new = frame([(3, "zz", "x"), (4, "b", "y"), (5, None, None)], "id int, kind string, one string")
+    out = encode.fit_sparse_one_hot(seen, ["kind", "one"], drop_first=True).transform(new)
+    assert {r["id"]: list(r["indicators"].toArray()) for r in out.collect()} == {3: [0.0], 4: [1.0], 5: [0.0]}
+    with pytest.raises(ValueError, match="no categories"):
+        encode.fit_sparse_one_hot(seen, ["one"], drop_first=True)
+    with pytest.raises(ValueError, match="exists"):
+        encode.fit_sparse_one_hot(seen.withColumn("indicators", seen.id), ["kind"])
+
+
 def test_one_hot_guard_is_the_callers(spark):
     with pytest.raises(ValueError, match="more than 3"):
         encode.fit_one_hot(spark.range(5), ["id"], max_categories=3)

@@ -214,6 +214,25 @@ def one_hot_encode(t):
     return encode.fit_one_hot(df, ["priority", "o_orderstatus"]).transform(df)
 
 
+@query(
+    "one_hot_sparse",
+    """WITH v AS (SELECT l_orderkey, l_returnflag, CASE WHEN l_orderkey % 11 <> 0 THEN l_partkey END AS part FROM lineitem),
+        p AS (SELECT part, row_number() OVER (ORDER BY part) - 1 AS at FROM (SELECT DISTINCT part FROM v WHERE part IS NOT NULL)),
+        f AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS at FROM (SELECT DISTINCT l_returnflag FROM v)),
+        k AS (SELECT (SELECT count(*) FROM p) AS parts, (SELECT count(*) FROM f) AS flags)
+        SELECT CAST(parts + flags AS INTEGER) AS width, coalesce(p.at || ',', '') || (parts + f.at) AS places, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys
+        FROM v LEFT JOIN p ON p.part = v.part JOIN f ON f.l_returnflag = v.l_returnflag, k GROUP BY 1, 2""",
+)
+def one_hot_sparse(t):
+    """Parts and return flags of all lines as one sparse vector; its places are read from its JSON form."""
+    df = t.table("lineitem").selectExpr("l_orderkey", "l_returnflag", "CASE WHEN l_orderkey % 11 <> 0 THEN l_partkey END AS part")
+    coded = encode.fit_sparse_one_hot(df, ["part", "l_returnflag"]).transform(df)
+    inside = F.from_json(F.to_json(F.struct("indicators")), "indicators struct<size: int, indices: array<int>>").alias("v")
+    places = F.concat_ws(",", F.col("v.indicators.indices").cast("array<string>")).alias("places")
+    rows = coded.select("l_orderkey", inside).select("l_orderkey", F.col("v.indicators.size").alias("width"), places)
+    return rows.groupBy("width", "places").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
 @query(
     "one_hot_drop_first",
     f"SELECT o_orderkey, o_custkey, o_orderstatus, price, {_flags('priority', PRIORITIES[1:])} FROM {{orders_missing}} v",
