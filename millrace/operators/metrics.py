@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -13,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col
 from millrace.functions.ranking import running_sums
+from millrace.operators.celltree import CellTree
 from millrace.session import cut_lineage
 
 BLOCK_POINTS = 2_048
@@ -152,78 +149,20 @@ def roc_curve(scored: DataFrame, scores: dict, label: str = "label") -> DataFram
     return points.unionByName(origin)
 
 
-def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster", *, metric: str) -> DataFrame:
+def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster", *, metric: str, tolerance: float = 0.0, block: int | None = None) -> DataFrame:
     """One row ``metric, silhouette_score``; ``metric`` is ``euclidean`` or ``squared_euclidean``.
 
     The squared Euclidean form has a closed expression per row and costs one pass. The
-    plain Euclidean form has none: every pair of distinct points has to be measured, so its
-    cost is quadratic and it suits small or heavily repeated data.
+    plain Euclidean form has none: with ``tolerance`` 0 every pair of distinct points is measured, which is quadratic. With a
+    larger one, groups of points that are far enough away count as a whole, and the score is off by ``tolerance`` at most.
+    ``block`` is the number of points that are measured together.
     """
     features = [f for f in features if f != cluster]
     if metric == "euclidean":
-        return _euclidean_silhouette(df, features, cluster).select(F.lit(metric).alias("metric"), "silhouette_score")
+        return CellTree(df, features, cluster, block or BLOCK_POINTS).score(tolerance).select(F.lit(metric).alias("metric"), "silhouette_score")
     if metric != "squared_euclidean":
         raise ValueError("metric must be 'squared_euclidean' or 'euclidean'")
     rows = df.select(*[as_double(df, f).alias(f"x{i}") for i, f in enumerate(features)], col(cluster).cast("int").alias("prediction"))
     vectors = VectorAssembler(inputCols=rows.columns[:-1], outputCol="features").transform(rows)
     score = ClusteringEvaluator().evaluate(vectors)
     return df.sparkSession.createDataFrame([(metric, float(score))], "metric string, silhouette_score double")
-
-
-def _euclidean_silhouette(df: DataFrame, features: list[str], cluster: str) -> DataFrame:
-    """Blocks of distinct points measured against each other, block pair by block pair.
-
-    Equal points are merged into one with a weight first, so copies neither crowd a block
-    nor add distances. A task holds two blocks; it returns one row of per-cluster distance
-    sums for each point, never the pairs.
-    """
-    names = [f"x{i}" for i in range(len(features))]
-    points = (
-        df.select(col(cluster).alias("cluster"), *[as_double(df, f).alias(n) for f, n in zip(features, names)])
-        .na.drop("any")
-        .groupBy("cluster", *names)
-        .agg(F.count("*").alias("weight"))
-    )
-    sizes = {r["cluster"]: (r["n"], r["points"]) for r in points.groupBy("cluster").agg(F.sum("weight").alias("n"), F.count("*").alias("points")).collect()}
-    labels = sorted(sizes)
-    if len(labels) < 2:
-        raise ValueError("the silhouette needs at least two clusters")
-    blocks = max(1, math.ceil(sum(p for _, p in sizes.values()) / BLOCK_POINTS))
-    place = F.create_map(*[F.lit(v) for i, c in enumerate(labels) for v in (c, i)])
-    packed = (
-        points.select(
-            F.pmod(F.xxhash64(*names, "cluster"), F.lit(blocks)).alias("block"),
-            F.array(place[F.col("cluster")].cast("double"), F.col("weight").cast("double"), *names).alias("row"),
-        )
-        .groupBy("block")
-        .agg(F.flatten(F.collect_list("row")).alias("rows"))
-    )
-    pairs = packed.select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")).join(
-        packed.select(F.col("block").alias("other"), F.col("rows").alias("other_rows")), "other"
-    )
-    width, k = len(names) + 2, len(labels)
-
-    def measure(batches):
-        for batch in batches:
-            for mine, theirs in zip(batch["rows"], batch["other_rows"]):
-                a, b = np.reshape(mine, (-1, width)), np.reshape(theirs, (-1, width))
-                share = np.zeros((len(b), k))
-                share[np.arange(len(b)), b[:, 0].astype(int)] = b[:, 1]
-                sums = np.empty((len(a), k))
-                for at in range(0, len(a), 256):
-                    gap = a[at : at + 256, None, 2:] - b[None, :, 2:]
-                    sums[at : at + 256] = np.sqrt((gap * gap).sum(axis=2)) @ share
-                yield pd.DataFrame({"point": [r.tolist() for r in a], "sums": [r.tolist() for r in sums]})
-
-    parts = pairs.mapInPandas(measure, "point array<double>, sums array<double>")
-    totals = parts.groupBy("point").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(k)])
-    own = F.col("point")[0].cast("int")
-    sums = F.array(*[F.col(f"s{i}") for i in range(k)])
-    counts = F.array(*[F.lit(float(sizes[c][0])) for c in labels])
-    means = F.array(*[F.when(own != i, F.col(f"s{i}") / float(sizes[c][0])) for i, c in enumerate(labels)])
-    own_n = F.element_at(counts, own + 1)
-    inner = F.try_divide(F.element_at(sums, own + 1), own_n - 1)
-    outer = F.array_min(means)
-    value = F.when(own_n == 1, 0.0).otherwise(F.coalesce(F.try_divide(outer - inner, F.greatest(inner, outer)), F.lit(0.0)))
-    weight = F.col("point")[1]
-    return totals.agg((F.sum(value * weight) / F.sum(weight)).alias("silhouette_score"))

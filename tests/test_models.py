@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from millrace.operators import crossval, metrics, mixture, models, plotdata, quality, split, synth, trees
+from millrace.operators import celltree, crossval, metrics, mixture, models, plotdata, quality, split, synth, trees
 from millrace.operators.split import assign_folds, largest_remainder, train_test_split, validate_target
 
 
@@ -159,6 +159,33 @@ def test_silhouettes_match_brute_force(frame, monkeypatch, block):
     assert squared == pytest.approx(_silhouette(points, lambda a, b: math.dist(a, b) ** 2))
 
 
+def _grid(spark, side):
+    step = 20.0 / side
+    at = [(c * 30.0 + i * step, j * step + (i * j % 3) * 0.01, c) for c in range(3) for i in range(side) for j in range(side)]
+    return at, spark.createDataFrame(at, "x double, y double, cluster int")
+
+
+def test_silhouette_of_cells_stays_within_its_bound_and_below_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(celltree, "FAN", 8)
+    opened = []
+    for side in (12, 24):
+        at, df = _grid(spark, side)
+        tree = celltree.CellTree(df, ["x", "y"], "cluster", 8)
+        near, far = tree.walk(0.2)
+        opened.append(near.count())
+        assert opened[-1] < sum(tree.leaf_counts) ** 2 / 2 and not far.isEmpty()
+        # every leaf meets every row of every cluster once, as a point or in a node
+        rows = far.selectExpr("own", "leaf", "b_own", "n").unionByName(
+            near.join(tree.leaves.selectExpr("own b_own", "leaf b_node", "size(rows) / 3 n"), ["b_own", "b_node"]).select("own", "leaf", "b_own", "n")
+        )
+        assert {r["n"] for r in rows.groupBy("own", "leaf", "b_own").sum("n").toDF("own", "leaf", "b_own", "n").collect()} == {side * side}
+    assert opened[1] < 8 * opened[0]  # all pairs of leaves would be sixteen times as many
+    exact = _silhouette([(p[:2], p[2]) for p in at], math.dist)
+    assert tree.score(0.2).first()[0] == pytest.approx(exact, abs=0.2)
+    assert tree.score(0.01).first()[0] == pytest.approx(exact, abs=0.01)
+    assert tree.score(0.0).first()[0] == pytest.approx(exact)
+
+
 def _points(spark, n=300):
     return spark.range(0, n, 1, 2).select(
         "id",
