@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, col, is_number, is_temporal
 from millrace.functions.ranking import running_sums
 from millrace.operators.clean import correlation
+from millrace.session import cut_lineage
 
 PAIR_BINS = 10
-PAIRS_PER_PASS = 60
+CELL = "pair int, va string, vb string, n long"
 
 
 def continuous_columns(df: DataFrame) -> list[str]:
@@ -79,11 +84,15 @@ def discrete_shapes(real: DataFrame, synthetic: DataFrame, columns: list[str] |
         return [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in names]
 
     counts = _tallied(_both(real, synthetic, entries), ["column", "value"])
-    return _variation(counts, real.count(), synthetic.count(), ["column"], "TVComplement")
+    return _variation(counts, F.col("column") == names[0], ["column"], "TVComplement")
 
 
-def _variation(counts: DataFrame, real_rows: int, synthetic_rows: int, by: list[str], metric: str) -> DataFrame:
-    gap = F.abs(F.col("real_n") / float(max(real_rows, 1)) - F.col("synthetic_n") / float(max(synthetic_rows, 1)))
+def _variation(counts: DataFrame, one: Column, by: list[str], metric: str) -> DataFrame:
+    """One minus half the summed differences of shares. A row of either table is counted once per group, so the counts of the group ``one`` add up
+    to the rows of the tables, which are not read again."""
+    counts = cut_lineage(counts)
+    rows = counts.where(one).agg(F.sum("real_n").alias("real"), F.sum("synthetic_n").alias("synthetic")).first()
+    gap = F.abs(F.col("real_n") / float(rows["real"] or 1) - F.col("synthetic_n") / float(rows["synthetic"] or 1))
     return counts.groupBy(*by).agg((1 - F.sum(gap) / 2).alias("score")).select(
         *by, F.lit(metric).alias("metric"), "score"
     )
@@ -135,25 +144,47 @@ def contingency_trends(real: DataFrame, synthetic: DataFrame, pairs: list[tuple[
         place = F.floor((as_number(df, c) - low) / ((high - low) / PAIR_BINS))
         return F.greatest(F.lit(0), F.least(F.lit(PAIR_BINS - 1), place)).cast("string")
 
-    real_rows, synthetic_rows = real.count(), synthetic.count()
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
+    if not pairs:
+        return real.sparkSession.createDataFrame([], "a string, b string, metric string, score double")
+    names = sorted({c for pair in pairs for c in pair})
+    at = [(names.index(a), names.index(b)) for a, b in pairs]
+
+    def cells(df: DataFrame, flag: int) -> DataFrame:
+        coded = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+        return coded.mapInArrow(_pair_counter(at), CELL).withColumn("flag", F.lit(flag))
 
-        def entries(df, part=part):
-            return [
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(df, a).alias("va"), value(df, b).alias("vb"))
-                for a, b in part
-            ]
+    counts = cells(real, 1).unionByName(cells(synthetic, 0)).groupBy("pair", "va", "vb")
+    counts = counts.agg(F.sum(F.col("n") * F.col("flag")).alias("real_n"), F.sum(F.col("n") * (1 - F.col("flag"))).alias("synthetic_n"))
+    scores = _variation(counts, F.col("pair") == 0, ["pair"], "ContingencySimilarity")
+    sides = [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair") + 1).alias(n) for i, n in enumerate("ab")]
+    return scores.select(*sides, "metric", "score")
 
-        counts = _tallied(_both(real, synthetic, entries), ["a", "b", "va", "vb"])
-        parts.append(_variation(counts, real_rows, synthetic_rows, ["a", "b"], "ContingencySimilarity"))
-    if not parts:
-        return real.sparkSession.createDataFrame([], "a string, b string, metric string, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def _pair_counter(pairs: list[tuple[int, int]]):
+    """Counts of the value pairs of each batch: a column is coded once, a pair of columns is one count over joined codes.
+
+    A batch hands on one row per pair of columns and cell that occurs in it; Spark adds these up within the task before they are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = [c.cast(pa.string()).dictionary_encode(null_encoding="encode") for c in batch.columns]
+            codes = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
+            for at, (i, j) in enumerate(pairs):
+                width = len(coded[j].dictionary)
+                joined = codes[i] * width + codes[j]
+                if len(coded[i].dictionary) * width <= 4 * batch.num_rows:
+                    n = np.bincount(joined)
+                    found = np.flatnonzero(n)
+                    n = n[found]
+                else:
+                    found, n = np.unique(joined, return_counts=True)
+                sides = [coded[i].dictionary.take(pa.array(found // width)), coded[j].dictionary.take(pa.array(found % width))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at, np.int32)), *sides, pa.array(n.astype(np.int64))], ["pair", "va", "vb", "n"])
+
+    return run
 
 
 def quality_report(real: DataFrame, synthetic: DataFrame) -> DataFrame:

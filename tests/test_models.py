@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -348,6 +349,21 @@ def test_copula_keeps_marginals_and_dependence(spark, tmp_path):
     assert made.exceptAll(again).count() == 0
 
 
+def test_pairs_of_columns_are_counted_without_laying_rows_out(spark):
+    rows = [(None if i % 5 == 0 else f"a{i % 4}", f"b{i % 3}", i % 7 == 0, f"wide{i}") for i in range(300)]
+    other = [(f"a{i % 4}", None if i % 2 else f"b{i % 3}", i % 3 == 0, f"wide{i + 150}") for i in range(200)]
+    real, made = (spark.createDataFrame(r, "a string, b string, c boolean, d string").repartition(3) for r in (rows, other))
+    found = {(r["a"], r["b"]): r["score"] for r in quality.contingency_trends(real, made).collect()}
+    assert len(found) == 6
+    for (a, b), score in found.items():
+        i, j = "abcd".index(a), "abcd".index(b)
+        left, right = Counter((r[i], r[j]) for r in rows), Counter((r[i], r[j]) for r in other)
+        assert score == pytest.approx(1 - sum(abs(left[k] / 300 - right[k] / 200) for k in {*left, *right}) / 2)
+    empty = real.limit(0)
+    assert quality.contingency_trends(empty, empty).count() == 0
+    assert all(r["score"] == pytest.approx(0.5) for r in quality.contingency_trends(real, empty).collect())
+
+
 def test_quality_of_identical_tables_is_one(spark):
     df = _people(spark, 400).drop("id")
     df = spark.createDataFrame(df.collect(), df.schema)
