@@ -5,8 +5,9 @@ record. Request and metadata name the response in ``WARC-Concurrent-To``. Readin
 the records of a transaction through those identifiers into one nested row per capture.
 
 Archives are gzipped WARC/1.1 files. Records are text, so Spark's text writer makes the files:
-a record is one row, and the line separator is the blank lines that end it. They are read whole, one bounded file at a time, through Spark's
-own file access, and cut by ``Content-Length``, never by what a payload holds.
+a record is one row, and the line separator is the blank lines that end it. Files of long payloads hold fewer records, so that a file stays below some hundred
+megabytes unless one record is longer. They come through Spark's own file access, are unpacked piece by piece and cut by ``Content-Length``, never by what a
+payload holds; a task holds a packed file, one record and a bounded batch of records.
 
 Defined results: a null payload is empty; a null url leaves out ``WARC-Target-URI``, line breaks and blanks in urls are
 percent-encoded. A row with a null key is a capture without the ``capture`` field, under identifiers made from the digest of its url and payload,
@@ -23,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_RECORDS = 1_000
+FILE_RECORDS = 1_000  # of payloads up to SMALL bytes; an eighth of it for payloads up to eight times as long, and so on
+SMALL = 1 << 18
+PIECE = 1 << 16
+BATCH_BYTES = 1 << 25
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,7 +59,8 @@ def write_warc(df: DataFrame, path: str, url: str = "url", payload: str = "html"
 
     Of rows with equal payloads of at least ``least`` bytes the one with the smallest key is the response, the others revisit
     it; smaller payloads are all responses. The first of each payload is found by an aggregate over digests and joined back, so a
-    payload that fills a third of the table is no burden. Files hold a bounded number of records.
+    payload that fills a third of the table is no burden. Payloads are written by class of length, each with its own number of records per file; one
+    aggregate over the lengths tells which classes occur.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A"), " ", "%20")
@@ -92,31 +97,65 @@ def write_warc(df: DataFrame, path: str, url: str = "url", payload: str = "html"
     request = _record("request", own("request"), [target, concurrent], http + "request", asked)
     facts = F.concat(F.coalesce(F.concat(F.lit("capture: "), F.col("key"), F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", own("metadata"), [target, concurrent], "application/warc-fields", facts)
-    records = rows.select(F.explode(F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def _plain(data: bytes) -> bytes:
-    """The bytes of an archive, whether compressed as one member, as one per record, or not at all."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) or data
-
-
-def _parse(data: bytes) -> Iterator[tuple]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    size = F.octet_length(body)
+    grade = sum((F.when(size > SMALL * 8**i, 1).otherwise(0) for i in range(4)), F.lit(0))
+    found = {r[0] for r in df.select(grade).distinct().collect()} or {0}
+    size = F.col("bytes")
+    for at in sorted(found):
+        part = rows.where((size > (SMALL * 8 ** (at - 1) if at else -1)) & (size <= SMALL * 8**at if at < 4 else F.lit(True))) if len(found) > 1 else rows
+        records = part.select(F.explode(F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)).alias("value"))
+        writer = records.write.mode("append" if at > min(found) else "errorifexists")
+        writer.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(3, FILE_RECORDS // 8**at)).text(path)
+
+
+def _plain(data: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in pieces, whether compressed as one member, as one per record, or not at all."""
+    packed, member = data[:2] == b"\x1f\x8b", None
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE]
+        if not packed:
+            yield piece
+            continue
+        while piece:
+            if member is None:
+                piece = piece.lstrip(b"\0")  # padding between members
+                member = zlib.decompressobj(31) if piece else None
+                continue
+            yield member.decompress(piece)
+            piece = member.unused_data
+            if member.eof:
+                member = None
+
+
+def _parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """The records of an archive that comes in pieces; only the record in hand is held."""
+    held = bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            seen = len(held)
+            if not more():
+                if held:
+                    raise ValueError(f"the archive ends within a record: {bytes(held[:80])!r}")
+                return
+            end = held.find(b"\r\n\r\n", max(0, seen - 3))
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {lines[0][:80]!r}")
+            raise ValueError(f"no WARC record: {lines[0][:80]!r}")
         head = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:])}
         begin = end + 4
         stop = begin + int(head["content-length"])
-        body, headers, fields = data[begin:stop], None, None
+        while len(held) < stop:
+            if not more():
+                raise ValueError(f"the archive ends within a record: {lines[0][:80]!r}")
+        body, headers, fields = bytes(held[begin:stop]), None, None
         if head.get("content-type", "").startswith("application/http"):
             cut = body.index(b"\r\n\r\n") + 4
             headers, body = body[:cut].decode("utf-8", "replace"), body[cut:]
@@ -124,7 +163,22 @@ def _parse(data: bytes) -> Iterator[tuple]:
             fields = [tuple(line.split(": ", 1)) for line in body.decode("utf-8", "replace").split("\r\n") if ": " in line]
         names = ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "content-type")
         yield (*map(head.get, names), headers, body, fields)
-        at = stop + 4
+        while len(held) < stop + 4 and more():
+            pass
+        del held[: stop + 4]
+
+
+def _batches(records: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Records in lists of at most ``FILE_RECORDS`` records and, but for the last of each, ``BATCH_BYTES`` of payload."""
+    out, size = [], 0
+    for record in records:
+        out.append(record)
+        size += len(record[9])
+        if size >= BATCH_BYTES or len(out) >= FILE_RECORDS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -136,9 +190,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                columns = list(zip(*_parse(_plain(data.as_py()))))
-                if columns:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                for records in _batches(_parse(_plain(data.as_py()))):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*records), kinds)], names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, spark_kinds)
 

@@ -1,6 +1,7 @@
 """Vector searches and WARC archives against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -173,6 +174,41 @@ def test_warc_smaller_payloads_and_no_pages(spark):
     assert warc.assemble(warc.read_warc(spark, path)).count() == 0
 
 
+def test_warc_files_of_long_payloads_hold_fewer_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 1_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 48)
+    sizes = [10] * 40 + [3_000] * 20 + [40_000] * 6 + [700_000] * 3
+    pages = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i % 26) * (n + i)) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    path = shared_path(spark, "warc")
+    warc.write_warc(pages.coalesce(1), path)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    lengths = [[(r[1], len(r[9])) for r in warc._parse(warc._plain(bytes(f[0])))] for f in files]
+    assert sorted(n for f in lengths for kind, n in f if kind == "response") == sorted(n + i for i, n in enumerate(sizes))
+    for least, most in ((1_000, 6), (8_000, 3)):
+        assert all(len(f) <= most for f in lengths if max(n for _, n in f) > least)
+    captures = warc.assemble(warc.payload_sha1(warc.read_warc(spark, path)))
+    assert sorted(r[0] for r in captures.select("response.payload_bytes").collect()) == sorted(n + i for i, n in enumerate(sizes))
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_warc_archives_are_read_piece_by_piece(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    records = [
+        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+        for i, body in enumerate(["", "a\r\n\r\nWARC/1.1\r\n", "b" * 5_000])
+    ]
+    plain = b"".join(records)
+    for data in (plain, gzip.compress(plain), b"".join(map(gzip.compress, records)), gzip.compress(plain) + b"\0" * 64):
+        found = list(warc._parse(warc._plain(data)))
+        assert [(r[0], r[1], len(r[9])) for r in found] == [("<0>", "resource", 0), ("<1>", "resource", 15), ("<2>", "resource", 5_000)]
+    assert list(warc._parse(warc._plain(b""))) == []
+    for broken in (plain[:-100], gzip.compress(plain[:50]), b"no archive\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc._parse(warc._plain(broken)))
+    monkeypatch.setattr(warc, "BATCH_BYTES", 100)
+    assert [len(b) for b in warc._batches(iter(found))] == [3] and [len(b) for b in warc._batches(iter(found * 2))] == [3, 3]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 40)] + [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(40)]
