@@ -109,6 +109,16 @@ class Catalog:
         files, claim = self._claim(dataset, version)
         files.delete(claim, False)
 
+    def release_name(self, dataset: str, version: str) -> bool:
+        """Free a name that a killed writer left reserved; tells whether there was such a reservation.
+
+        The caller knows that nobody is writing that version any more. A stored version keeps its name.
+        """
+        if not self._entries().where((F.col("dataset") == dataset) & (F.col("version") == version)).isEmpty():
+            raise ValueError(f"version {version!r} exists")
+        files, claim = self._claim(dataset, version)
+        return files.delete(claim, False)
+
     def export_version(self, dataset: str, version: str, path: str, form: str = "csv") -> None:
         export(self.load_version(dataset, version), path, form)
 

@@ -239,3 +239,16 @@ def test_cycles_in_large_datasets_are_errors(spark, monkeypatch):
     links = [("d", "a", "b"), ("d", "b", "c"), ("d", "c", "a"), ("d", "raw", None), ("d", "x", "raw"), ("e", "raw", None)]
     with pytest.raises(ValueError, match="cycle"):
         lineage.lineage(spark.createDataFrame(links, "dataset string, version string, parent string"))
+
+
+def test_a_name_left_by_a_killed_writer_can_be_freed(spark, catalog):
+    df = spark.range(3)
+    catalog.create_version("d", "raw", df, None, "import")
+    files, claim = catalog._claim("d", "late")
+    assert files.createNewFile(claim)  # and the writer is gone
+    assert catalog.release_name("d", "late") and not catalog.release_name("d", "late")
+    catalog.create_version("d", "late", df, "raw", "copy")
+    for name in ("raw", "late"):
+        with pytest.raises(ValueError, match="exists"):
+            catalog.release_name("d", name)
+    assert catalog.load_version("d", "late").count() == 3
