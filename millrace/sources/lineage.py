@@ -3,6 +3,9 @@
 The table has ``dataset, version, parent, operation, config, created_at``, one row per
 version; ``(dataset, version)`` is unique and ``parent`` is null at a root. A registry of
 any size works: everything is a filter, a join on ``(dataset, version)`` or an aggregate.
+
+Joins of whole tables of versions are merge joins by hint. The optimizer knows only the size of the files, in which names take a small part of what they
+take in memory, and not how many rows a block or a level makes of one; it would send such a side through the driver to all executors.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ def intervals(versions: DataFrame) -> DataFrame:
     """
     known = versions.select("dataset", "version", "parent")
     named = known.where("parent IS NOT NULL").select("dataset", F.col("parent").alias("version")).distinct()
-    absent = named.join(known.select("dataset", "version"), ["dataset", "version"], "left_anti")
+    absent = named.join(known.select("dataset", "version").hint("merge"), ["dataset", "version"], "left_anti")
     known = cut_lineage(known.union(absent.withColumn("parent", F.lit(None).cast("string"))))
     large = cut_lineage(known.groupBy("dataset").count().where(F.col("count") > TOGETHER).select("dataset"))
     if large.isEmpty():
@@ -107,13 +110,13 @@ def _ranked(known: DataFrame) -> DataFrame:
     firsts = cut_lineage(firsts.select("*", F.lead("first").over(along).alias("following"), F.row_number().over(along).alias("nth")))
     inner = Window.partitionBy("dataset", "parent", "bucket").orderBy("version")
     same = F.col("s.dataset").eqNullSafe(F.col("f.dataset")) & F.col("s.parent").eqNullSafe(F.col("f.parent")) & (F.col("s.bucket") == F.col("f.bucket"))
-    sided = placed.withColumn("beside", F.lead("version").over(inner)).alias("s").join(firsts.alias("f"), same)
+    sided = placed.withColumn("beside", F.lead("version").over(inner)).alias("s").join(firsts.alias("f").hint("merge"), same)
     sibling = F.coalesce("s.beside", "f.following")
     up_next = F.when(sibling.isNotNull(), F.struct(sibling.alias("version"), F.lit(True).alias("down")))
     up_next = up_next.otherwise(F.when(F.col("s.parent").isNotNull(), F.struct(F.col("s.parent").alias("version"), F.lit(False).alias("down"))))
     up = sided.select("s.dataset", "s.version", F.lit(False).alias("down"), up_next.alias("next"), F.lit(-1).cast("long").alias("height"))
     child = firsts.where("nth = 1 AND parent IS NOT NULL").select("dataset", F.col("parent").alias("version"), "first")
-    below = known.join(child, ["dataset", "version"], "left")
+    below = known.join(child.hint("merge"), ["dataset", "version"], "left")
     down_next = F.struct(F.coalesce("first", "version").alias("version"), F.col("first").isNotNull().alias("down"))
     down = below.select("dataset", "version", F.lit(True).alias("down"), down_next.alias("next"), F.lit(1).cast("long").alias("height"))
     steps = down.union(up).withColumn("behind", F.lit(1).cast("long"))  # steps from here to the end, this one too, as far as seen
@@ -123,12 +126,12 @@ def _ranked(known: DataFrame) -> DataFrame:
         if moving.isEmpty():
             break
         ahead = steps.alias("b")
-        met = moving.join(ahead, (F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.next.version") == F.col("b.version")) & (F.col("a.next.down") == F.col("b.down")))
+        met = moving.join(ahead.hint("merge"), (F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.next.version") == F.col("b.version")) & (F.col("a.next.down") == F.col("b.down")))
         sums = [(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("height", "behind")]
         steps = steps.where("next IS NULL").union(met.select("a.dataset", "a.version", "a.down", "b.next", *sums))
     else:
         stuck = steps.where("next IS NOT NULL").select("dataset", "version").distinct()
-        steps = steps.join(stuck, ["dataset", "version"], "left_anti").unionByName(
+        steps = steps.join(stuck.hint("merge"), ["dataset", "version"], "left_anti").unionByName(
             stuck.select("dataset", "version", F.lit(None).cast(steps.schema["next"].dataType).alias("next"), F.lit(True).alias("down"), F.lit(0).cast("long").alias("height"), F.lit(None).cast("long").alias("behind"))
         )
     length = steps.groupBy("dataset").agg(F.max("behind").alias("length"))
@@ -164,12 +167,12 @@ def paths(numbered: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """
     most = numbered.agg(F.max("leave")).first()[0]
     levels = F.sequence(F.lit(0), F.lit(int(most or 0).bit_length()))
-    points = numbered if of is None else numbered.join(of.select("dataset", "version").distinct(), ["dataset", "version"], "left_semi")
+    points = numbered if of is None else numbered.join(of.select("dataset", "version").distinct().hint("merge"), ["dataset", "version"], "left_semi")
     points = points.select("dataset", "version", F.col("enter"), F.explode(levels).alias("level"))
     points = points.select("dataset", "version", "level", F.expr("shiftright(enter, level)").alias("block"))
     covers = numbered.select("dataset", F.col("version").alias("member"), F.col("depth").alias("step"), "enter", "leave")
     covers = covers.mapInPandas(_covers, "dataset string, member string, step long, level int, block long")
-    return points.join(covers, ["dataset", "level", "block"]).select("dataset", "version", "step", "member")
+    return points.join(covers.hint("merge"), ["dataset", "level", "block"]).select("dataset", "version", "step", "member")
 
 
 def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -177,7 +180,7 @@ def ancestors(versions: DataFrame, of: DataFrame | None = None) -> DataFrame:
     numbered = intervals(versions)
     found = paths(numbered, versions if of is None else of)
     own = numbered.select("dataset", "version", "depth")
-    return found.join(own, ["dataset", "version"]).select("dataset", "version", F.col("member").alias("ancestor"), (F.col("depth") - F.col("step")).alias("distance"))
+    return found.join(own.hint("merge"), ["dataset", "version"]).select("dataset", "version", F.col("member").alias("ancestor"), (F.col("depth") - F.col("step")).alias("distance"))
 
 
 def depths(versions: DataFrame) -> DataFrame:
@@ -195,7 +198,7 @@ def depths(versions: DataFrame) -> DataFrame:
         if moving.isEmpty():
             return known.select("dataset", "version", "depth")
         below_root = known.where("depth > 0").select("dataset", F.col("version").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        further = moving.join(below_root, ["dataset", "up"], "left")
+        further = moving.join(below_root.hint("merge"), ["dataset", "up"], "left")
         further = further.select("dataset", "version", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         known = known.where("up IS NULL").unionByName(further)
     raise ValueError("the parents form a cycle")
@@ -222,7 +225,7 @@ def lineage(versions: DataFrame, dataset: str | None = None, version: str | None
 def removable(versions: DataFrame) -> DataFrame:
     """Versions that are nobody's parent; ``raw`` never is one."""
     parents = versions.where("parent IS NOT NULL").select("dataset", F.col("parent").alias("version")).distinct()
-    return versions.where("version <> 'raw'").join(parents, ["dataset", "version"], "left_anti")
+    return versions.where("version <> 'raw'").join(parents.hint("merge"), ["dataset", "version"], "left_anti")
 
 
 def search(versions: DataFrame, text: str = "", operation: str | None = None) -> DataFrame:
@@ -241,10 +244,10 @@ def by_time(versions: DataFrame, newest_first: bool = True) -> DataFrame:
 def forest(versions: DataFrame) -> DataFrame:
     """``(dataset, version, shown_parent, depth)``: a version whose parent is not among the rows is a root."""
     here = versions.select("dataset", F.col("version").alias("parent"), F.lit(True).alias("found"))
-    linked = versions.join(here, ["dataset", "parent"], "left").select(
+    linked = versions.join(here.hint("merge"), ["dataset", "parent"], "left").select(
         "dataset", "version", F.when(F.col("found"), F.col("parent")).alias("parent")
     )
-    return linked.join(depths(linked), ["dataset", "version"]).select(
+    return linked.join(depths(linked).hint("merge"), ["dataset", "version"]).select(
         "dataset", "version", F.col("parent").alias("shown_parent"), "depth"
     )
 

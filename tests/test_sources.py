@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 
 from millrace.operators import profile
 from millrace.plans import workbench
+from millrace.session import cut_lineage
 from millrace.sources import experiments, lineage
 from millrace.sources.catalog import Catalog, preview
 from millrace.sources.experiments import ExperimentLog
@@ -252,3 +253,12 @@ def test_a_name_left_by_a_killed_writer_can_be_freed(spark, catalog):
         with pytest.raises(ValueError, match="exists"):
             catalog.release_name("d", name)
     assert catalog.load_version("d", "late").count() == 3
+
+
+def test_tables_of_versions_are_never_sent_whole(spark):
+    """A small file can be many rows in memory, and a cover many blocks, so no join goes by the size of the files."""
+    links = [("d", "raw", None)] + [("d", f"v{i}", f"v{i // 2}" if i > 1 else "raw") for i in range(1, 60)]
+    versions = cut_lineage(spark.createDataFrame(links, "dataset string, version string, parent string"))
+    for found in (lineage.lineage(versions), lineage.ancestors(versions), lineage.forest(versions), lineage.removable(versions)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in lineage.lineage(versions).collect()} == _paths_by_hand(links)
