@@ -107,19 +107,20 @@ def numbered(df: DataFrame, group: str, keys: list[str], seed: int, largest: int
     slices = 1
     while largest / slices > WINDOW_ROWS:
         slices *= 2
+    columns = df.columns
     df = df.withColumn("_hash", hashed)
     if slices == 1:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(col(group)).orderBy(*order)).cast("long")).drop("_hash")
     df = df.withColumn("_slice", F.floor(F.col("_hash") / F.lit(HASH_TOP // slices)).cast("long"))
-    sizes = df.groupBy(col(group).alias("_group"), F.col("_slice").alias("_at")).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_group", "_at", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+    sizes = df.groupBy(col(group).alias("_group"), F.col("_slice").alias("_of_slice")).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_of_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_group", "_of_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
     local = F.row_number().over(Window.partitionBy(col(group), "_slice").orderBy(*order))
+    numbers = (F.col("_local").cast("long") + F.col("_shift")).alias(name)  # the caller's name may be any, so no helper is dropped by name after it
     return (
         df.withColumn("_local", local)
-        .join(sizes, F.col("_slice").eqNullSafe(F.col("_at")) & col(group).eqNullSafe(F.col("_group")))
-        .withColumn(name, F.col("_local").cast("long") + F.col("_shift"))
-        .drop("_local", "_slice", "_hash", "_group", "_at", "_shift")
+        .join(sizes, F.col("_slice").eqNullSafe(F.col("_of_slice")) & col(group).eqNullSafe(F.col("_group")))
+        .select(*[col(c) for c in columns], numbers)
     )
 
 

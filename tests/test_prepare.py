@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import ranking
 from millrace.session import cut_lineage
 from millrace.operators import balance, clean, encode, reduce, scale
 from millrace.operators.base import replay
@@ -220,6 +221,23 @@ def test_oversample_keeps_originals_and_null_class(frame):
     assert out.where("id < 40 and c <> 'x' or id >= 45 and c <> 'y'").count() == 0
 
 
+def test_oversample_of_classes_numbered_in_slices(frame, monkeypatch):
+    """A class of more rows than a window takes is numbered slice by slice, with the same numbers."""
+    rows = [(i, "x" if i < 120 else None if i < 170 else "y") for i in range(200)]
+    df = frame(rows, "id int, c string")
+    shares = {"x": 2, "y": 1, "None": 1}
+
+    def drawn():
+        out = balance.oversample(df, "c", shares, ["id"])[0]
+        assert out.columns == ["id", "c"]
+        return sorted((r["id"], str(r["c"])) for r in out.collect())
+
+    whole = drawn()
+    assert len(whole) == 240
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 10)
+    assert drawn() == whole
+
+
 def test_draws_do_not_depend_on_chunks(frame, monkeypatch):
     plan = frame([("a", 7, 5), ("b", 11, 23), ("c", 9, 0)], "class string, original long, added long")
     whole = sorted(balance.draws(plan, 1).collect())
