@@ -187,6 +187,21 @@ def test_silhouette_of_cells_stays_within_its_bound_and_below_all_pairs(spark, m
     assert tree.score(0.0).first()[0] == pytest.approx(exact)
 
 
+@pytest.mark.parametrize("strips, strip_leaves", [(24, 16), (5, 16), (2, 3), (1, 100)])
+def test_silhouette_of_tiles_measures_every_two_points_once(spark, monkeypatch, strips, strip_leaves):
+    """A leaf is sent to as many tiles as there are strips, not to every leaf; strips may hold leaves of two clusters."""
+    monkeypatch.setattr(celltree, "STRIPS", strips)
+    monkeypatch.setattr(celltree, "STRIP_LEAVES", strip_leaves)
+    at = [((i * 7 % 31 / 2.0, float(i * 5 % 29)), 0 if i < 40 else 1 if i < 57 else 2) for i in range(150)]
+    df = spark.createDataFrame([(*x, c) for x, c in at * 2], "x double, y double, cluster int")
+    tree = celltree.CellTree(df, ["x", "y"], "cluster", 8)
+    leaves = sum(tree.leaf_counts)
+    assert leaves == 5 + 3 + 12
+    held = min(strip_leaves, -(-leaves // strips))
+    assert tree._tiled().count() == 150 * -(-leaves // held)
+    assert tree.score(0.0).first()[0] == pytest.approx(_silhouette(at * 2, math.dist))
+
+
 def _points(spark, n=300):
     return spark.range(0, n, 1, 2).select(
         "id",
