@@ -25,6 +25,7 @@ from millrace.operators.crossval import linear_scores
 from millrace.operators.mixture import fit_mixture
 from millrace.operators.split import assign_folds, train_test_split, validate_target
 from millrace.operators.trees import Settings, TreesEstimator
+from millrace.session import cut_lineage
 
 
 def _logistic(n: int, classes: int, seed: int, C=1.0, max_iter=100, solver="lbfgs", penalty="l2", l1_ratio=0.5):
@@ -77,6 +78,10 @@ _BUILDERS = {
 }
 
 
+ROWS = "_rows"
+WEIGHTED = (LogisticRegression, LinearSVC, OneVsRest)
+
+
 @dataclass
 class Trained:
     """A fitted pipeline, its held-out rows and what it was trained with."""
@@ -104,6 +109,15 @@ def _estimator(task: str, model: str, n: int, classes: int, seed: int, params: d
     return estimator
 
 
+def _counted(folded: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """Equal rows of a fold as one with their number in ``ROWS``, as a table.
+
+    For models whose objective is a weighted sum over rows this is the same problem. Draws by key (trees) need every row.
+    """
+    together = [col(c) for c in dict.fromkeys(["fold", *features, target])]
+    return cut_lineage(folded.groupBy(*together).agg(F.count("*").alias(ROWS)))
+
+
 def class_labels(df: DataFrame, target: str) -> list[str]:
     """The classes of a target in value order, as the text Spark's cast gives them.
 
@@ -206,10 +220,10 @@ def evaluate(trained: Trained) -> dict[str, float]:
     return out
 
 
-def _class_scores(scored: DataFrame, k: int) -> tuple[DataFrame, dict]:
+def _class_scores(scored: DataFrame, k: int, rows: str | None = None) -> tuple[DataFrame, dict]:
     """One score column per class, or for the positive class only when there are two."""
     used = [1] if k == 2 else list(range(k))
-    wide = scored.select("label", "prediction", *[F.col("scores")[i].alias(f"score_{i}") for i in used])
+    wide = scored.select("label", "prediction", *([rows] if rows else []), *[F.col("scores")[i].alias(f"score_{i}") for i in used])
     return wide, {float(i): f"score_{i}" for i in used}
 
 
@@ -243,23 +257,23 @@ SCORERS = {
 }
 
 
-def scorer_value(scored: DataFrame, scoring: str, classes: int) -> float:
-    """A scorer on a scored table; larger is better for all of them."""
+def scorer_value(scored: DataFrame, scoring: str, classes: int, rows: str | None = None) -> float:
+    """A scorer on a scored table; larger is better for all of them. Of classes, a row may stand for as many as the column ``rows`` says."""
     if scoring in SCORERS["regression"]:
         row = metrics.regression_metrics(scored).first()
         name = {"neg_mean_squared_error": "mse", "neg_mean_absolute_error": "mae", "neg_root_mean_squared_error": "rmse"}
         return float(row["r2"]) if scoring == "r2" else -float(row[name[scoring]])
     if scoring in ("accuracy", "balanced_accuracy"):
-        return float(metrics.classification_metrics(scored).first()[scoring])
+        return float(metrics.classification_metrics(scored, rows=rows).first()[scoring])
     if scoring == "roc_auc":
         if "scores" not in scored.columns:
             source = "probability" if "probability" in scored.columns else "rawPrediction"
             scored = scored.withColumn("scores", vector_to_array(source))
-        return float(metrics.roc_auc(*_class_scores(scored, classes)).first()["roc_auc"])
+        return float(metrics.roc_auc(*_class_scores(scored, classes, rows), rows=rows).first()["roc_auc"])
     if scoring in ("precision", "recall", "f1"):
         if classes != 2:
             raise ValueError(f"{scoring} scores two classes only")
-        row = metrics.binary_metrics(scored, 1.0).first()
+        row = metrics.binary_metrics(scored, 1.0, rows=rows).first()
         return float(row[scoring]) if row else 0.0
     raise ValueError(f"unknown scorer {scoring!r}")
 
@@ -273,7 +287,7 @@ class ScorerEvaluator(Evaluator):
         self.classes = classes
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        return scorer_value(dataset, self.scoring, self.classes)
+        return scorer_value(dataset, self.scoring, self.classes, ROWS if ROWS in dataset.columns else None)
 
     def isLargerBetter(self) -> bool:
         return True
@@ -310,7 +324,8 @@ def grid_search(
 ) -> Trained:
     """Cross-validate every combination of ``grid`` on the training rows and refit the best.
 
-    A linear regression is not fitted per fold: its fold models come from sums of products by subtraction.
+    A linear regression is not fitted per fold: its fold models come from sums of products by subtraction. For other linear
+    models equal rows of a fold are one with a weight. The folds are fixed as a table, so no fit reads the input again.
     """
     scoring = scoring or ("accuracy" if task.lower() == "classification" else "r2")
     if scoring not in SCORERS[task.lower()]:
@@ -328,11 +343,20 @@ def grid_search(
         by_fold = np.array(linear_scores(folded, target, features, folds, scoring))
         scores, spread, refit = [by_fold.mean()], [by_fold.std()], None
     else:
+        if all(isinstance(c, WEIGHTED) for c in candidates):
+            folded = _counted(folded, target, features)
+            for c in candidates:
+                c.setWeightCol(ROWS)
+        else:
+            folded = cut_lineage(folded)
         scores, spread, refit = _searched(folded, before, candidates, ScorerEvaluator(scoring, len(classes or [])), folds, parallelism)
     best = max(range(len(combos)), key=lambda i: scores[i])
+    weighted = isinstance(candidates[best], WEIGHTED)
     if refit is None or "C" in combos[best]:  # its strength depends on the row count, so fit at full size
         estimator = _estimator(task, model, n, len(classes or []), seed, combos[best], key)
-        refit = Pipeline(stages=[*before, estimator]).fit(_labelled(train_rows, target, classes))
+        if weighted:
+            estimator.setWeightCol(ROWS)
+        refit = Pipeline(stages=[*before, estimator]).fit(folded if weighted else _labelled(train_rows, target, classes))
     fitted = PipelineModel(stages=[*refit.stages, *after])
     config = {
         "operation": "train_model_with_gridsearch",

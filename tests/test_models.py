@@ -302,6 +302,33 @@ def test_grid_search_of_a_linear_regression_makes_no_fit_per_fold(spark, monkeyp
     assert models.evaluate(found)["r2"] > 0.9
 
 
+def test_grid_search_takes_equal_rows_as_one(spark, monkeypatch):
+    """The fits read a row per distinct row of a fold, weighted by its number."""
+    df = spark.range(0, 300, 1, 2).selectExpr("id", "id % 7 AS x", "IF((id % 7 > 3) <> (id % 5 = 0), 'up', 'down') AS side")
+
+    class Read(Exception):
+        pass
+
+    def seen(folded, before, candidates, *rest):
+        row = folded.agg(F.count("*"), F.sum("_rows")).first()
+        raise Read(row[0], row[1], [c.getWeightCol() for c in candidates])
+
+    monkeypatch.setattr(models, "_searched", seen)
+    with pytest.raises(Read) as found:
+        models.grid_search(df, "side", "classification", "svm", {"C": [1.0]}, ["id"], ["x"], folds=2)
+    rows, stand_for, weights = found.value.args
+    assert rows <= 2 * 7 * 2 and stand_for == 240 and weights == ["_rows"]
+
+
+def test_scorers_count_what_a_row_stands_for(frame):
+    few = [(0.0, 0.0, 0.2, 5), (0.0, 1.0, 0.7, 2), (1.0, 1.0, 0.8, 4), (1.0, 0.0, 0.2, 3)]
+    schema = "label double, prediction double, scores array<double>"
+    together = frame([(y, p, [1 - s, s], n) for y, p, s, n in few], schema + ", n long")
+    each = frame([(y, p, [1 - s, s]) for y, p, s, n in few for _ in range(n)], schema)
+    for scoring in ("accuracy", "f1", "roc_auc"):
+        assert models.scorer_value(together, scoring, 2, "n") == pytest.approx(models.scorer_value(each, scoring, 2))
+
+
 def test_folds_by_subtraction_refuse_gaps_and_empty_folds(spark):
     df = _plane(spark, 20).withColumn("a", F.expr("CASE WHEN id <> 3 THEN a END"))
     with pytest.raises(ValueError, match="missing"):
