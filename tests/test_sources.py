@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 
@@ -262,3 +263,44 @@ def test_tables_of_versions_are_never_sent_whole(spark):
     for found in (lineage.lineage(versions), lineage.ancestors(versions), lineage.forest(versions), lineage.removable(versions)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in lineage.lineage(versions).collect()} == _paths_by_hand(links)
+
+
+def test_large_datasets_are_walked_and_paths_made_without_joins(spark, monkeypatch):
+    """60 000 versions of a dataset need no ranking, and no row per version and ancestor is shuffled."""
+    monkeypatch.setattr(lineage, "_ranked", None)
+    monkeypatch.setattr(lineage, "LEAST_IN_SPAN", 100)
+    monkeypatch.setattr(lineage, "SPAN_ROWS", 20_000)
+    name = lambda c: f"CASE WHEN {c} = 0 THEN 'raw' ELSE concat('V', {c}) END"
+    versions = spark.range(60_000).selectExpr("'d' AS dataset", f"{name('id')} AS version", f"CASE WHEN id > 0 THEN {name('(id - 1) div 2')} END AS parent")
+    found = lineage.lineage(versions)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
+    lengths = [(i + 1).bit_length() for i in range(60_000)]
+    assert found.count() == sum(lengths)
+    own = found.where("version = member").selectExpr("if(version = 'raw', 0, int(substr(version, 2))) AS n", "step")
+    assert {r["n"]: r["step"] + 1 for r in own.collect()} == dict(enumerate(lengths))
+    path = found.where("version = 'V59998'").orderBy("step").collect()
+    assert [r["member"] for r in path] == ["raw"] + [f"V{(59_999 >> k) - 1}" for k in range((59_999).bit_length() - 2, -1, -1)]
+
+
+def test_long_paths_are_handed_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(lineage, "AT_ONCE", 7)
+    depths = [0, 1, 2, *range(3, 20), 5, 1, 0, 1]
+    asked = [False, False, False, *[True] * 21]
+    rows = pa.table({"dataset": ["d"] * 24, "depth": depths, "version": [f"v{i}" for i in range(24)], "asked": asked})
+    stack, wanted = {}, set()
+    for i, (depth, wish) in enumerate(zip(depths, asked)):
+        stack[depth] = f"v{i}"
+        wanted |= {(f"v{i}", step, stack[step]) for step in range(depth + 1) if wish}
+    for size in (24, 5, 1):
+        pieces = [p for b in lineage._stacked(iter(rows.to_batches(max_chunksize=size))) for p in b.to_pylist()]
+        assert {(p["version"], p["start"] + i, m) for p in pieces for i, m in enumerate(p["members"])} == wanted
+        assert sum(len(p["members"]) for p in pieces) == len(wanted) and max(len(p["members"]) for p in pieces) <= 7
+
+
+def test_sums_along_lists(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "TOGETHER", 4)
+    steps = [(i * 10, (i + 1) * 10 if i < 30 else None, i % 3, 1) for i in range(31)] + [(1, None, 5, 1), (3, 3, 1, 1), (5, 7, 1, 1), (7, 5, 1, 1)]
+    found = lineage._suffix_sums(spark.createDataFrame(steps, "step long, next long, height long, behind long")).collect()
+    wanted = {i * 10: (sum(j % 3 for j in range(i, 31)), 31 - i) for i in range(31)} | {1: (5, 1)} | {i: (None, None) for i in (3, 5, 7)}
+    assert {r["step"]: (r["height"], r["behind"]) for r in found} == wanted and len(found) == len(steps)
