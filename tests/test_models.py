@@ -202,6 +202,45 @@ def test_silhouette_of_tiles_measures_every_two_points_once(spark, monkeypatch,
     assert tree.score(0.0).first()[0] == pytest.approx(_silhouette(at * 2, math.dist))
 
 
+def test_silhouette_of_groups_keeps_every_mean_distance_within_its_share(spark, monkeypatch):
+    """Nodes are met by groups of leaves, and a task hands on a row per leaf or group, not per point."""
+    monkeypatch.setattr(celltree, "FAN", 4)
+    monkeypatch.setattr(celltree, "STRIPS", 3)
+    draw = np.random.default_rng(5)
+    at = [(float(x), float(y), c) for c, n in ((0, 700), (1, 300), (2, 90)) for x, y in draw.normal(c, 1 + c, (n, 2))]
+    at = at + at[::3]
+    tree = celltree.CellTree(spark.createDataFrame(at, "x double, y double, cluster int"), ["x", "y"], "cluster", 8)
+    leaves, groups = sum(tree.leaf_counts), sum(-(-n // 4) for n in tree.leaf_counts)
+    assert tree._tiles().count() == leaves * 3
+    points, share = np.array(at), math.tanh(0.05)
+    exact = {c: np.array([np.hypot(*(points[points[:, 2] == c, :2] - p[:2]).T).sum() for p in points]) for c in range(3)}
+    where = {tuple(p[:2]): i for i, p in enumerate(points)}
+    gathered = tree._groups()
+    pairs, far = tree._opened(gathered, share)
+    assert pairs.count() + far.count() <= groups * groups < leaves * leaves / 8 and not far.isEmpty()
+    rows = {(r["own"], r["grp"]): np.reshape(r["rows"], (-1, 3)) for r in gathered.collect()}
+    assert len(rows) == groups
+    sums = {key: np.zeros((3, len(a))) for key, a in rows.items()}
+    for r in tree._met(gathered, 0.1).collect():
+        sums[r["own"], r["leaf"]][r["b_own"]] += r["sums"]
+    for key, a in rows.items():
+        for c in range(3):
+            wanted = np.array([exact[c][where[tuple(p)]] for p in a[:, 1:]])
+            assert (abs(sums[key][c] - wanted) <= share * wanted).all()
+    assert tree.score(0.1).first()[0] == pytest.approx(tree.score(0.0).first()[0], abs=0.1)
+    assert tree.score(0.0).first()[0] == pytest.approx(_silhouette([(p[:2], p[2]) for p in at], math.dist))
+
+
+@pytest.mark.parametrize("shift, apart", [(0.0, 3.0), (1e6, 3.0), (-5.0, 40.0), (0.0, 0.1)])
+def test_squares_of_points_far_apart_keep_their_digits(monkeypatch, shift, apart):
+    monkeypatch.setattr(celltree, "MANY", 30)
+    draw = np.random.default_rng(2)
+    x, y = draw.random((37, 3)) + shift, draw.random((50, 3)) + shift + apart
+    found = np.vstack([d.copy() for _, _, d in celltree._squares_of()(x, y)])
+    wanted = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    assert found.shape == (37, 50) and np.allclose(found, wanted, rtol=1e-13, atol=0)
+
+
 def _points(spark, n=300):
     return spark.range(0, n, 1, 2).select(
         "id",
